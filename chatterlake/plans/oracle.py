@@ -246,7 +246,7 @@ ORDER BY md5('42:' || l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':'
     sql["daily_events"] = _per_day("SELECT CASE WHEN event_type <> 'error' THEN ts::DATE END AS day FROM events")
     sql["parse_timestamps"] = """SELECT event_id, CASE WHEN event_type <> 'error' THEN ts END AS timestamp,
   event_type = 'error' AS is_unreadable FROM events"""
-    sql["coerce_boolean"] = f"SELECT event_id, {FLAG} AS is_reply FROM events"
+    sql["coerce_boolean"] = f"SELECT event_id, ({FLAG})::VARCHAR AS is_reply, 'boolean' AS type FROM events"
     sql["coerce_epoch"] = """SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 ELSE floor(epoch(ts)) END AS timestamp FROM events"""
     sql["coerce_count"] = """SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE user_id END AS like_count FROM events"""
     sql["coerce_fractional"] = """SELECT event_id, CASE WHEN event_type NOT IN ('error', 'view') THEN value END AS view_count FROM events"""

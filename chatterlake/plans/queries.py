@@ -299,7 +299,8 @@ def _dirty_events(spark, folder):
 
 
 def coerce_boolean(spark, folder):
-    return coerce.coerce_types(_dirty_events(spark, folder).select("event_id", "is_reply"))
+    typed = coerce.coerce_types(_dirty_events(spark, folder).select("event_id", "is_reply"))
+    return typed.select("event_id", F.col("is_reply").cast("string").alias("is_reply"), F.lit(dict(typed.dtypes)["is_reply"]).alias("type"))
 
 
 def coerce_epoch(spark, folder):
