@@ -77,9 +77,13 @@ def words(text, min_length=1):
 
 
 def char_grams(text, n=3):
-    """All overlapping runs of `n` characters of the lower-cased text, in linear time."""
-    pattern = f"(?s)(?=(.{{{n}}}))."
-    return F.regexp_extract_all(F.lower(as_column(text)), F.lit(pattern), F.lit(1))
+    """All overlapping runs of `n` characters of the lower-cased text, in linear time.
+
+    The text is cut into pieces of `n` from each of the first `n` characters on.
+    """
+    lowered = F.lower(as_column(text))
+    cut = F.lit("(?s)" + "." * n)
+    return F.concat(*[F.regexp_extract_all(F.substr(lowered, F.lit(i + 1)), cut, F.lit(0)) for i in range(n)])
 
 
 def percent(part, whole, digits=1):

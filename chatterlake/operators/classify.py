@@ -15,12 +15,12 @@ from pyspark.sql import types as T
 
 from ..functions.fixed_values import NEUTRAL_LABEL, NEUTRAL_SCORE, UNKNOWN_LANGUAGE
 from ..functions.text import char_grams, fill_blank, is_language_text, words
-from ..sources.storage import write_table
+from ..sources.storage import delete_path, write_table
 
 # A model is broadcast only while its estimated size stays below this many bytes.
-BROADCAST_LIMIT = 64 * 1024 * 1024
+BROADCAST_LIMIT = 256 * 1024 * 1024
 MAX_CLASSES = 200
-_ROW_OVERHEAD = 64
+_ROW_OVERHEAD = 96
 
 
 @dataclass
@@ -39,6 +39,10 @@ class Model:
     def estimated_bytes(self):
         return self.rows * (_ROW_OVERHEAD + 16 * len(self.classes))
 
+    def remove(self):
+        """Delete the model's files."""
+        delete_path(self.table.sparkSession, self.path)
+
 
 def _features(kind, text_col):
     return char_grams(text_col, 3) if kind == "char_grams" else words(text_col, 1)
@@ -47,13 +51,13 @@ def _features(kind, text_col):
 def fit(df, text_col, label_col, features="char_grams"):
     """Fit a model on labelled texts.
 
-    Two aggregations: documents per class, and features per class with one count
-    column per class (a single shuffle on the feature, counted per task first). The
-    table is written to the working folder, since its totals and every scoring read
-    it again. Only per-class numbers reach the driver.
+    Documents per class come from the label column alone. Features are counted in a
+    single shuffle on the feature, after counting per task, with one count column per
+    class. The table is written to the working folder, since its totals and every
+    scoring read it again. Only per-class numbers reach the driver.
     """
-    labelled = df.select(F.col(label_col).cast("string").alias("_label"), F.col(text_col).alias("_text")).dropna()
-    documents = labelled.groupBy("_label").count().orderBy("_label").limit(MAX_CLASSES + 1).collect()
+    label = F.col(label_col).cast("string").alias("_label")
+    documents = df.select(label).dropna().groupBy("_label").count().orderBy("_label").limit(MAX_CLASSES + 1).collect()
     if not documents:
         raise ValueError("No labelled rows to fit on")
     if len(documents) > MAX_CLASSES:
@@ -62,7 +66,7 @@ def fit(df, text_col, label_col, features="char_grams"):
     total = sum(row["count"] for row in documents)
 
     counted = (
-        labelled.select("_label", F.explode(_features(features, "_text")).alias("feature"))
+        df.select(label, F.explode(_features(features, text_col)).alias("feature"))
         .groupBy("feature")
         .agg(*[F.count_if(F.col("_label") == c).alias(f"n_{i}") for i, c in enumerate(classes)])
     )
@@ -83,24 +87,36 @@ def fit(df, text_col, label_col, features="char_grams"):
 
 
 def _feature_sums(df, key_col, text, model, broadcast_limit):
-    """One row per text: number of features `_k` and summed log weights `_s0`, `_s1`, …"""
+    """One row per text: number of features `_k` and summed log weights `_s0`, `_s1`, …
+
+    The join key is a 64-bit hash of the feature, which Spark looks up much faster than
+    a string; the feature itself is compared afterwards, so a collision adds nothing.
+    """
     n = range(len(model.classes))
-    weights = model.table.select("feature", *[F.log1p(f"n_{i}").alias(f"_w{i}") for i in n])
-    exploded = df.select(F.col(key_col).alias("_key"), F.explode_outer(_features(model.features, text)).alias("feature"))
+    weights = model.table.select(
+        F.xxhash64("feature").alias("_hash"),
+        F.col("feature").alias("_known"),
+        *[F.log1p(f"n_{i}").alias(f"_w{i}") for i in n],
+    )
+    listed = df.select(F.col(key_col).alias("_key"), _features(model.features, text).alias("_features"))
+    exploded = listed.select(
+        "_key", F.coalesce(F.size("_features"), F.lit(0)).alias("_k"), F.explode_outer("_features").alias("_feature")
+    )
+    known = F.col("_feature") == F.col("_known")
     if model.estimated_bytes <= broadcast_limit:
-        joined = exploded.join(F.broadcast(weights), "feature", "left")
-        weighted = [F.col(f"_w{i}") for i in n]
-        number = F.count("feature")
+        hashed = exploded.withColumn("_hash", F.xxhash64("_feature"))
+        joined = hashed.join(F.broadcast(weights), "_hash", "left")
+        weighted = [F.when(known, F.col(f"_w{i}")) for i in n]
     else:
         # Too large to broadcast: repeated features of a text are counted first, so the
         # shuffle carries each once. A feature common to most texts is a hot join key;
         # adaptive execution splits it, as the model side has a single row for it.
-        counted = exploded.groupBy("_key", "feature").agg(F.count("feature").alias("_times"))
-        joined = counted.join(weights.hint("merge"), "feature", "left")
-        weighted = [F.col("_times") * F.col(f"_w{i}") for i in n]
-        number = F.sum("_times")
+        counted = exploded.groupBy("_key", "_k", "_feature").agg(F.count("*").alias("_times"))
+        hashed = counted.withColumn("_hash", F.xxhash64("_feature"))
+        joined = hashed.join(weights.hint("merge"), "_hash", "left")
+        weighted = [F.when(known, F.col("_times") * F.col(f"_w{i}")) for i in n]
     return joined.groupBy("_key").agg(
-        number.alias("_k"),
+        F.max("_k").alias("_k"),
         *[F.coalesce(F.sum(w), F.lit(0.0)).alias(f"_s{i}") for i, w in enumerate(weighted)],
     )
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.spam import contains_any, repeated_letters, repeated_sentences, repeated_words, spam_reason
-from ..functions.text import char_grams, is_valid_text, percent
+from ..functions.text import is_valid_text, percent
 
 _LOWERED = "_lowered_text"
 
@@ -66,16 +66,30 @@ def drop_missing_cleaned(df, cleaned_col="cleaned_text"):
 def keyword_hits(df, key_col, text_col, keywords):
     """Keys of texts that hold any keyword of a table of any size.
 
-    The way for lists too long for a pattern. Texts and keywords meet on the keyword's
-    first three characters (fewer for shorter keywords), each text giving every such
-    gram once; the pairs found are then checked on the whole text. A common gram is a
-    hot join key on the text side only, which adaptive execution splits.
+    The way for lists too long for a pattern. Every position of a text opens a window
+    as long as the longest keyword. A window is kept only if it starts like some
+    keyword (up to three characters), is then cut to the lengths such keywords have, and
+    must equal a keyword. All joins are on equality and none multiplies rows by
+    keywords. A frequent start is a hot key of the text side, which adaptive execution
+    splits; the starts themselves are few and are broadcast when Spark finds them small.
     """
-    anchored = keywords.select("keyword", F.substring("keyword", 1, 3).alias("_gram"))
-    grams = F.array_distinct(F.concat(*[char_grams(text_col, n) for n in (1, 2, 3)]))
-    texts = df.select(key_col, text_col)
-    pairs = (
-        texts.select(key_col, F.explode(grams).alias("_gram")).join(anchored, "_gram").select(key_col, "keyword")
+    keywords = keywords.select(F.col("keyword").alias("_keyword"))
+    length = F.char_length("_keyword")
+    bounds = keywords.agg(F.min(length), F.max(length)).first()
+    if bounds[0] is None:
+        return df.select(key_col).limit(0)
+    start_length, longest = min(3, bounds[0]), bounds[1]
+
+    starts = keywords.groupBy(F.left("_keyword", F.lit(start_length)).alias("_start")).agg(
+        F.collect_set(length).alias("_lengths")
     )
-    found = pairs.join(texts, key_col).filter(F.contains(F.lower(F.col(text_col)), F.col("keyword")))
-    return found.select(key_col).distinct()
+    windows = F.regexp_extract_all(
+        F.lower(F.col(text_col)), F.lit(f"(?s)(?=(.{{{start_length},{longest}}}))."), F.lit(1)
+    )
+    opened = df.select(key_col, F.explode(F.array_distinct(windows)).alias("_window"))
+    begun = opened.withColumn("_start", F.left("_window", F.lit(start_length))).join(starts, "_start")
+    pieces = begun.select(key_col, "_window", F.explode("_lengths").alias("_length"))
+    candidates = pieces.filter(F.char_length("_window") >= F.col("_length")).select(
+        key_col, F.left("_window", F.col("_length")).alias("_keyword")
+    )
+    return candidates.join(keywords, "_keyword", "left_semi").select(key_col).distinct()

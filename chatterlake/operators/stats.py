@@ -7,8 +7,10 @@ from ..functions.text import as_column, percent
 from .language import keep_english, with_language_name
 
 # Samples up to this many rows are sorted directly; a larger sample is cut by hash range.
-DIRECT_SAMPLE_ROWS = 100_000
-_SAMPLE_RANGES = 1 << 16
+DIRECT_SAMPLE_ROWS = 10_000
+_HASH_DIGITS = 32
+_RANGE_DIGITS = 4
+_COPIES_PER_TASK = 1_000_000
 
 
 def group_counts(df, column, count_col="count"):
@@ -22,16 +24,18 @@ def distribution(df, column, digits=1, count_col="count", share_col="share"):
     The total is a scalar subquery over the counted groups: no cross join and no
     window over a single partition.
     """
+    return _shares(df, column, digits, count_col, share_col).orderBy(F.desc(count_col), F.asc(column))
+
+
+def _shares(df, column, digits, count_col="count", share_col="share"):
     counts = group_counts(df, column, count_col)
     total = counts.select(F.sum(count_col)).scalar()
-    return counts.withColumn(share_col, percent(count_col, total, digits)).orderBy(
-        F.desc(count_col), F.asc(column)
-    )
+    return counts.withColumn(share_col, percent(count_col, total, digits))
 
 
 def language_distribution(df, language_col="language", digits=1):
     """Language counts with names and shares."""
-    named = with_language_name(distribution(df, language_col, digits), language_col)
+    named = with_language_name(_shares(df, language_col, digits), language_col)
     return named.select(language_col, "language_name", "count", "share").orderBy(
         F.desc("count"), F.asc(language_col)
     )
@@ -91,10 +95,12 @@ def sample_key(key, seed=SAMPLE_SEED):
 def sample_exact(df, n, key, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_ROWS):
     """Exactly min(n, rows) rows, the same ones on every run; none or 0 keeps all rows.
 
-    `key` must be unique. A small sample is a top-n by hash. For a large one the
-    hashes are counted in 65,536 ranges (at most as many rows reach the driver), all
-    ranges below the cut are kept by a plain filter, and only the one range that
-    holds the cut is sorted, so no task ever holds the sample.
+    Rows are taken in the order of a hash of `key`; rows with an equal key must be equal.
+    A small sample is a top-n. For a large one the hash that cuts the sample is searched
+    digits by digits: rows are counted in 65,536 hash ranges (only these counts reach the
+    driver), then within the range that holds the cut, until few rows are left there. All
+    rows below are kept by a plain filter and only the last range is sorted, so no task
+    ever holds the sample.
     """
     if not n:
         return df
@@ -102,16 +108,35 @@ def sample_exact(df, n, key, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_ROWS):
     if n <= direct_rows:
         return hashed.orderBy("_hash").limit(n).drop("_hash")
 
-    ranged = hashed.withColumn("_range", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
-    counts = ranged.groupBy("_range").count().orderBy("_range").collect()
-    taken = 0
-    for row in counts:
-        if taken + row["count"] > n:
-            whole = ranged.filter(F.col("_range") < row["_range"])
-            cut = ranged.filter(F.col("_range") == row["_range"]).orderBy("_hash").limit(n - taken)
-            return whole.unionByName(cut).drop("_hash", "_range")
-        taken += row["count"]
-    return df
+    prefix, wanted = "", n
+    while len(prefix) < _HASH_DIGITS:
+        digits = F.substring("_hash", len(prefix) + 1, _RANGE_DIGITS)
+        inside = hashed.filter(F.col("_hash").startswith(prefix)).groupBy(digits.alias("_range")).count()
+        for row in inside.orderBy("_range").collect():
+            if row["count"] > wanted:
+                break
+            wanted -= row["count"]
+        else:
+            return df
+        prefix += row["_range"]
+        if row["count"] <= max(direct_rows, 1):
+            break
+
+    below = hashed.filter(F.col("_hash") < prefix)
+    inside = hashed.filter(F.col("_hash").startswith(prefix))
+    if len(prefix) < _HASH_DIGITS:
+        cut = inside.orderBy("_hash").limit(wanted)
+    else:
+        cut = _copies(inside.limit(1), wanted)
+    return below.unionByName(cut).drop("_hash")
+
+
+def _copies(row, n):
+    """`n` copies of a single row, made by many tasks; for keys with very many equal rows."""
+    whole, rest = divmod(n, _COPIES_PER_TASK)
+    sizes = F.concat(F.array_repeat(F.lit(_COPIES_PER_TASK), whole), F.array(F.lit(rest)))
+    spread = row.withColumn("_size", F.explode(sizes)).repartition(whole + 1)
+    return spread.select(*row.columns, F.explode(F.array_repeat(F.lit(0), F.col("_size"))).alias("_one")).drop("_one")
 
 
 def union_parts(*parts):

@@ -35,12 +35,12 @@ from ..operators.topics import (
     topics_chart,
     word_cloud,
 )
-from ..operators.validate import compare_tables, union_reports
+from ..operators.validate import compare_tables
 from ..sources.csv import find_csv, output_path, read_comments, read_csv, write_csv
 from ..sources.json import read_json_comments
 from ..sources.keywords import keyword_list, read_keywords
 from ..sources.parquet import verify_parquet, write_parquet
-from ..sources.storage import list_files, path_exists, staged, total_size
+from ..sources.storage import list_files, path_exists, spread, staged, total_size
 
 # Files of a tree are independent Spark jobs; this many are submitted at a time.
 CONCURRENT_FILES = 8
@@ -60,48 +60,46 @@ def clean_with(df, text_col, keywords):
 
 
 def score_cleaned(stack, kept, language_model=None, sentiment_model=None, languages=None,
-                  confidence=LANGUAGE_CONFIDENCE):
+                  confidence=LANGUAGE_CONFIDENCE, key_col=None):
     """Language, language filter and English sentiment for cleaned rows.
 
-    Without a language model the rows stay as they are. Scores are computed once per
-    distinct text and written as small tables (hash and numbers, no text), which `stack`
-    removes when it closes. Sentiment is scored for English texts only and missing
-    elsewhere.
+    Without a language model the rows stay as they are. Scores are computed per row if
+    there is a unique `key_col`, else once per distinct text, and written as small tables
+    (key and numbers, no text), which `stack` removes when it closes. Sentiment is scored
+    for English texts only and missing elsewhere.
     """
     if language_model is None:
         return kept
-    texts = distinct_texts(kept, "cleaned_text")
-    wanted = keep_languages(
-        score_languages(texts, "_text_key", "cleaned_text", language_model), languages, confidence
-    )
+    key = key_col or "_text_key"
+    texts = kept.select(key, "cleaned_text") if key_col else distinct_texts(kept, "cleaned_text")
+    wanted = keep_languages(score_languages(texts, key, "cleaned_text", language_model), languages, confidence)
     scores = stack.enter_context(staged(wanted, "languages"))
     if sentiment_model is not None:
-        english = texts.join(scores.filter("language = 'en'"), "_text_key", "left_semi")
-        sentiment = score_sentiment(
-            english, "_text_key", "cleaned_text", sentiment_model, "sentiment", "sentiment_score"
-        )
-        scores = stack.enter_context(staged(scores.join(sentiment, "_text_key", "left"), "scores"))
-    return join_text_scores(kept, "cleaned_text", scores)
+        english = texts.join(scores.filter("language = 'en'"), key, "left_semi")
+        sentiment = score_sentiment(english, key, "cleaned_text", sentiment_model, "sentiment", "sentiment_score")
+        scores = stack.enter_context(staged(scores.join(sentiment, key, "left"), "scores"))
+    return kept.join(scores, key) if key_col else join_text_scores(kept, "cleaned_text", scores)
 
 
 def analyze_comments(spark, input_path, output, comment_col="comment", keywords_path=None, languages=None,
                      confidence=LANGUAGE_CONFIDENCE, language_model=None, sentiment_model=None,
-                     n_topics=DEFAULT_TOPICS, topics=True, charts=False):
+                     n_topics=DEFAULT_TOPICS, topics=True, charts=False, key_col=None):
     """Clean, filter and score comments; write the rows, topics and chart tables.
 
     The input is parsed once into a staged table with the cleaned text (NULL for spam),
     the scored rows into a second one; all reports read just their columns from
     these. Writes `output` (CSV), `<output stem>_metadata.json` and, with `charts`,
-    tables below `<output stem>_charts`. Returns {name: DataFrame} of the small reports.
+    tables below `<output stem>_charts`. A unique `key_col` saves the shuffle that folds
+    equal texts. Returns {name: DataFrame} of the small reports.
     """
-    raw = rename_text_column(read_comments(spark, input_path), comment_col)
+    raw = rename_text_column(spread(read_comments(spark, input_path)), comment_col)
     keywords = read_keywords(spark, keywords_path)
     reports = {}
 
     with ExitStack() as stack:
         cleaned = stack.enter_context(staged(clean_with(raw, "comment", keywords), "cleaned"))
         kept = cleaned.filter(F.col("cleaned_text").isNotNull())
-        scored = score_cleaned(stack, kept, language_model, sentiment_model, languages, confidence)
+        scored = score_cleaned(stack, kept, language_model, sentiment_model, languages, confidence, key_col)
         rows = stack.enter_context(staged(scored, "scored"))
         write_csv(rows, output)
         total, kept_count = cleaned.count(), rows.count()
@@ -171,7 +169,7 @@ def label_comments(spark, input_path, output=None, label_type="tourism", sample=
     return label_summary(read_csv(spark, output), f"{label_type}_related")
 
 
-def score_comment_sentiment(stack, df, text_col, model=None):
+def score_comment_sentiment(stack, df, text_col, model=None, key_col=None):
     """Sentiment of every row: missing text is empty, long text is cut, blank text is a fixed word.
 
     The cut is this command's rule for what it scores; the row keeps its whole text.
@@ -179,17 +177,20 @@ def score_comment_sentiment(stack, df, text_col, model=None):
     if model is None:
         return with_neutral_sentiment(df)
     prepared = df.withColumn("_scored_text", truncate_text(fill_missing(text_col)))
+    if key_col:
+        scores = stack.enter_context(staged(score_sentiment(prepared, key_col, "_scored_text", model), "scores"))
+        return df.join(scores, key_col)
     texts = distinct_texts(prepared, "_scored_text")
     scores = stack.enter_context(staged(score_sentiment(texts, "_text_key", "_scored_text", model), "scores"))
     return join_text_scores(prepared, "_scored_text", scores).drop("_scored_text")
 
 
-def analyze_sentiment(spark, input_path, output=None, comment_col="comment", model=None):
+def analyze_sentiment(spark, input_path, output=None, comment_col="comment", model=None, key_col=None):
     """Score the sentiment of every comment, write CSV, return the distribution."""
     comments = require_column(read_comments(spark, input_path), comment_col)
     output = output or output_path(input_path, "_with_sentiment.csv")
     with ExitStack() as stack:
-        write_csv(score_comment_sentiment(stack, comments, comment_col, model), output)
+        write_csv(score_comment_sentiment(stack, comments, comment_col, model, key_col), output)
     return sentiment_distribution(read_csv(spark, output))
 
 
@@ -278,7 +279,8 @@ def compare_csv_parquet(spark, csv_path, parquet_path, mode="compat"):
 def compare_folders(spark, csv_dir, parquet_dir, output=None, mode="compat"):
     """Compare two folder trees pair by pair, matched by relative path without extension.
 
-    A file without a partner is reported with NULL counts. Writes JSON when `output` is given.
+    Each pair is a Spark job that gives one row; several run at a time. A file without a
+    partner is reported with NULL counts. Writes JSON when `output` is given.
     """
     def stems(folder, extension, pattern):
         rows = list_files(spark, folder, extension).select("path").collect()
@@ -286,16 +288,20 @@ def compare_folders(spark, csv_dir, parquet_dir, output=None, mode="compat"):
 
     csv_stems = stems(csv_dir, ".csv", ".csv")
     parquet_stems = stems(parquet_dir, ".parquet", ".parquet")
-    empty = "left_rows bigint, right_rows bigint, only_left bigint, only_right bigint, " \
-            "columns_only_left string, columns_only_right string, equal boolean"
-    reports = []
-    for stem in sorted(csv_stems | parquet_stems):
-        if stem in csv_stems and stem in parquet_stems:
-            report = compare_csv_parquet(spark, f"{csv_dir}/{stem}.csv", f"{parquet_dir}/{stem}.parquet", mode)
-        else:
-            report = spark.createDataFrame([(None,) * 6 + (False,)], empty)
-        reports.append(report.withColumn("file", F.lit(stem)))
-    result = union_reports(reports)
+
+    def compare(stem):
+        if stem not in csv_stems or stem not in parquet_stems:
+            return (stem, None, None, None, None, None, None, False)
+        report = compare_csv_parquet(spark, f"{csv_dir}/{stem}.csv", f"{parquet_dir}/{stem}.parquet", mode)
+        return (stem, *report.first())
+
+    with ThreadPoolExecutor(CONCURRENT_FILES) as pool:
+        rows = list(pool.map(compare, sorted(csv_stems | parquet_stems)))
+    result = spark.createDataFrame(
+        rows,
+        "file string, left_rows bigint, right_rows bigint, only_left bigint, only_right bigint, "
+        "columns_only_left string, columns_only_right string, equal boolean",
+    )
     if output:
         result.write.mode("overwrite").json(output)
     return result

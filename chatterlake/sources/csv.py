@@ -64,6 +64,7 @@ def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, m
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnPruning", False)
+        .option("enforceSchema", False)
     )
     if is_folder(spark, path):
         any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)

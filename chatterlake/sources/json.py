@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_json_comments(spark, path):
+def read_json_comments(spark, path, schema=None):
     """Read `{"comments": [{…}]}` or `[{…}]`, one document per file; a path may be a folder.
 
     The columns are the union of all records' fields (Spark orders them by name);
-    a field absent from a record is NULL.
+    a field absent from a record is NULL. A known `schema` of the documents saves the
+    pass that infers it.
     """
-    documents = spark.read.option("multiLine", True).json(path)
+    reader = spark.read.option("multiLine", True)
+    documents = (reader.schema(schema) if schema else reader).json(path)
     if "comments" not in documents.columns:
         return documents
     kind = documents.schema["comments"].dataType
