@@ -24,7 +24,7 @@ def needed_keywords(keywords):
     return sorted(kept)
 
 
-def _prefix_pattern(tails):
+def prefix_pattern(tails):
     """Alternation over sorted strings with common prefixes written once."""
     if "" in tails:
         return ""
@@ -34,7 +34,7 @@ def _prefix_pattern(tails):
     branches = []
     for group in groups.values():
         prefix = os.path.commonprefix(group)
-        branches.append(re.escape(prefix) + _prefix_pattern([t[len(prefix):] for t in group]))
+        branches.append(re.escape(prefix) + prefix_pattern([t[len(prefix):] for t in group]))
     return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
 
@@ -46,7 +46,7 @@ def keyword_pattern(keywords):
     """
     keywords = needed_keywords(keywords)
     heads = "".join(sorted({re.escape(k[0]) for k in keywords}))
-    return f"(?=[{heads}])" + _prefix_pattern(keywords)
+    return f"(?=[{heads}])" + prefix_pattern(keywords)
 
 
 def contains_any(text, keywords):

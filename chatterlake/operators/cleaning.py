@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.spam import contains_any, repeated_letters, repeated_sentences, repeated_words, spam_reason
+from ..functions.spam import contains_any, prefix_pattern, repeated_letters, repeated_sentences, repeated_words, spam_reason
 from ..functions.text import is_valid_text, percent
 
 _LOWERED = "_lowered_text"
+# Keyword starts up to this number are looked for while cutting windows; beyond it,
+# windows open everywhere and the join with the starts sorts them out.
+MAX_STARTS = 20_000
 
 
 def _with_lowered(df, text_col):
@@ -67,11 +70,10 @@ def keyword_hits(df, key_col, text_col, keywords):
     """Keys of texts that hold any keyword of a table of any size.
 
     The way for lists too long for a pattern. Every position of a text opens a window
-    as long as the longest keyword. A window is kept only if it starts like some
-    keyword (up to three characters), is then cut to the lengths such keywords have, and
-    must equal a keyword. All joins are on equality and none multiplies rows by
-    keywords. A frequent start is a hot key of the text side, which adaptive execution
-    splits; the starts themselves are few and are broadcast when Spark finds them small.
+    as long as the longest keyword, if the text goes on there like some keyword starts
+    (up to three characters). It is then cut to the lengths such keywords have and must
+    equal a keyword. All joins are on equality and none multiplies rows by keywords. A
+    frequent start is a hot key of the text side, which adaptive execution splits.
     """
     keywords = keywords.select(F.col("keyword").alias("_keyword"))
     length = F.char_length("_keyword")
@@ -83,8 +85,10 @@ def keyword_hits(df, key_col, text_col, keywords):
     starts = keywords.groupBy(F.left("_keyword", F.lit(start_length)).alias("_start")).agg(
         F.collect_set(length).alias("_lengths")
     )
+    known = [row["_start"] for row in starts.select("_start").limit(MAX_STARTS + 1).collect()]
+    begin = f"(?:{prefix_pattern(sorted(known))})" if len(known) <= MAX_STARTS else f".{{{start_length}}}"
     windows = F.regexp_extract_all(
-        F.lower(F.col(text_col)), F.lit(f"(?s)(?=(.{{{start_length},{longest}}}))."), F.lit(1)
+        F.lower(F.col(text_col)), F.lit(f"(?s)(?=({begin}.{{0,{longest - start_length}}}))."), F.lit(1)
     )
     opened = df.select(key_col, F.explode(F.array_distinct(windows)).alias("_window"))
     begun = opened.withColumn("_start", F.left("_window", F.lit(start_length))).join(starts, "_start")
