@@ -7,7 +7,7 @@ from chatterlake.plans import jobs
 
 KEYWORDS = ["subscribe", "free gift"]
 CASES = [
-    (None, None), ("", None), ("ab", None), ("  a  ", None), ("abc", "abc"), (" ab ", None),
+    (None, None), ("", None), ("ab", None), ("  a  ", None), ("abc", "abc"), ("\u00a0ab\u2003", None),
     ("Great VIDEO", "great video"), ("  Padded  ", "  padded  "), ("Unsubscribed now", None), ("sooo", "sooo"),
     ("soooo", None), ("😂😂😂😂 ok", None), ("a    b", None), ("good Good", None), ("good goods", "good goods"),
     ("good, good", "good, good"), ("nice. nice.", None), ("it is so. It is so.", None), ("nice. nice", "nice. nice"),
