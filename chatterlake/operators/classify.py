@@ -99,9 +99,9 @@ def _feature_sums(df, key_col, text, model, broadcast_limit):
         *[F.log1p(f"n_{i}").alias(f"_w{i}") for i in n],
     )
     listed = df.select(F.col(key_col).alias("_key"), _features(model.features, text).alias("_features"))
-    exploded = listed.select(
-        "_key", F.coalesce(F.size("_features"), F.lit(0)).alias("_k"), F.explode_outer("_features").alias("_feature")
-    )
+    # Counted before the explode, so that the list itself is not carried along with each of its items.
+    sized = listed.select("_key", F.coalesce(F.size("_features"), F.lit(0)).alias("_k"), "_features")
+    exploded = sized.select("_key", "_k", F.explode_outer("_features").alias("_feature"))
     known = F.col("_feature") == F.col("_known")
     if model.estimated_bytes <= broadcast_limit:
         hashed = exploded.withColumn("_hash", F.xxhash64("_feature"))

@@ -24,6 +24,8 @@ from ..functions.text import as_column
 # suffixes such as `1d`.
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|Inf|infinity|Infinity)\s*$"
+# Doubles below this are safe to cast to bigint.
+LARGEST_WHOLE = 9.2e18
 
 RULES = (
     ("boolean", BOOLEAN_COLUMNS, BOOLEAN_NAME_PARTS),
@@ -63,7 +65,7 @@ def to_integer(text):
     """Bigint value of a whole number; exact for large ids, also reads `5.0` and `1e3`."""
     text = as_column(text)
     number = to_number(text)
-    whole = F.when((number == F.floor(number)) & (F.abs(number) < 9.2e18), number.cast("bigint"))
+    whole = F.when((number == F.floor(number)) & (F.abs(number) < LARGEST_WHOLE), number.cast("bigint"))
     return F.coalesce(F.when(text.rlike(INTEGER_PATTERN), text.try_cast("bigint")), whole)
 
 
@@ -99,19 +101,25 @@ def profile_strings(df, columns=None):
     columns = string_columns(df) if columns is None else columns
     if not columns:
         return {}
+    # Numbers are parsed in a projection of their own, once per value; the counts use them.
+    parsed = df.select(
+        *[_quoted(name).alias(f"t{i}") for i, name in enumerate(columns)],
+        *[to_number(_quoted(name)).alias(f"n{i}") for i, name in enumerate(columns)],
+    )
     parts = [F.count("*").alias("rows")]
-    for i, name in enumerate(columns):
-        text = _quoted(name)
-        number = to_number(text)
+    for i in range(len(columns)):
+        text, number = F.col(f"t{i}"), F.col(f"n{i}")
+        filled = number.isNotNull()
+        whole = (number == F.floor(number)) & (F.abs(number) < LARGEST_WHOLE)
         parts += [
             F.count(text).alias(f"filled_{i}"),
-            F.count_if(to_integer(text).isNotNull() & text.rlike(INTEGER_PATTERN)).alias(f"integers_{i}"),
+            F.count_if(filled & whole & text.rlike(INTEGER_PATTERN)).alias(f"integers_{i}"),
             F.count(number).alias(f"numbers_{i}"),
-            F.count_if(number.isNotNull() & to_integer(text).isNull()).alias(f"fractions_{i}"),
+            F.count_if(filled & ~whole).alias(f"fractions_{i}"),
             F.count_if(text.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"booleans_{i}"),
             F.count(to_boolean(text)).alias(f"flags_{i}"),
         ]
-    row = df.agg(*parts).first()
+    row = parsed.agg(*parts).first()
     keys = ("filled", "integers", "numbers", "fractions", "booleans", "flags")
     return {
         name: {"rows": row["rows"], **{key: row[f"{key}_{i}"] for key in keys}}

@@ -112,7 +112,7 @@ def sample_exact(df, n, key, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_ROWS):
     while len(prefix) < _HASH_DIGITS:
         digits = F.substring("_hash", len(prefix) + 1, _RANGE_DIGITS)
         inside = hashed.filter(F.col("_hash").startswith(prefix)).groupBy(digits.alias("_range")).count()
-        for row in inside.orderBy("_range").collect():
+        for row in sorted(inside.collect(), key=lambda r: r["_range"]):
             if row["count"] > wanted:
                 break
             wanted -= row["count"]

@@ -31,40 +31,48 @@ def ranked_topics(df, n=DEFAULT_TOPICS, text_col="cleaned_text"):
     return top_words(df, n, text_col).select(F.row_number().over(order).alias("rank"), "topic", "count")
 
 
-def topics_by_language(df, n_languages=5, n_topics=DEFAULT_TOPICS, text_col="cleaned_text", language_col="language"):
-    """The most frequent words of each of the most frequent languages.
+def frequent_languages(df, k=5, language_col="language"):
+    """The `k` languages with most rows, from the language column alone."""
+    return top_groups(df.dropna(subset=[language_col]), language_col, k).select(language_col)
+
 
-    The languages are found on the language column alone and broadcast (at most
-    `n_languages` rows). Words are counted per language before the window, so a
-    language that holds most rows costs the window only its distinct words, and
-    Spark cuts those to `n_topics` per task ahead of the shuffle.
+def language_word_counts(df, languages, text_col="cleaned_text", language_col="language"):
+    """Occurrences of each word per language, for the given few languages.
+
+    `languages` is a handful of rows and is broadcast. Words are counted per task before
+    the shuffle, so a language that holds most rows costs later steps only its distinct words.
     """
-    frequent = top_groups(df.dropna(subset=[language_col]), language_col, n_languages).select(language_col)
-    kept = df.join(F.broadcast(frequent), language_col, "left_semi")
-    counts = (
-        topic_words(kept, text_col, keep=[language_col])
-        .groupBy(language_col, "topic")
-        .agg(F.count("*").alias("count"))
-    )
+    kept = df.join(F.broadcast(languages), language_col, "left_semi")
+    return topic_words(kept, text_col, keep=[language_col]).groupBy(language_col, "topic").agg(F.count("*").alias("count"))
+
+
+def rank_topics(counts, n_topics=DEFAULT_TOPICS, language_col="language"):
+    """The most frequent words of each language; Spark cuts to `n_topics` per task ahead of the shuffle."""
     order = Window.partitionBy(language_col).orderBy(F.desc("count"), F.asc("topic"))
     ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n_topics)
     return with_language_name(ranked, language_col).select(language_col, "language_name", "rank", "topic", "count")
 
 
+def with_weights(topics, language_col="language"):
+    """Add each word's count over the language's largest count; the input is ranked and small."""
+    largest = F.max("count").over(Window.partitionBy(language_col))
+    return topics.withColumn("weight", F.round(F.col("count") / largest, 6))
+
+
+def topics_by_language(df, n_languages=5, n_topics=DEFAULT_TOPICS, text_col="cleaned_text", language_col="language"):
+    """The most frequent words of each of the most frequent languages."""
+    languages = frequent_languages(df, n_languages, language_col)
+    return rank_topics(language_word_counts(df, languages, text_col, language_col), n_topics, language_col)
+
+
 def topics_chart(df, text_col="cleaned_text", language_col="language"):
     """Bar-chart data: 15 words for each of the 3 most frequent languages."""
     return topics_by_language(df, 3, 15, text_col, language_col)
 
 
 def word_cloud(df, text_col="cleaned_text", language_col="language"):
-    """Word-cloud data: 100 words for each of the 5 most frequent languages, with weights.
-
-    The weight is the count over the language's largest count, which is rank 1, so
-    the window runs over at most 500 rows.
-    """
-    top = topics_by_language(df, 5, 100, text_col, language_col)
-    largest = F.max("count").over(Window.partitionBy(language_col))
-    return top.withColumn("weight", F.round(F.col("count") / largest, 6))
+    """Word-cloud data: 100 words for each of the 5 most frequent languages, with weights."""
+    return with_weights(topics_by_language(df, 5, 100, text_col, language_col), language_col)
 
 
 def topic_metadata(topics):

@@ -28,12 +28,13 @@ from ..operators.stats import (
     sentiment_distribution,
 )
 from ..operators.topics import (
+    frequent_languages,
+    language_word_counts,
     overall_topic_metadata,
+    rank_topics,
     ranked_topics,
     topic_metadata,
-    topics_by_language,
-    topics_chart,
-    word_cloud,
+    with_weights,
 )
 from ..operators.validate import compare_tables
 from ..sources.csv import find_csv, output_path, read_comments, read_csv, write_csv
@@ -105,22 +106,27 @@ def analyze_comments(spark, input_path, output, comment_col="comment", keywords_
         total, kept_count = cleaned.count(), rows.count()
         reports["removal_stats"] = _removal_report(spark, total, kept_count)
 
-        many = "language" in rows.columns and distinct_values(rows, "language").first()[0] > 1
+        languages = distinct_values(rows, "language").first()[0] if "language" in rows.columns else 0
+        if kept_count and languages and (topics or charts):
+            # Words are counted once; topics, bar chart and word cloud rank the same counts.
+            counts = language_word_counts(rows, frequent_languages(rows, 5))
+            counts = stack.enter_context(staged(counts, "words"))
         if topics and kept_count:
-            if many:
-                found = _keep(topics_by_language(rows, 5, n_topics))
+            if languages > 1:
+                found = _keep(rank_topics(counts, n_topics))
                 document = topic_metadata(found)
             else:
                 found = _keep(ranked_topics(rows, n_topics))
                 document = overall_topic_metadata(found)
             document.coalesce(1).write.mode("overwrite").json(output_path(output, "_metadata.json"))
             reports["topics"] = found
-        if many:
+        if languages > 1:
             reports["language_distribution"] = _keep(language_distribution(rows))
         if charts and kept_count:
             folder = output_path(output, "_charts")
-            for name, table in chart_tables(rows).items():
-                table.write.mode("overwrite").parquet(f"{folder}/{name}")
+            tables = chart_tables(rows, counts if languages else None)
+            with ThreadPoolExecutor(len(tables) or 1) as pool:
+                list(pool.map(lambda t: t[1].write.mode("overwrite").parquet(f"{folder}/{t[0]}"), tables.items()))
     return reports
 
 
@@ -140,15 +146,16 @@ def _keep(report):
     return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
-def chart_tables(rows):
-    """The tables behind the charts, for the columns that are there."""
+def chart_tables(rows, counts=None):
+    """The tables behind the charts, for the columns that are there; `counts` are word counts per language."""
     tables = {}
     if "sentiment" in rows.columns:
         tables["sentiment_distribution"] = english_sentiment_distribution(rows)
-    if "language" in rows.columns:
+    if counts is not None:
+        top_three = F.broadcast(frequent_languages(rows, 3))
         tables["language_distribution"] = language_distribution(rows)
-        tables["word_cloud"] = word_cloud(rows)
-        tables["topics"] = topics_chart(rows)
+        tables["word_cloud"] = with_weights(rank_topics(counts, 100))
+        tables["topics"] = rank_topics(counts.join(top_three, "language", "left_semi"), 15)
     if "timestamp" in rows.columns:
         tables["daily_counts"] = daily_counts(parse_timestamp(rows, "timestamp"), "timestamp")
     return tables
