@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.text import percent
+from ..sources.csv import csv_options
 
 # Date directives of `strftime` and their Spark pattern letters.
 _DIRECTIVES = {
@@ -36,14 +37,18 @@ def with_year(df, date_col, date_format=None, year_col="year"):
     return df.withColumn(year_col, F.year(parsed))
 
 
-def write_by_year(df, date_col, path="yearly_data", date_format=None, mode="overwrite"):
+def write_by_year(df, date_col, path="yearly_data", date_format=None, mode="overwrite", file_format="parquet"):
     """Write one folder per year; rows with unreadable dates go to the NULL folder.
 
     The rebalance hint gathers each year into few files and splits a year that is
     larger than a partition, so neither small files nor a hot year pile up.
     """
     yearly = with_year(df, date_col, date_format).hint("rebalance", "year")
-    yearly.write.mode(mode).partitionBy("year").parquet(path)
+    writer = yearly.write.mode(mode).partitionBy("year")
+    if file_format == "csv":
+        csv_options(writer).csv(path)
+    else:
+        writer.format(file_format).save(path)
     return path
 
 

@@ -36,7 +36,10 @@ from ..operators.topics import (
     topic_metadata,
     with_weights,
 )
-from ..operators.validate import compare_tables
+from ..operators.validate import compare_tables, profile_table, sample_rows, table_schema
+from ..operators.yearly import label_results as results_per_file
+from ..operators.yearly import rows_per_year, write_by_year
+from ..operators.yearly import yearly_trends as trends_per_year
 from ..sources.csv import find_csv, output_path, read_comments, read_csv, write_csv
 from ..sources.json import read_json_comments
 from ..sources.keywords import keyword_list, read_keywords
@@ -320,6 +323,42 @@ def _stem(relative, extension):
     return relative[:at]
 
 
+def examine_parquet(spark, path, samples=10):
+    """Schema, column profile and some rows of a Parquet table."""
+    table = spark.read.parquet(path)
+    return {"schema": table_schema(table), "profile": profile_table(table), "samples": sample_rows(table, samples)}
+
+
+def split_by_year(spark, input_path, date_col, output_dir="yearly_data", date_format=None, file_format="parquet"):
+    """Split a comment CSV into one folder per year; returns rows per year as written."""
+    comments = require_column(read_comments(spark, input_path), date_col)
+    write_by_year(comments, date_col, output_dir, date_format, file_format=file_format)
+    return rows_per_year(read_yearly(spark, output_dir, file_format))
+
+
+def read_yearly(spark, folder, file_format="parquet"):
+    """A folder written by year, with its `year` column."""
+    if file_format == "csv":
+        return read_csv(spark, folder, file_name_col="_file").withColumn(
+            "year", F.regexp_extract("_file", r"year=(\d+)", 1).try_cast("int")
+        ).drop("_file")
+    return spark.read.format(file_format).load(folder)
+
+
+def label_results(spark, path, label_col="tourism_related"):
+    """Matches per labelled CSV file, for one file or a folder of them."""
+    labelled = require_column(read_csv(spark, path, file_name_col="file"), label_col)
+    return results_per_file(labelled, label_col)
+
+
+def yearly_trends(spark, folder, label_col="tourism_related", output=None, file_format="parquet"):
+    """Matches per year of a labelled yearly folder; written as a table when `output` is given."""
+    trends = trends_per_year(require_column(read_yearly(spark, folder, file_format), label_col), label_col)
+    if output:
+        trends.write.mode("overwrite").parquet(output)
+    return trends
+
+
 def cleaned_removal_stats(df, text_col="comment", keywords=()):
     """Removal statistics of cleaning alone."""
     cleaned = with_cleaned_text(df, text_col, keywords)

@@ -100,6 +100,19 @@ def read_comments(spark, path, on_bad_lines="error", **options):
     return read_csv(spark, path, on_bad_lines=on_bad_lines, **options)
 
 
+def csv_options(writer, delimiter=","):
+    """Options under which written values are read back as they were."""
+    return (
+        writer.option("header", True)
+        .option("sep", delimiter)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
+
+
 def plain_columns(df):
     """Columns a CSV file can hold: nested values as JSON text."""
     nested = (T.ArrayType, T.MapType, T.StructType)
@@ -113,18 +126,7 @@ def plain_columns(df):
 
 def write_csv(df, path, mode="overwrite", delimiter=","):
     """Write CSV with header that `read_csv` reads back unchanged."""
-    (
-        plain_columns(df)
-        .write.mode(mode)
-        .option("header", True)
-        .option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    csv_options(plain_columns(df).write.mode(mode), delimiter).csv(path)
     return path
 
 

@@ -142,6 +142,31 @@ def test_json_to_csv(spark, tmp_path):
     assert rows(csv.read_csv(spark, str(tmp_path / "c.csv"))) == [("1", None), (None, "x")]
 
 
+@pytest.mark.parametrize("file_format", ["parquet", "csv"])
+def test_yearly_jobs(spark, tmp_path, file_format):
+    (tmp_path / "c.csv").write_text('comment,d,tourism_related\n"a\nb",03/2020,1\nx,04/2020,0\ny,01/2021,1\nz,?,0\n')
+    folder = str(tmp_path / "years")
+    counts = jobs.split_by_year(spark, str(tmp_path / "c.csv"), "d", folder, "%m/%Y", file_format)
+    assert sorted(rows(counts), key=str) == [(2020, 2), (2021, 1), (None, 1)]
+    trends = jobs.yearly_trends(spark, folder, output=str(tmp_path / "trends"), file_format=file_format)
+    assert sorted(rows(trends), key=str) == [(2020, 2, 1, 50.0), (2021, 1, 1, 100.0), (None, 1, 0, 0.0)]
+    assert spark.read.parquet(str(tmp_path / "trends")).count() == 3
+
+
+def test_label_results_per_file(spark, tmp_path):
+    for name, lines in (("a.csv", "x,1\ny,0\n"), ("b.csv", "z,1\n")):
+        (tmp_path / name).write_text("comment,tourism_related\n" + lines)
+    got = jobs.label_results(spark, str(tmp_path))
+    assert sorted((r[0].rsplit("/", 1)[1], *r[1:]) for r in rows(got)) == [("a.csv", 2, 1, 50.0), ("b.csv", 1, 1, 100.0)]
+
+
+def test_examine_parquet(spark, tmp_path):
+    spark.range(20).write.parquet(str(tmp_path / "t"))
+    found = jobs.examine_parquet(spark, str(tmp_path / "t"), 3)
+    assert found["samples"].count() == 3 and rows(found["profile"])[0][:5] == ("id", 20, 0, "0", "19")
+    assert rows(found["schema"]) == [(0, "id", "bigint", True)]
+
+
 def test_streams(spark, tmp_path):
     """Row-wise operators take a streaming frame and give what they give for a table."""
     frame = spark.createDataFrame([("Lovely Beach", "5"), ("good good", "6")], "comment string, like_count string")
