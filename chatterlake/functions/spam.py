@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from .fixed_values import SPACE, WORD
+from .fixed_values import SPACE, SPACE_CHARS, WORD
 from .text import as_column, is_valid_text
 
 REASONS = ("too_short", "keyword", "repeated_letters", "repeated_words", "repeated_sentences")
@@ -71,17 +71,21 @@ def repeated_sentences(text):
     """A passage ending in a dot directly followed by itself (`nice. nice.`).
 
     Searched on the reversed text, where every candidate starts at a dot; a search
-    on the text itself would start at every character. The first pattern covers
-    passages without an inner dot in linear time. A passage with an inner dot
-    forces two equal segments between dots, so the general pattern is tried only
-    on texts where splitting at dots gives duplicates.
+    on the text itself would start at every character. Whitespace at the start of a
+    passage can always count as separator instead, so a candidate ends (read backwards)
+    in a visible character, or is a single space. The first two patterns cover passages
+    without an inner dot in linear time. A passage with an inner dot forces two equal
+    segments between dots, so the general pattern is tried only on texts where splitting
+    at dots gives duplicates.
     """
     text = as_column(text)
     backwards = F.reverse(text)
     segments = F.split(text, r"\.")
-    one_sentence = backwards.rlike(rf"\.([^.\n]+){SPACE}+\.\1")
+    one_sentence = backwards.rlike(
+        rf"\.(?:([^.\n]*[^.\n{SPACE_CHARS}]){SPACE}+\.\1|([{SPACE_CHARS}&&[^\n]]){SPACE}+\.\2)"
+    )
     has_equal_segments = F.size(F.array_distinct(segments)) < F.size(segments)
-    any_passage = backwards.rlike(rf"(?d)\.(.+?){SPACE}+\.\1")
+    any_passage = backwards.rlike(rf"(?d)\.(.*?[^\n{SPACE_CHARS}]){SPACE}+\.\1")
     return one_sentence | (has_equal_segments & any_passage)
 
 

@@ -44,15 +44,12 @@ def _field_count(record, delimiter):
     return (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter)))) / len(delimiter) + 1
 
 
-def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, missing_words=MISSING_WORDS,
-             file_name_col=None, extension=".csv"):
-    """Read a CSV file or folder tree with header; all columns are strings.
+def _read_records(spark, path, delimiter, multi_line, extension):
+    """Records as read, the column names, and the test for records with too many fields.
 
-    Short lines are padded with missing values. Over-long lines are left out
-    (`on_bad_lines="skip"`) or fail the job (`"error"`). Spark marks both kinds as
-    corrupt and keeps the raw record of those alone, so only they are counted out
-    field by field. Column pruning must be off for the reader to notice them.
-    `multi_line=None` finds out whether line breaks in quotes occur.
+    Short and over-long lines are both corrupt to Spark, which keeps the raw record of
+    those alone, so only they are counted out field by field. Column pruning must be off
+    for the reader to notice them.
     """
     if multi_line is None:
         multi_line = _needs_multi_line(spark, path, extension)
@@ -75,9 +72,25 @@ def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, m
 
     # Spark refuses queries on the corrupt-record column alone (a bare count would be
     # one), so the test also touches a data column, adding nothing to the text.
-    touched = F.left(F.coalesce(F.col("`" + names[0].replace("`", "``") + "`"), F.lit("")), F.lit(0))
+    touched = F.left(F.coalesce(_named(names[0]), F.lit("")), F.lit(0))
     record = F.concat(F.col(_RECORD), touched)
     too_long = F.coalesce(_field_count(record, delimiter) > len(names), F.lit(False))
+    return records, names, record, too_long
+
+
+def _named(name):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, missing_words=MISSING_WORDS,
+             file_name_col=None, extension=".csv"):
+    """Read a CSV file or folder tree with header; all columns are strings.
+
+    Short lines are padded with missing values. Over-long lines are left out
+    (`on_bad_lines="skip"`, see `bad_lines`) or fail the job (`"error"`).
+    `multi_line=None` finds out whether line breaks in quotes occur.
+    """
+    records, names, record, too_long = _read_records(spark, path, delimiter, multi_line, extension)
     if on_bad_lines == "error":
         checked = F.when(too_long, F.raise_error(F.concat(F.lit("Too many fields: "), record))).otherwise(True)
         records = records.filter(checked.cast("boolean"))
@@ -88,13 +101,19 @@ def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, m
 
     columns = []
     for name in names:
-        value = F.col("`" + name.replace("`", "``") + "`")
+        value = _named(name)
         columns.append(F.when(~value.isin(missing_words), value).alias(name) if missing_words else value)
     if file_name_col:
         columns.append(F.input_file_name().alias(file_name_col))
     return records.select(*columns)
 
 
+def bad_lines(spark, path, delimiter=",", multi_line=None, extension=".csv"):
+    """The raw over-long records that `read_csv` leaves out, with their file."""
+    records, _, record, too_long = _read_records(spark, path, delimiter, multi_line, extension)
+    return records.filter(too_long).select(F.input_file_name().alias("file"), record.alias("record"))
+
+
 def read_comments(spark, path, on_bad_lines="error", **options):
     """Read a comment CSV; an over-long line is an error, as the input is then damaged."""
     return read_csv(spark, path, on_bad_lines=on_bad_lines, **options)

@@ -32,6 +32,12 @@ def test_selecting_or_counting_does_not_change_which_rows_there_are(spark, comme
     assert table.count() == len(WANT)
 
 
+def test_left_out_lines_can_be_listed(spark, comment_file):
+    listed = csv.bad_lines(spark, comment_file)
+    assert [r.strip() for r in column(listed.select("record"))] == ["x,4,5,EXTRA", "y,4,5,", "z,4,5,,"]
+    assert listed.count() == 3
+
+
 def test_too_long_lines_can_be_an_error(spark, comment_file, tmp_path):
     with pytest.raises(Exception, match="Too many fields"):
         csv.read_comments(spark, comment_file).collect()

@@ -97,6 +97,8 @@ def test_long_texts_stay_linear(spark):
     texts = ["a" + " " * 200_000 + "b", "ab" * 200_000, "word " * 50_000, "a. b, " * 20_000]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     got = frame.select(text.stripped_length("t"), spam.repeated_letters(F.col("t")), spam.repeated_words(F.col("t"))).collect()
+    spaced = spark.createDataFrame([("x." + " " * 200_000 + "b. " + "c" * 100_000,), ("a b \t" * 50_000 + ".",)], "t string")
+    assert column(spaced.select(spam.repeated_sentences(F.col("t")))) == [False, False]
     assert [tuple(r) for r in got] == [
         (200_002, True, False), (400_000, False, False), (249_999, False, True), (119_999, False, False),
     ]
