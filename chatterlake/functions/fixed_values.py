@@ -26,6 +26,8 @@ NEUTRAL_LABEL = "NEUTRAL"
 NEUTRAL_SCORE = 0.5
 DEFAULT_TOPICS = 10
 SAMPLE_SEED = 42
+MODEL_BATCH = 32
+SENTIMENT_BATCH = 100
 
 # --- fixed values: supported languages -------------------------------------------
 LANGUAGE_NAMES = {

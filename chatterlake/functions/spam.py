@@ -73,8 +73,9 @@ def repeated_sentences(text):
     Searched on the reversed text, where every candidate starts at a dot; a search
     on the text itself would start at every character. Whitespace at the start of a
     passage can always count as separator instead, so a candidate ends (read backwards)
-    in a visible character, or is a single space. The first two patterns cover passages
-    without an inner dot in linear time. A passage with an inner dot forces two equal
+    in a visible character, or is a single space. The first pattern covers passages
+    without an inner dot in linear time; its lookahead rejects a dot unless the characters
+    in front of this dot and of the one before are the same. A passage with an inner dot forces two equal
     segments between dots, so the general pattern is tried only on texts where splitting
     at dots gives duplicates.
     """
@@ -82,7 +83,7 @@ def repeated_sentences(text):
     backwards = F.reverse(text)
     segments = F.split(text, r"\.")
     one_sentence = backwards.rlike(
-        rf"\.(?:([^.\n]*[^.\n{SPACE_CHARS}]){SPACE}+\.\1|([{SPACE_CHARS}&&[^\n]]){SPACE}+\.\2)"
+        rf"\.(?=([^.])[^.]*+\.\1)(?:([^.\n]*[^.\n{SPACE_CHARS}]){SPACE}+\.\2|([{SPACE_CHARS}&&[^\n]]){SPACE}+\.\3)"
     )
     has_equal_segments = F.size(F.array_distinct(segments)) < F.size(segments)
     any_passage = backwards.rlike(rf"(?d)\.(.*?[^\n{SPACE_CHARS}]){SPACE}+\.\1")

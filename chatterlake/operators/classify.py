@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fixed_values import NEUTRAL_LABEL, NEUTRAL_SCORE, UNKNOWN_LANGUAGE
+from ..functions.fixed_values import MODEL_BATCH, NEUTRAL_LABEL, NEUTRAL_SCORE, UNKNOWN_LANGUAGE
 from ..functions.text import char_grams, fill_blank, is_language_text, words
 from ..sources.storage import delete_path, write_table
 
@@ -151,17 +151,32 @@ def score(df, key_col, text_col, model, label_col="label", score_col="score",
 def score_languages(df, key_col, text_col, model, broadcast_limit=BROADCAST_LIMIT):
     """Language and confidence per text; shorter than five characters is `und` with 0.
 
-    A gated text is scored as missing, so it has no 3-gram; every other text has some.
+    `model` is a fitted one or a loader for `score_with`. A gated text is scored as
+    missing, so it has no 3-gram; every other text has some.
     """
-    gated = df.select(key_col, F.when(is_language_text(text_col), F.col(text_col)).alias(text_col))
+    known = is_language_text(text_col)
+    if callable(model):
+        found = score_with(df.select(key_col, text_col), text_col, model, "language", "language_confidence")
+        return found.select(
+            key_col,
+            F.when(known, F.col("language")).otherwise(UNKNOWN_LANGUAGE).alias("language"),
+            F.when(known, F.col("language_confidence")).otherwise(0.0).alias("language_confidence"),
+        )
+    gated = df.select(key_col, F.when(known, F.col(text_col)).alias(text_col))
     return score(gated, key_col, text_col, model, "language", "language_confidence",
                  broadcast_limit, without_features=(UNKNOWN_LANGUAGE, 0.0))
 
 
 def score_sentiment(df, key_col, text_col, model, label_col="sentiment_label", score_col="sentiment_score",
-                    broadcast_limit=BROADCAST_LIMIT):
-    """Sentiment and its probability per text; blank text is scored as a fixed word."""
+                    broadcast_limit=BROADCAST_LIMIT, batch_size=MODEL_BATCH):
+    """Sentiment and its probability per text; blank text is scored as a fixed word.
+
+    `model` is a fitted one or a loader for `score_with`, whose failed batches are neutral.
+    """
     filled = df.select(key_col, fill_blank(text_col).alias(text_col))
+    if callable(model):
+        scored = score_with(filled, text_col, model, label_col, score_col, batch_size, on_error="default")
+        return scored.select(key_col, label_col, score_col)
     return score(filled, key_col, text_col, model, label_col, score_col, broadcast_limit)
 
 
@@ -197,7 +212,7 @@ def with_neutral_sentiment(df, label_col="sentiment_label", score_col="sentiment
     return df
 
 
-def score_with(df, text_col, load_model, label_col="label", score_col="score", batch_size=32,
+def score_with(df, text_col, load_model, label_col="label", score_col="score", batch_size=MODEL_BATCH,
                failed=(NEUTRAL_LABEL, NEUTRAL_SCORE), on_error=None):
     """Hook for any other model: adds a label and a score to every row.
 

@@ -5,7 +5,7 @@ from contextlib import ExitStack
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import DEFAULT_TOPICS, LANGUAGE_CONFIDENCE
+from ..functions.fixed_values import DEFAULT_TOPICS, LANGUAGE_CONFIDENCE, SENTIMENT_BATCH
 from ..functions.text import fill_missing, truncate_text
 from ..operators.classify import (
     distinct_texts,
@@ -67,7 +67,8 @@ def score_cleaned(stack, kept, language_model=None, sentiment_model=None, langua
                   confidence=LANGUAGE_CONFIDENCE, key_col=None):
     """Language, language filter and English sentiment for cleaned rows.
 
-    Without a language model the rows stay as they are. Scores are computed per row if
+    Models are fitted ones or loaders for `classify.score_with`. Without a language model
+    the rows stay as they are. Scores are computed per row if
     there is a unique `key_col`, else once per distinct text, and written as small tables
     (key and numbers, no text), which `stack` removes when it closes. Sentiment is scored
     for English texts only and missing elsewhere.
@@ -188,10 +189,10 @@ def score_comment_sentiment(stack, df, text_col, model=None, key_col=None):
         return with_neutral_sentiment(df)
     prepared = df.withColumn("_scored_text", truncate_text(fill_missing(text_col)))
     if key_col:
-        scores = stack.enter_context(staged(score_sentiment(prepared, key_col, "_scored_text", model), "scores"))
+        scores = stack.enter_context(staged(score_sentiment(prepared, key_col, "_scored_text", model, batch_size=SENTIMENT_BATCH), "scores"))
         return df.join(scores, key_col)
     texts = distinct_texts(prepared, "_scored_text")
-    scores = stack.enter_context(staged(score_sentiment(texts, "_text_key", "_scored_text", model), "scores"))
+    scores = stack.enter_context(staged(score_sentiment(texts, "_text_key", "_scored_text", model, batch_size=SENTIMENT_BATCH), "scores"))
     return join_text_scores(prepared, "_scored_text", scores).drop("_scored_text")
 
 

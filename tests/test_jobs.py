@@ -76,6 +76,22 @@ def test_analyze_without_models(spark, inputs):
         jobs.analyze_comments(spark, source, output, "absent", None)
 
 
+def test_own_models(spark, inputs):
+    """Loaders take the place of fitted models."""
+    source, keywords, folder = inputs
+    language = lambda: lambda texts: [("fr" if "plage" in t else "en", 0.9) for t in texts]
+
+    def mood():
+        def score(texts):
+            raise RuntimeError("always fails")
+        return score
+
+    output = f"{folder}/own.csv"
+    jobs.analyze_comments(spark, source, output, "text", keywords, "en", 0.8, language, mood)
+    got = rows(csv.read_csv(spark, output).select("n", "language", "language_confidence", "sentiment", "sentiment_score").orderBy("n"))
+    assert got == [("1", "en", "0.9", "NEUTRAL", "0.5"), ("2", "en", "0.9", "NEUTRAL", "0.5")]
+
+
 def test_analyze_empty_input(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("comment\n")
     reports = jobs.analyze_comments(spark, str(tmp_path / "empty.csv"), str(tmp_path / "out.csv"))
