@@ -92,11 +92,16 @@ def sample_key(key, seed=SAMPLE_SEED):
     return F.md5(F.concat(F.lit(f"{seed}:"), as_column(key).cast("string")))
 
 
-def sample_exact(df, n, key, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_ROWS):
+def row_key(df):
+    """A sampling key for tables without one: the whole row."""
+    return F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]))
+
+
+def sample_exact(df, n, key=None, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_ROWS):
     """Exactly min(n, rows) rows, the same ones on every run; none or 0 keeps all rows.
 
-    Rows are taken in the order of a hash of `key`; rows with an equal key must be equal.
-    A small sample is a top-n. For a large one the hash that cuts the sample is searched
+    Rows are taken in the order of a hash of `key` (the whole row, if none is given). A
+    small sample is a top-n. For a large one the hash that cuts the sample is searched
     digits by digits: rows are counted in 65,536 hash ranges (only these counts reach the
     driver), then within the range that holds the cut, until few rows are left there. All
     rows below are kept by a plain filter and only the last range is sorted, so no task
@@ -104,7 +109,7 @@ def sample_exact(df, n, key, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_ROWS):
     """
     if not n:
         return df
-    hashed = df.withColumn("_hash", sample_key(key, seed))
+    hashed = df.withColumn("_hash", sample_key(row_key(df) if key is None else key, seed))
     if n <= direct_rows:
         return hashed.orderBy("_hash").limit(n).drop("_hash")
 
@@ -126,13 +131,16 @@ def sample_exact(df, n, key, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_ROWS):
     inside = hashed.filter(F.col("_hash").startswith(prefix))
     if len(prefix) < _HASH_DIGITS:
         cut = inside.orderBy("_hash").limit(wanted)
+    elif key is not None:
+        # Very many rows share one key: choose among them by the whole row.
+        cut = sample_exact(inside.drop("_hash"), wanted, None, seed, direct_rows)
     else:
         cut = _copies(inside.limit(1), wanted)
-    return below.unionByName(cut).drop("_hash")
+    return below.drop("_hash").unionByName(cut.drop("_hash"))
 
 
 def _copies(row, n):
-    """`n` copies of a single row, made by many tasks; for keys with very many equal rows."""
+    """`n` copies of a single row, made by many tasks; for very many equal rows."""
     whole, rest = divmod(n, _COPIES_PER_TASK)
     sizes = F.concat(F.array_repeat(F.lit(_COPIES_PER_TASK), whole), F.array(F.lit(rest)))
     spread = row.withColumn("_size", F.explode(sizes)).repartition(whole + 1)

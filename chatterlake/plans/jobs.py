@@ -166,13 +166,9 @@ def chart_tables(rows, counts=None):
 
 
 def label_comments(spark, input_path, output=None, label_type="tourism", sample=None, key=None):
-    """Label comments by a keyword set, write CSV, return the summary.
-
-    Without a key column, whole rows are the sampling key: equal rows are interchangeable.
-    """
+    """Label comments by a keyword set, write CSV, return the summary."""
     comments = require_column(read_comments(spark, input_path), "comment")
-    chosen = F.col(key) if key else F.to_json(F.struct(*[F.col(f"`{c}`") for c in comments.columns]))
-    labelled = with_label(sample_exact(comments, sample, chosen), label_type)
+    labelled = with_label(sample_exact(comments, sample, key), label_type)
     if output is None:
         folder, _, name = input_path.rstrip("/").rpartition("/")
         output = f"{folder}/labeled_{name}" if folder else f"labeled_{name}"

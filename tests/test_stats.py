@@ -61,9 +61,15 @@ def test_sample_with_many_copies(spark, monkeypatch):
     monkeypatch.setattr(stats, "_COPIES_PER_TASK", 70)
     frame = spark.range(1200).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("v"))
     for n in (10, 400, 901, 1100):
-        picked = column(stats.sample_exact(frame, n, "v", direct_rows=5))
-        direct = column(stats.sample_exact(frame, n, "v"))
-        assert sorted(picked) == sorted(direct) and len(picked) == n
+        picked = column(stats.sample_exact(frame, n, direct_rows=5))
+        assert sorted(picked) == sorted(column(stats.sample_exact(frame, n))) and len(picked) == n
+
+
+def test_sample_with_a_key_shared_by_many_rows(spark):
+    frame = spark.range(600).select("id", F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("v"))
+    for n in (50, 450, 590):
+        picked = column(stats.sample_exact(frame, n, "v", direct_rows=5).select("id"))
+        assert len(picked) == len(set(picked)) == n
 
 
 def test_years(spark):
