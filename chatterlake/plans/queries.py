@@ -83,7 +83,8 @@ def spam_keyword_table(spark, folder):
         .select(F.explode(text.words("text", 12)).alias("keyword"))
         .distinct()
     )
-    return cleaning.keyword_hits(_documents(spark, folder), "doc_id", "text", words)
+    stored = storage.write_table(words, "keywords")[0]
+    return cleaning.keyword_hits(_documents(spark, folder), "doc_id", "text", stored)
 
 
 def spam_repeat_letters(spark, folder):
@@ -639,9 +640,20 @@ def compare_folders(spark, folder):
 
 
 def size_report(spark, folder):
-    """Bytes of a CSV tree and of its conversion; sizes depend on the writer, so no SQL."""
+    """Bytes of a CSV tree, without the headers of its parts, and of its conversion."""
     root, target, _ = _converted_tree(spark, folder)
-    return jobs.size_report(spark, root, target)
+    report = jobs.size_report(spark, root, target)
+    header = sum(
+        F.when(_folder_of("path") == name, len(",".join(_table(spark, folder, name).columns)) + 1).otherwise(0)
+        for name in ("nation", "part", "orders")
+    )
+    headers = csv.find_csv(spark, root).agg(F.sum(header)).scalar()
+    saved = F.round((1 - F.col("bytes_after") / F.col("bytes_before")) * 100, 1)
+    return report.select(
+        (F.col("bytes_before") - headers).alias("data_bytes"),
+        (F.col("bytes_after") > 0).alias("is_converted"),
+        (F.abs(F.col("saved_percent") - saved) < 0.11).alias("is_consistent"),
+    )
 
 
 NAMES = [

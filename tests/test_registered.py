@@ -20,7 +20,7 @@ def con():
 
 def test_names():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"profile_distinct", "size_report"}
+    assert set(QUERIES) - set(ORACLE) == {"profile_distinct"}
 
 
 def test_entry(spark):
@@ -29,7 +29,11 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    got = QUERIES[name](spark, DATA).toPandas()
+    result = QUERIES[name](spark, DATA)
+    plan = result._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "EvalPython" not in plan
+    assert ("MapInArrow" in plan) == (name == "score_hook")
+    got = result.toPandas()
     if name in ORACLE:
         want = con.execute(ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
