@@ -117,14 +117,15 @@ def sample_exact(df, n, key=None, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_RO
     while len(prefix) < _HASH_DIGITS:
         digits = F.substring("_hash", len(prefix) + 1, _RANGE_DIGITS)
         inside = hashed.filter(F.col("_hash").startswith(prefix)).groupBy(digits.alias("_range")).count()
-        for row in sorted(inside.collect(), key=lambda r: r["_range"]):
-            if row["count"] > wanted:
+        counts = inside.toPandas().sort_values("_range")
+        for digits, count in zip(counts["_range"], counts["count"].astype(object)):
+            if count > wanted:
                 break
-            wanted -= row["count"]
+            wanted -= count
         else:
             return df
-        prefix += row["_range"]
-        if row["count"] <= max(direct_rows, 1):
+        prefix += digits
+        if count <= max(direct_rows, 1):
             break
 
     below = hashed.filter(F.col("_hash") < prefix)

@@ -20,7 +20,6 @@ from ..operators.labels import label_summary, with_label
 from ..operators.language import keep_languages
 from ..operators.stats import (
     daily_counts,
-    distinct_values,
     english_sentiment_distribution,
     language_distribution,
     parse_timestamp,
@@ -107,10 +106,9 @@ def analyze_comments(spark, input_path, output, comment_col="comment", keywords_
         scored = score_cleaned(stack, kept, language_model, sentiment_model, languages, confidence, key_col)
         rows = stack.enter_context(staged(scored, "scored"))
         write_csv(rows, output)
-        total, kept_count = cleaned.count(), rows.count()
-        reports["removal_stats"] = _removal_report(spark, total, kept_count)
+        kept_count, languages = _rows_and_languages(rows)
+        reports["removal_stats"] = _removal_report(spark, cleaned.count(), kept_count)
 
-        languages = distinct_values(rows, "language").first()[0] if "language" in rows.columns else 0
         if kept_count and languages and (topics or charts):
             # Words are counted once; topics, bar chart and word cloud rank the same counts.
             counts = language_word_counts(rows, frequent_languages(rows, 5))
@@ -134,6 +132,15 @@ def analyze_comments(spark, input_path, output, comment_col="comment", keywords_
     return reports
 
 
+def _rows_and_languages(rows):
+    """Row count and number of languages (a missing one counts) of the scored rows."""
+    if "language" not in rows.columns:
+        return rows.count(), 0
+    missing = F.max(F.col("language").isNull().cast("int"))
+    found = rows.agg(F.count("*"), F.count_distinct("language") + F.coalesce(missing, F.lit(0))).first()
+    return found[0], found[1]
+
+
 def _removal_report(spark, total, kept):
     rate = round(100.0 * (total - kept) / total, 2) if total else None
     return spark.createDataFrame(

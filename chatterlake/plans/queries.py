@@ -261,7 +261,7 @@ def sample_exact(spark, folder):
 
 def sample_ranges(spark, folder):
     """The way for samples too large to sort in one place; picks the same rows as the sort would."""
-    lines = _table(spark, folder, "lineitem")
+    lines = _table(spark, folder, "lineitem", "l_orderkey", "l_linenumber")
     key = F.concat_ws(":", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     return stats.sample_exact(lines, 20_000, key, direct_rows=1000).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
