@@ -88,8 +88,8 @@ def daily_counts(df, timestamp_col="timestamp", count_col="count"):
 
 
 def sample_key(key, seed=SAMPLE_SEED):
-    """Repeatable pseudo-random sort key of a row."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), as_column(key).cast("string")))
+    """Repeatable pseudo-random sort key of a row; a missing key counts as empty."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(as_column(key).cast("string"), F.lit(""))))
 
 
 def row_key(df):
@@ -118,13 +118,13 @@ def sample_exact(df, n, key=None, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_RO
         digits = F.substring("_hash", len(prefix) + 1, _RANGE_DIGITS)
         inside = hashed.filter(F.col("_hash").startswith(prefix)).groupBy(digits.alias("_range")).count()
         counts = inside.toPandas().sort_values("_range")
-        for digits, count in zip(counts["_range"], counts["count"].astype(object)):
+        for found, count in zip(counts["_range"], counts["count"].astype(object)):
             if count > wanted:
                 break
             wanted -= count
         else:
             return df
-        prefix += digits
+        prefix += found
         if count <= max(direct_rows, 1):
             break
 

@@ -65,6 +65,13 @@ def test_sample_with_many_copies(spark, monkeypatch):
         assert sorted(picked) == sorted(column(stats.sample_exact(frame, n))) and len(picked) == n
 
 
+def test_sample_keeps_rows_without_a_key(spark):
+    frame = spark.range(100).select("id", F.when(F.col("id") >= 60, F.col("id")).alias("v"))
+    for n in (30, 99, 100):
+        picked = column(stats.sample_exact(frame, n, "v", direct_rows=5).select("id"))
+        assert len(picked) == len(set(picked)) == n
+
+
 def test_sample_with_a_key_shared_by_many_rows(spark):
     frame = spark.range(600).select("id", F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("v"))
     for n in (50, 450, 590):
