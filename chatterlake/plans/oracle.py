@@ -155,7 +155,7 @@ def _share(part, whole, digits):
 def _per_day(source):
     return f"""WITH d AS (SELECT day, count(*) AS n FROM ({source}) WHERE day IS NOT NULL GROUP BY 1),
 spine AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d)
-SELECT spine.day AS day, coalesce(n, 0)::BIGINT AS count FROM spine LEFT JOIN d ON d.day = spine.day"""
+SELECT spine.day::VARCHAR AS day, coalesce(n, 0)::BIGINT AS count FROM spine LEFT JOIN d ON d.day = spine.day"""
 
 
 def _distribution(source, label, digits):
@@ -244,7 +244,7 @@ UNION ALL SELECT text, NULL, role FROM conversations"""
 ORDER BY md5('42:' || l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber) LIMIT 20000"""
     sql["daily_counts"] = _per_day("SELECT o_orderdate::DATE AS day FROM orders")
     sql["daily_events"] = _per_day("SELECT CASE WHEN event_type <> 'error' THEN ts::DATE END AS day FROM events")
-    sql["parse_timestamps"] = """SELECT event_id, CASE WHEN event_type <> 'error' THEN ts END AS timestamp,
+    sql["parse_timestamps"] = """SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_us(ts)::VARCHAR END AS micros,
   event_type = 'error' AS is_unreadable FROM events"""
     sql["coerce_boolean"] = f"SELECT event_id, ({FLAG})::VARCHAR AS is_reply, 'boolean' AS type FROM events"
     sql["coerce_epoch"] = """SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 ELSE floor(epoch(ts)) END AS timestamp FROM events"""
@@ -256,7 +256,7 @@ ORDER BY md5('42:' || l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':'
   CASE WHEN event_type = 'error' THEN '2024-01-01' ELSE floor(epoch(ts))::BIGINT::VARCHAR END AS timestamp,
   event_type AS country FROM dirty"""
     sql["csv_roundtrip"] = "SELECT doc_id, text, lang FROM documents"
-    sql["csv_bad_lines"] = """SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN user_id END AS user_id,
+    sql["csv_bad_lines"] = """SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN user_id::VARCHAR END AS user_id,
   NULL::VARCHAR AS note FROM events WHERE event_type <> 'error'"""
     sql["json_comments"] = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN role END AS role, text, length(text) AS size FROM conversations"""
     sql["json_to_csv"] = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN role END AS role, text,

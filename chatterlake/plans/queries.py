@@ -267,20 +267,23 @@ def sample_ranges(spark, folder):
 
 
 def daily_counts(spark, folder):
-    return stats.daily_counts(_table(spark, folder, "orders"), "o_orderdate")
+    counts = stats.daily_counts(_table(spark, folder, "orders"), "o_orderdate")
+    return counts.select(F.col("day").cast("string").alias("day"), "count")
 
 
 def daily_events(spark, folder):
     """Timestamps that arrive as text, some unreadable."""
     dirty = F.when(F.col("event_type") == "error", F.lit("not a date")).otherwise(F.col("ts").cast("string"))
     events = _table(spark, folder, "events").select(dirty.alias("timestamp"))
-    return stats.daily_counts(stats.parse_timestamp(events), "timestamp")
+    counts = stats.daily_counts(stats.parse_timestamp(events), "timestamp")
+    return counts.select(F.col("day").cast("string").alias("day"), "count")
 
 
 def parse_timestamps(spark, folder):
     dirty = F.when(F.col("event_type") == "error", F.lit("not a date")).otherwise(F.col("ts").cast("string"))
     events = _table(spark, folder, "events").select("event_id", dirty.alias("timestamp"))
-    return stats.parse_timestamp(events, bad_col="is_unreadable")
+    parsed = stats.parse_timestamp(events, bad_col="is_unreadable")
+    return parsed.select("event_id", F.unix_micros("timestamp").cast("string").alias("micros"), "is_unreadable")
 
 
 # ---------------------------------------------------------------- coercion
@@ -339,7 +342,7 @@ def csv_bad_lines(spark, folder):
     lines = _table(spark, folder, "events").select(line.alias("event_id,event_type,user_id,note"))
     lines.write.option("header", True).option("quote", "").option("sep", "\x01").csv(path)
     return csv.read_csv(spark, path).select(
-        F.col("event_id").cast("bigint").alias("event_id"), "event_type", F.col("user_id").cast("bigint").alias("user_id"), "note"
+        F.col("event_id").cast("bigint").alias("event_id"), "event_type", "user_id", "note"
     )
 
 
