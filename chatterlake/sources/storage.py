@@ -1,13 +1,10 @@
 """Paths on the cluster's file system and the shared working folder."""
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-_local_folders = {}
-
 
 def _file_system(spark, path):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,18 +30,13 @@ def is_folder(spark, path):
 def working_folder(spark):
     """Shared folder for intermediate tables: the session's `spark.checkpoint.dir`.
 
-    Where the setting is missing, a local session (tests) gets a folder of its own;
-    on a cluster that is an error, since a machine's own disk is not shared.
+    Where the setting is missing it is a folder in the warehouse, which all executors
+    of a session share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="chatterlake-")
-    return _local_folders[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_chatterlake_working"
 
 
 def new_path(spark, name):

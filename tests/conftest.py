@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    extra = {}
+    extra = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
     session = build_session(
         "tests", "local[4]",
         **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", **extra},
