@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, lm, packing, quality, repetition, token_output
+from . import decontaminate, language_id, licenses, lm, ngram_join, packing, quality, repetition, token_output
 from .common import bucket_of
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark, folder):
     return licenses.license_scan(_documents(spark, folder)).drop("spans")
 
 
+def op2_ngram_join(spark, folder):
+    return ngram_join.ngram_components(_documents(spark, folder))
+
+
 def op3_token_matrices(spark, folder):
     return token_output.packed_matrices(_documents(spark, folder))
 
@@ -53,7 +57,7 @@ def op9_repetition_rules(spark, folder):
     return repetition.repetition_rules(_documents(spark, folder))
 
 
-QUERIES = [op1_license_scan, op3_token_matrices, op4_language_id, op5_decontamination, op6_packing, op7_lm_scoring, op8_quality, op9_repetition_rules]
+QUERIES = [op1_license_scan, op2_ngram_join, op3_token_matrices, op4_language_id, op5_decontamination, op6_packing, op7_lm_scoring, op8_quality, op9_repetition_rules]
 
 
 def registered():
