@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, lm, ngram_join, packing, quality, repetition, token_output
+from . import decontaminate, language_id, licenses, lm, ngram_join, packing, quality, repetition, suffix_dedup, token_output
 from .common import bucket_of
 
 
@@ -57,7 +57,11 @@ def op9_repetition_rules(spark, folder):
     return repetition.repetition_rules(_documents(spark, folder))
 
 
-QUERIES = [op1_license_scan, op2_ngram_join, op3_token_matrices, op4_language_id, op5_decontamination, op6_packing, op7_lm_scoring, op8_quality, op9_repetition_rules]
+def op10_suffix_dedup(spark, folder):
+    return suffix_dedup.remove_repeats(_documents(spark, folder)).drop("kept")
+
+
+QUERIES = [op1_license_scan, op2_ngram_join, op3_token_matrices, op4_language_id, op5_decontamination, op6_packing, op7_lm_scoring, op8_quality, op9_repetition_rules, op10_suffix_dedup]
 
 
 def registered():
