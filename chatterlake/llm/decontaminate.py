@@ -8,12 +8,14 @@ verified by exact shingle containment. Sketches and item shingles are broadcast
 of bounded size; each block is one pass over the documents without a shuffle.
 """
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Hasher, arrow_schema, chunks, column_of, gram_hashes, in_row, record, row_bounds, rows_of, text_bytes, word_spans
+from .common import ALNUM, Hasher, arrow_schema, chunks, column_of, gram_hashes, record, row_bounds, rows_of, text_bytes, word_spans
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -35,8 +37,8 @@ def item_shingles(text, words=WORDS):
 class Index:
     """Sketches by shingle length: sorted hashes, each with the items that hold it."""
 
-    def __init__(self, items, words, containment):
-        self.items, self.needed = [], []
+    def __init__(self, items, keys, words, containment):
+        self.items, self.needed, self.keys = [], [], keys
         classes = {}
         for key, text in items:
             n, shingles = item_shingles(text, words)
@@ -82,6 +84,22 @@ class Index:
         return found
 
 
+def _indexes(spark, items, item_col, item_text_col, words, containment, block_bytes):
+    """Broadcast indexes of the items, each of about `block_bytes` of text, one after the other."""
+    wanted = items.select(F.col(item_col).alias("key"), F.col(item_text_col).alias("text")).filter("text is not null")
+    total = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = int(total // block_bytes) + 1
+    for number in range(blocks):
+        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == number)
+        table = own.toArrow()
+        texts = pc.utf8_lower(table["text"]).to_pylist()
+        yield spark.sparkContext.broadcast(Index(list(zip(range(len(texts)), texts)), table["key"].combine_chunks(), words, containment))
+
+
+def _lowered(batch, text_col):
+    return text_bytes(pc.utf8_lower(column_of(batch, text_col)))
+
+
 def find_contained(docs, items, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
                    words=WORDS, containment=CONTAINMENT, block_bytes=BLOCK_BYTES):
     """Pairs of a document and a test item of which it holds at least `containment` of the shingles.
@@ -90,37 +108,37 @@ def find_contained(docs, items, id_col="doc_id", text_col="text", item_col="item
     nothing, missing texts are empty, repeated documents or items give a row each. Items of
     any number are searched in blocks of about `block_bytes` of text.
     """
-    spark = docs.sparkSession
     item_kind, kind = dict(items.dtypes)[item_col], dict(docs.dtypes)[id_col]
     columns = f"`{id_col}` {kind}, `{item_col}` {item_kind}, n_item long, n_shared long, containment double"
-    wanted = items.select(F.col(item_col).alias("key"), F.lower(item_text_col).alias("text")).filter("text is not null")
-    total = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = int(total // block_bytes) + 1
-    texts = docs.select(F.col(id_col), F.lower(text_col).alias("_text"))
-
-    def block(number):
-        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == number)
-        item_schema = own.schema["key"].dataType
-        index = spark.sparkContext.broadcast(Index([(r["key"], r["text"]) for r in own.collect()], words, containment))
-        numbers = arrow_schema("n_item long, n_shared long, containment double")
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        key_type = to_arrow_type(item_schema)
+    numbers = arrow_schema("n_item long, n_shared long, containment double")
 
+    def search(index):
         def run(batches):
-            for batch in chunks(batches, "_text"):
-                found = index.value.search(*text_bytes(column_of(batch, "_text")))
+            for batch in chunks(batches, text_col):
+                found = index.value.search(*_lowered(batch, text_col))
                 if found:
                     rows, owners, shared = zip(*found)
                     sizes = [len(index.value.items[i][2]) for i in owners]
+                    keys = index.value.keys.take(pa.array([index.value.items[i][0] for i in owners]))
                     part = record(numbers, n_item=sizes, n_shared=shared, containment=[s / n for s, n in zip(shared, sizes)])
-                    yield pa.RecordBatch.from_arrays(
-                        [column_of(batch, id_col).take(pa.array(rows)), pa.array([index.value.items[i][0] for i in owners], key_type), *part.columns],
-                        names=[id_col, item_col, *numbers.names])
+                    yield pa.RecordBatch.from_arrays([column_of(batch, id_col).take(pa.array(rows)), keys, *part.columns], names=[id_col, item_col, *numbers.names])
+
+        return docs.select(id_col, text_col).mapInArrow(run, columns)
+
+    found = [search(index) for index in _indexes(docs.sparkSession, items, item_col, item_text_col, words, containment, block_bytes)]
+    return reduce(lambda a, b: a.union(b), found)
+
+
+def without_contained(docs, items, text_col="text", item_col="item_id", item_text_col="text",
+                      words=WORDS, containment=CONTAINMENT, block_bytes=BLOCK_BYTES):
+    """The rows of `docs`, with all their columns, that hold none of the test items."""
+    for index in _indexes(docs.sparkSession, items, item_col, item_text_col, words, containment, block_bytes):
 
-        return texts.mapInArrow(run, columns)
+        def run(batches, index=index):
+            for batch in chunks(batches, text_col):
+                good = np.ones(batch.num_rows, bool)
+                good[[row for row, _, _ in index.value.search(*_lowered(batch, text_col))]] = False
+                yield batch.filter(pa.array(good))
 
-    result = block(0)
-    for number in range(1, blocks):
-        result = result.union(block(number))
-    return result
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
