@@ -1,8 +1,8 @@
 """Quality rules on repetition: characters inside repeated word runs and lines.
 
-Every run of 5 to 10 words gets a rolling hash; runs found twice in a text mark the words
-they cover. A text is rejected if the marked share of its characters is above the limit of
-that length, or if repeated lines hold too much of it. One pass, no shuffle.
+Every run of 5 to 10 words gets a rolling hash; runs that stood in the text before mark the
+words they cover. A text is rejected if the marked share of its characters is above the
+limit of that length, or if lines that stood before hold too much of it. One pass, no shuffle.
 """
 
 import numpy as np
@@ -14,7 +14,6 @@ from .common import (
 
 # The published limits of repetition rules for web text.
 GRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE_SHARE = 0.30
 LINE_CHARS_SHARE = 0.20
 
 SYMBOLS = np.zeros(256, bool)
@@ -60,13 +59,15 @@ def measure(data, offsets):
     out["n_lines"], out["n_dup_lines"] = np.diff(line_bounds), sums(again.astype(np.int64), line_bounds)
     out["dup_line_chars"] = sums(line_chars * again, line_bounds) / np.maximum(sums(line_chars, line_bounds), 1)
 
-    kept = (out["n_dup_lines"] <= LINE_SHARE * out["n_lines"]) & (out["dup_line_chars"] <= LINE_CHARS_SHARE)
+    kept = out["dup_line_chars"] <= LINE_CHARS_SHARE
     for n, limit in GRAM_SHARES.items():
         at, values = gram_hashes(hashes, bounds, n)
-        inside = _covered(at, repeated(in_row(values, rows[at])), n, len(starts))
+        keys = in_row(values, rows[at])
         if n == 5:
-            out["n_repeat_words"] = sums(inside.astype(np.int64), bounds)
-        share = sums(chars * inside, bounds) / all_chars
+            found = _covered(at, repeated(keys), n, len(starts))
+            out["n_repeat_words"] = sums(found.astype(np.int64), bounds)
+        again = _covered(at, seen_before(keys), n, len(starts))
+        share = sums(chars * again, bounds) / all_chars
         out[f"dup_{n}gram_chars"] = share
         kept &= share <= limit
     out["base_failed"] = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
