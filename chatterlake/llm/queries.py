@@ -68,5 +68,81 @@ def registered():
     return {q.__name__: q for q in QUERIES}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+
+def _pattern(markup):
+    """A template as a regular expression over words that each follow one space."""
+    out = ""
+    for part in licenses._MARK.split(markup):
+        if part == "<<optional>>":
+            out += "(?:"
+        elif part == "<</optional>>":
+            out += ")?"
+        elif part.startswith("<<words"):
+            least, most = part[2:-2].split()[2:]
+            out += f"(?: [^ ]+){{{least},{most}}}"
+        else:
+            out += "".join(f" {w.decode()}" for w in licenses.words_of(part))
+    return out + "(?: |$)"
+
+
+def _license_sql():
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, i, '{label}' AS label FROM t, unnest(range(len(w))) AS r(i) WHERE "
+        + " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split()))
+        for phrase, label in licenses.PHRASES.items())
+    templates = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM t WHERE regexp_matches(s, '{_pattern(markup)}')" for label, markup in licenses.TEMPLATES.items())
+    return f"""
+        WITH t AS MATERIALIZED (SELECT doc_id, w, concat(' ', array_to_string(w, ' ')) AS s FROM (
+                 SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM documents)),
+             p AS ({places}),
+             b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+             m AS ({templates}),
+             a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT * FROM m) GROUP BY doc_id)
+        SELECT t.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               CASE WHEN t.doc_id IN (SELECT doc_id FROM m) THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+        FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+def _contained_sql():
+    def grams(table, key):
+        return (f"SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {key}, regexp_extract_all(lower(text), '{_ALNUM}') AS w FROM {table}), "
+                "unnest(range(1, len(w) - 3)) AS r(i)")
+
+    return f"""
+        WITH b AS MATERIALIZED ({grams('benchmark', 'item_id')}), d AS ({grams('documents', 'doc_id')}),
+             n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+        SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment
+        FROM d JOIN b USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item)"""
+
+
+def _repetition_sql():
+    parts, joins, columns = [], "", []
+    for n, limit in repetition.GRAM_SHARES.items():
+        parts.append(f"""g{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, g) AS c
+                         FROM (SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM t, unnest(range(1, len(w) - {n - 2})) AS r(i))),
+                     c{n} AS (SELECT doc_id, sum(length(w[i])) AS chars FROM (SELECT DISTINCT doc_id, i + j AS i FROM g{n}, unnest(range({n})) AS r(j) WHERE k > 1) JOIN t USING (doc_id) GROUP BY doc_id)""")
+        joins += f" LEFT JOIN c{n} USING (doc_id)"
+        columns.append((f"dup_{n}gram_chars", f"coalesce(c{n}.chars, 0) / greatest(word_chars, 1)::DOUBLE", limit))
+    shares = ", ".join(f"{value} AS {name}" for name, value, _ in columns)
+    good = " AND ".join(f"{name} <= {limit}" for name, _, limit in columns)
+    return f"""
+        WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+             {", ".join(parts)},
+             r5 AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + j AS i FROM g5, unnest(range(5)) AS r(j) WHERE c > 1) GROUP BY doc_id),
+             l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k
+                   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{_SPACED}')),
+             ls AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(length(line)) FILTER (k > 1), 0) / sum(length(line))::DOUBLE AS dup_line_chars FROM l GROUP BY doc_id),
+             m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM t),
+             a AS (SELECT m.*, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                          coalesce(dup_line_chars, 0.0) AS dup_line_chars, {shares} FROM m LEFT JOIN ls USING (doc_id) LEFT JOIN r5 USING (doc_id){joins}),
+             f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+        SELECT *, NOT base_failed AND dup_line_chars <= {repetition.LINE_CHARS_SHARE} AND {good} AS kept FROM f"""
+
+
 def statements():
-    return {}
+    return {"op1_license_scan": _license_sql(), "op5_decontamination": _contained_sql(), "op9_repetition_rules": _repetition_sql()}
