@@ -3,6 +3,8 @@
 import os
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .fixed_values import SPACE, SPACE_CHARS, WORD
@@ -59,7 +61,7 @@ def contains_any(text, keywords):
 
 def repeated_letters(text):
     """Four or more equal characters in a row (line feeds do not count)."""
-    return as_column(text).rlike(r"(?d)(.)\1\1\1")
+    return as_column(text).rlike(r"(?d)(.)\1{3}")
 
 
 def repeated_words(text):
@@ -67,27 +69,58 @@ def repeated_words(text):
     return as_column(text).rlike(rf"(?<!{WORD})({WORD}+){SPACE}+\1(?!{WORD})")
 
 
+def _repeated_passages():
+    """An Arrow function: does a text hold a passage with an inner dot twice in a row?
+
+    With the text cut at dots, a passage of k segments that is followed by itself makes its
+    second to last segments equal to those k further on. Runs of such segments are looked for
+    lag by lag on numbers that stand for segments, so a text with n dots costs n² / 4
+    comparisons of integers, whatever its length.
+    """
+
+    def search(text):
+        segments = text.split(".")
+        n = len(segments) - 1
+        numbers = pd.factorize(np.array(segments[:n], object))[0]
+        broken = np.flatnonzero(["\n" in s for s in segments[:n]])
+        numbers[broken] = -1 - broken      # a passage stands in one line
+        for k in range(2, n // 2 + 1):
+            same = numbers[k:] == numbers[:-k]
+            if np.count_nonzero(same) < k - 1:
+                continue
+            run = np.concatenate([[0], np.cumsum(same)])
+            for j in np.flatnonzero(run[k - 1 :] - run[: 1 - k] == k - 1).tolist():
+                # The first segment may come after other text, its copy comes after white space.
+                first, copy = segments[j - 1], segments[j + k - 1]
+                rest = copy.lstrip()
+                if j and len(rest) < len(copy) and "\n" not in rest and first.endswith(rest):
+                    return True
+        return False
+
+    @F.pandas_udf("boolean")
+    def passages(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else search(t)).astype("boolean")
+
+    return passages
+
+
 def repeated_sentences(text):
     """A passage ending in a dot directly followed by itself (`nice. nice.`).
 
-    Searched on the reversed text, where every candidate starts at a dot; a search
-    on the text itself would start at every character. Whitespace at the start of a
-    passage can always count as separator instead, so a candidate ends (read backwards)
-    in a visible character, or is a single space. The first pattern covers passages
-    without an inner dot in linear time; its lookahead rejects a dot unless the characters
-    in front of this dot and of the one before are the same. A passage with an inner dot forces two equal
-    segments between dots, so the general pattern is tried only on texts where splitting
-    at dots gives duplicates.
+    Passages without an inner dot are searched on the reversed text, where every candidate
+    starts at a dot, in linear time; whitespace at the start of a passage can always count as
+    separator instead, so a candidate ends (read backwards) in a visible character, or is
+    a single space. The lookahead rejects a dot unless the characters in front of this
+    dot and of the one before are the same. A passage with inner dots needs equal segments
+    between dots; only texts that have some reach the Arrow function.
     """
     text = as_column(text)
-    backwards = F.reverse(text)
-    segments = F.split(text, r"\.")
-    one_sentence = backwards.rlike(
+    one_sentence = F.reverse(text).rlike(
         rf"\.(?=([^.])[^.]*+\.\1)(?:([^.\n]*[^.\n{SPACE_CHARS}]){SPACE}+\.\2|([{SPACE_CHARS}&&[^\n]]){SPACE}+\.\3)"
     )
-    has_equal_segments = F.size(F.array_distinct(segments)) < F.size(segments)
-    any_passage = backwards.rlike(rf"(?d)\.(.*?[^\n{SPACE_CHARS}]){SPACE}+\.\1")
-    return one_sentence | (has_equal_segments & any_passage)
+    segments = F.split(text, r"\.")
+    may_hold = (F.size(segments) > 4) & (F.size(F.array_distinct(segments)) < F.size(segments))
+    return one_sentence | F.coalesce(_repeated_passages()(F.when(may_hold, text)), F.lit(False))
 
 
 def spam_reason(text, lowered, keywords=()):
