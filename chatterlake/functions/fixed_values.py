@@ -54,11 +54,12 @@ LANGUAGE_NAMES = {
 }
 
 # --- fixed values: English stop words ---------------------------------------------
-STOP_WORDS = (
-    "a an the and or but if because as what when where how all with "
-    "is are was were be have has had do does did of for by to in "
-    "at on this that these those it its their they"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "but", "if", "because", "as", "what", "when", "where",
+    "how", "all", "with", "is", "are", "was", "were", "be", "have", "has", "had", "do",
+    "does", "did", "of", "for", "by", "to", "in", "at", "on", "this", "that", "these",
+    "those", "it", "its", "their", "they",
+]
 
 # --- fixed values: tourism phrases ------------------------------------------------
 TOURISM_PHRASES = [
@@ -85,3 +86,6 @@ COUNT_COLUMNS = ["like_count", "dislike_count", "reply_count", "view_count", "su
 COUNT_NAME_PARTS = ["count", "_id"]
 TRUE_WORDS = ["true", "yes", "1", "t", "y"]
 FALSE_WORDS = ["false", "no", "0", "f", "n"]
+
+# --- fixed values: Parquet codecs ----------------------------------------------------
+CODECS = ("snappy", "gzip", "brotli", "zstd", "none")

@@ -17,13 +17,16 @@ def needed_keywords(keywords):
     """Distinct lower-case keywords without those that contain another one.
 
     A text holding `visit puerto rico` also holds `visit`, so only the shorter
-    phrase has to be looked for.
+    phrase has to be looked for. Each keyword's own parts are looked up in the list, so the
+    cost follows its length and not the number of keywords.
     """
-    kept = []
-    for word in sorted({k.lower() for k in keywords if k}, key=lambda k: (len(k), k)):
-        if len(kept) > 2000 or not any(short in word for short in kept):
-            kept.append(word)
-    return sorted(kept)
+    words = {k.lower() for k in keywords if k}
+    sizes = sorted({len(k) for k in words})
+
+    def holds_other(word):
+        return any(word[i : i + n] in words for n in sizes if n < len(word) for i in range(len(word) - n + 1))
+
+    return sorted(w for w in words if not holds_other(w))
 
 
 def prefix_pattern(tails):

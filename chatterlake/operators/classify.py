@@ -19,7 +19,6 @@ from ..sources.storage import delete_path, write_table
 
 # A model is broadcast only while its estimated size stays below this many bytes.
 BROADCAST_LIMIT = 256 * 1024 * 1024
-MAX_CLASSES = 200
 _ROW_OVERHEAD = 96
 
 
@@ -57,11 +56,9 @@ def fit(df, text_col, label_col, features="char_grams"):
     scoring read it again. Only per-class numbers reach the driver.
     """
     label = F.col(label_col).cast("string").alias("_label")
-    documents = df.select(label).dropna().groupBy("_label").count().orderBy("_label").limit(MAX_CLASSES + 1).collect()
+    documents = df.select(label).dropna().groupBy("_label").count().orderBy("_label").collect()
     if not documents:
         raise ValueError("No labelled rows to fit on")
-    if len(documents) > MAX_CLASSES:
-        raise ValueError(f"More than {MAX_CLASSES} classes in {label_col!r}")
     classes = [row["_label"] for row in documents]
     total = sum(row["count"] for row in documents)
 

@@ -24,7 +24,7 @@ def keywords_of(label_type):
         return _KEYWORD_SETS[label_type.lower()]
     except KeyError:
         raise ValueError(
-            f"Unsupported labeling type: {label_type}. Supported types: {', '.join(label_types())}"
+            f"No keyword set is registered as {label_type!r}; there are: {', '.join(label_types())}"
         ) from None
 
 

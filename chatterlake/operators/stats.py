@@ -1,12 +1,14 @@
 """Distributions, counts, samples and unions."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed_values import SAMPLE_SEED
 from ..functions.text import as_column, percent
 from .language import keep_english, with_language_name
 
-# Samples up to this many rows are sorted directly; a larger sample is cut by hash range.
+# Samples up to this many rows are sorted directly; a larger sample is cut by hash range,
+# which chooses the same rows.
 DIRECT_SAMPLE_ROWS = 10_000
 _HASH_DIGITS = 32
 _RANGE_DIGITS = 4
@@ -100,8 +102,9 @@ def row_key(df):
 def sample_exact(df, n, key=None, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_ROWS):
     """Exactly min(n, rows) rows, the same ones on every run; none or 0 keeps all rows.
 
-    Rows are taken in the order of a hash of `key` (the whole row, if none is given). A
-    small sample is a top-n. For a large one the hash that cuts the sample is searched
+    Rows are taken in the order of a hash of `key`, rows with equal keys in the order of a
+    hash of the whole row, so that neither the size nor the partitioning matters. A small
+    sample is a top-n. For a large one the hash that cuts the sample is searched
     digits by digits: rows are counted in 65,536 hash ranges (only these counts reach the
     driver), then within the range that holds the cut, until few rows are left there. All
     rows below are kept by a plain filter and only the last range is sorted, so no task
@@ -111,7 +114,7 @@ def sample_exact(df, n, key=None, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_RO
         return df
     hashed = df.withColumn("_hash", sample_key(row_key(df) if key is None else key, seed))
     if n <= direct_rows:
-        return hashed.orderBy("_hash").limit(n).drop("_hash")
+        return _first(hashed, n, key, seed)
 
     prefix, wanted = "", n
     while len(prefix) < _HASH_DIGITS:
@@ -131,7 +134,7 @@ def sample_exact(df, n, key=None, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_RO
     below = hashed.filter(F.col("_hash") < prefix)
     inside = hashed.filter(F.col("_hash").startswith(prefix))
     if len(prefix) < _HASH_DIGITS:
-        cut = inside.orderBy("_hash").limit(wanted)
+        cut = _first(inside, wanted, key, seed)
     elif key is not None:
         # Very many rows share one key: choose among them by the whole row.
         cut = sample_exact(inside.drop("_hash"), wanted, None, seed, direct_rows)
@@ -140,6 +143,14 @@ def sample_exact(df, n, key=None, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_RO
     return below.drop("_hash").unionByName(cut.drop("_hash"))
 
 
+def _first(hashed, n, key, seed):
+    """The `n` rows with the smallest hashes, ties by the whole row's hash."""
+    if key is None:
+        return hashed.orderBy("_hash").limit(n).drop("_hash")
+    whole = sample_key(row_key(hashed.drop("_hash")), seed)
+    return hashed.withColumn("_whole", whole).orderBy("_hash", "_whole").limit(n).drop("_hash", "_whole")
+
+
 def _copies(row, n):
     """`n` copies of a single row, made by many tasks; for very many equal rows."""
     whole, rest = divmod(n, _COPIES_PER_TASK)
@@ -156,13 +167,23 @@ def union_parts(*parts):
     return result
 
 
-def parse_timestamp(df, column="timestamp", fmt=None, bad_col=None):
-    """Parse a text column as timestamps; unreadable values become NULL.
+def parse_timestamp(df, column="timestamp", fmt=None, bad_col=None, epoch_unit="seconds"):
+    """Parse a text or number column as timestamps; unreadable values become NULL.
 
-    With `bad_col`, rows whose value could not be read are marked there.
+    Without `fmt`, text that is only a number counts as an epoch in `epoch_unit` ("seconds" or
+    "milliseconds"), as the coercion rules leave such columns. With `bad_col`, rows whose value
+    could not be read are marked there.
     """
     source = F.col(column)
-    parsed = F.try_to_timestamp(source.cast("string"), F.lit(fmt)) if fmt else source.try_cast("timestamp")
+    if fmt:
+        parsed = F.try_to_timestamp(source.cast("string"), F.lit(fmt))
+    elif isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        parsed = source.cast("timestamp")
+    else:
+        text = F.trim(source.cast("string"))
+        number = F.when(text.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$"), text.try_cast("double"))
+        epoch = F.timestamp_micros((number * {"seconds": 1_000_000, "milliseconds": 1_000}[epoch_unit]).try_cast("bigint"))
+        parsed = F.when(number.isNotNull() & (F.length(text) > 4), epoch).otherwise(text.try_cast("timestamp"))
     if bad_col:
         df = df.withColumn(bad_col, source.isNotNull() & parsed.isNull())
     return df.withColumn(column, parsed)

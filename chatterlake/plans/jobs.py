@@ -1,5 +1,6 @@
 """End-to-end jobs: they own reads, writes and actions."""
 
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack
 
@@ -14,10 +15,10 @@ from ..operators.classify import (
     score_sentiment,
     with_neutral_sentiment,
 )
-from ..operators.cleaning import keyword_hits, removal_stats, with_cleaned_text
+from ..operators.cleaning import drop_missing_cleaned, keyword_hits, removal_stats, with_cleaned_text
 from ..operators.coerce import apply_plan, plan_csv_types, rename_text_column, require_column
 from ..operators.labels import label_summary, with_label
-from ..operators.language import keep_languages
+from ..operators.language import keep_languages, unsupported_targets
 from ..operators.stats import (
     daily_counts,
     english_sentiment_distribution,
@@ -35,7 +36,7 @@ from ..operators.topics import (
     topic_metadata,
     with_weights,
 )
-from ..operators.validate import compare_tables, profile_table, sample_rows, table_schema
+from ..operators.validate import compare_tables, profile_table, sample_differences, sample_rows, table_differences, table_schema
 from ..operators.yearly import label_results as results_per_file
 from ..operators.yearly import rows_per_year, write_by_year
 from ..operators.yearly import yearly_trends as trends_per_year
@@ -43,7 +44,7 @@ from ..sources.csv import find_csv, output_path, read_comments, read_csv, write_
 from ..sources.json import read_json_comments
 from ..sources.keywords import keyword_list, read_keywords
 from ..sources.parquet import verify_parquet, write_parquet
-from ..sources.storage import list_files, path_exists, spread, staged, total_size
+from ..sources.storage import list_files, path_exists, relative_path, spread, staged, total_size
 
 # Files of a tree are independent Spark jobs; this many are submitted at a time.
 CONCURRENT_FILES = 8
@@ -92,17 +93,20 @@ def analyze_comments(spark, input_path, output, comment_col="comment", keywords_
 
     The input is parsed once into a staged table with the cleaned text (NULL for spam),
     the scored rows into a second one; all reports read just their columns from
-    these. Writes `output` (CSV), `<output stem>_metadata.json` and, with `charts`,
+    these. Target languages that are not in the dictionary are named in a warning. Writes `output` (CSV), `<output stem>_metadata.json` and, with `charts`,
     tables below `<output stem>_charts`. A unique `key_col` saves the shuffle that folds
     equal texts. Returns {name: DataFrame} of the small reports.
     """
     raw = rename_text_column(spread(read_comments(spark, input_path)), comment_col)
     keywords = read_keywords(spark, keywords_path)
+    unknown = [row["language"] for row in unsupported_targets(spark, languages).collect()]
+    if unknown:
+        warnings.warn(f"Not in the language dictionary: {', '.join(sorted(unknown))}", stacklevel=2)
     reports = {}
 
     with ExitStack() as stack:
         cleaned = stack.enter_context(staged(clean_with(raw, "comment", keywords), "cleaned"))
-        kept = cleaned.filter(F.col("cleaned_text").isNotNull())
+        kept = drop_missing_cleaned(cleaned)
         scored = score_cleaned(stack, kept, language_model, sentiment_model, languages, confidence, key_col)
         rows = stack.enter_context(staged(scored, "scored"))
         write_csv(rows, output)
@@ -232,7 +236,7 @@ def convert_tree(spark, input_dir, output_dir=None, delimiter=",", compression="
     files = [row["path"] for row in find_csv(spark, root, extension).select("path").collect()]
 
     def convert(path):
-        relative = _relative(path, root)
+        relative = relative_path(spark, path, root)
         target = f"{target_root}/{relative[: -len(extension)]}.parquet"
         try:
             done = convert_csv(spark, path, target, delimiter, compression, overwrite, mode)
@@ -245,12 +249,6 @@ def convert_tree(spark, input_dir, output_dir=None, delimiter=",", compression="
     return spark.createDataFrame(rows, "file string, target string, converted boolean, message string")
 
 
-def _relative(path, root):
-    """Part of a listed path below `root`, whatever scheme the listing put in front."""
-    bare = root.split(":", 1)[-1].lstrip("/")
-    return path[path.index(bare) + len(bare):].lstrip("/")
-
-
 def conversion_summary(report):
     """Files converted and not converted; a skipped file counts as not converted."""
     return report.agg(
@@ -278,53 +276,75 @@ def filter_comments(spark, input_path, output="filtered_comments.csv", comment_c
                     language_model=None, confidence=LANGUAGE_CONFIDENCE):
     """Drop spam and, given a language model, comments that are not English; write CSV."""
     raw = rename_text_column(read_comments(spark, input_path), comment_col)
-    kept = clean_with(raw, "comment", read_keywords(spark, keywords_path)).filter(F.col("cleaned_text").isNotNull())
+    kept = drop_missing_cleaned(clean_with(raw, "comment", read_keywords(spark, keywords_path)))
     with ExitStack() as stack:
         write_csv(score_cleaned(stack, kept, language_model, None, ["en"], confidence), output)
     return output
 
 
-def compare_csv_parquet(spark, csv_path, parquet_path, mode="compat"):
-    """Compare a CSV file with its Parquet form under the same typing rules."""
+def compare_csv_parquet(spark, csv_path, parquet_path, mode="compat", samples=0):
+    """Compare a CSV file with its Parquet form under the same typing rules.
+
+    With `samples`, the report's `differing` lists the first so many rows that one side lacks,
+    as JSON with the side that has them and the number of copies.
+    """
     table = read_csv(spark, csv_path)
-    return compare_tables(apply_plan(table, plan_csv_types(table, mode)), spark.read.parquet(parquet_path))
+    left, right = apply_plan(table, plan_csv_types(table, mode)), spark.read.parquet(parquet_path)
+    report = compare_tables(left, right)
+    if not samples:
+        return report
+    chosen = sample_differences(table_differences(left, right), samples)
+    rows = chosen.agg(F.collect_list(F.to_json(F.struct("*"))).alias("differing"))
+    return report.withColumn("differing", rows.scalar())
 
 
-def compare_folders(spark, csv_dir, parquet_dir, output=None, mode="compat"):
+def compare_folders(spark, csv_dir, parquet_dir, output=None, mode="compat", samples=0):
     """Compare two folder trees pair by pair, matched by relative path without extension.
 
-    Each pair is a Spark job that gives one row; several run at a time. A file without a
-    partner is reported with NULL counts. Writes JSON when `output` is given.
+    A Parquet table may be a file or a folder with that extension. Each pair is a Spark job that
+    gives one row; several run at a time. A file without a partner is reported with NULL
+    counts, one that cannot be read with its error in `message`; neither stops the others.
+    With `samples`, `differing` lists rows that the other side lacks. Writes JSON when
+    `output` is given.
     """
-    def stems(folder, extension, pattern):
-        rows = list_files(spark, folder, extension).select("path").collect()
-        return {_stem(_relative(row["path"], folder.rstrip("/")), pattern) for row in rows}
-
-    csv_stems = stems(csv_dir, ".csv", ".csv")
-    parquet_stems = stems(parquet_dir, ".parquet", ".parquet")
+    csv_files = _tables(spark, csv_dir, ".csv")
+    parquet_files = _tables(spark, parquet_dir, ".parquet", folders=True)
 
     def compare(stem):
-        if stem not in csv_stems or stem not in parquet_stems:
-            return (stem, None, None, None, None, None, None, False)
-        report = compare_csv_parquet(spark, f"{csv_dir}/{stem}.csv", f"{parquet_dir}/{stem}.parquet", mode)
-        return (stem, *report.first())
+        if stem not in csv_files or stem not in parquet_files:
+            return (stem, *[None] * 6, False, None, "no partner")
+        try:
+            report = compare_csv_parquet(spark, csv_files[stem], parquet_files[stem], mode, samples).first()
+            return (stem, *report[:7], report["differing"] if samples else None, None)
+        except Exception as error:
+            return (stem, *[None] * 6, False, None, str(error).split("\n")[0])
 
     with ThreadPoolExecutor(CONCURRENT_FILES) as pool:
-        rows = list(pool.map(compare, sorted(csv_stems | parquet_stems)))
+        rows = list(pool.map(compare, sorted(csv_files.keys() | parquet_files.keys())))
     result = spark.createDataFrame(
         rows,
         "file string, left_rows bigint, right_rows bigint, only_left bigint, only_right bigint, "
-        "columns_only_left string, columns_only_right string, equal boolean",
+        "columns_only_left string, columns_only_right string, equal boolean, differing array<string>, message string",
     )
     if output:
         result.write.mode("overwrite").json(output)
     return result
 
 
-def _stem(relative, extension):
-    """Relative path up to the extension; a Parquet table is a folder with that name."""
-    at = relative.lower().index(extension)
-    return relative[:at]
+def _tables(spark, folder, extension, folders=False):
+    """Tables below a folder: relative path without its last extension -> path.
+
+    With `folders`, a folder with the extension is one table, whatever files it holds.
+    """
+    root, found = folder.rstrip("/"), {}
+    for row in list_files(spark, folder, extension).select("path").collect():
+        relative = relative_path(spark, row["path"], root)
+        if folders:
+            parts = relative.split("/")
+            at = next(i for i, part in enumerate(parts) if part.lower().endswith(extension))
+            relative = "/".join(parts[: at + 1])
+        found[relative[: -len(extension)]] = f"{root}/{relative}"
+    return found
 
 
 def examine_parquet(spark, path, samples=10):

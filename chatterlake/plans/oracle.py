@@ -194,6 +194,7 @@ SELECT DISTINCT doc_id FROM documents JOIN w ON contains(lower(text), keyword)""
   WHEN letters THEN 'repeated_letters' WHEN words THEN 'repeated_words' WHEN sentences THEN 'repeated_sentences' END AS spam_reason
 FROM flags"""
     sql["clean_comments"] = f"WITH {SPAM} SELECT doc_id, cleaned_text FROM clean"
+    sql["drop_missing"] = sql["clean_comments"]
     sql["clean_column"] = f"WITH {SPAM} SELECT doc_id, cleaned_text FROM documents LEFT JOIN clean USING (doc_id)"
     sql["removal_stats"] = f"""WITH {SPAM}, n AS (SELECT (SELECT count(*) FROM documents) AS a, (SELECT count(*) FROM clean) AS b)
 SELECT a AS original_count, b AS kept_count, a - b AS removed_count, {_share('(a - b)', 'a', 2)} AS removal_rate FROM n"""
@@ -242,6 +243,10 @@ UNION ALL SELECT text, NULL, role FROM conversations"""
     sql["sample_exact"] = f"SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id) LIMIT {SAMPLE_ROWS}"
     sql["sample_ranges"] = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem
 ORDER BY md5('42:' || l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber) LIMIT 20000"""
+    # The same key for many rows: the row as JSON decides.
+    sql["sample_ties"] = """SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem
+ORDER BY md5('42:' || l_returnflag), md5('42:{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}') LIMIT 12000"""
+    sql["daily_epoch"] = _per_day("SELECT CASE WHEN event_type <> 'error' THEN ts::DATE END AS day FROM events")
     sql["daily_counts"] = _per_day("SELECT o_orderdate::DATE AS day FROM orders")
     sql["daily_events"] = _per_day("SELECT CASE WHEN event_type <> 'error' THEN ts::DATE END AS day FROM events")
     sql["parse_timestamps"] = """SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_us(ts)::VARCHAR END AS micros,
@@ -258,7 +263,11 @@ ORDER BY md5('42:' || l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':'
     sql["csv_roundtrip"] = "SELECT doc_id, text, lang FROM documents"
     sql["csv_bad_lines"] = """SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN user_id::VARCHAR END AS user_id,
   NULL::VARCHAR AS note FROM events WHERE event_type <> 'error'"""
-    sql["json_comments"] = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN role END AS role, text, length(text) AS size FROM conversations"""
+    sql["csv_quotes"] = """SELECT event_id, CASE WHEN event_type = 'view' THEN 'first "line"' || chr(10) || 'second, line' ELSE '6" wide' END AS size,
+  user_id::VARCHAR AS user_id FROM events WHERE event_type <> 'error'"""
+    sql["json_list"] = """SELECT conv_id AS id, count(*)::INTEGER AS turns, max(turn) AS last_turn FROM conversations GROUP BY 1
+UNION ALL SELECT -count(*), -1, NULL FROM conversations"""
+    sql["json_comments"] = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN role END AS role, text, length(text) AS size, role AS author_role FROM conversations"""
     sql["json_to_csv"] = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN role END AS role, text,
   '{"role":"' || role || '","size":' || length(text) || '}' AS author FROM conversations"""
     sql["parquet_verify"] = " UNION ALL ".join(
@@ -285,6 +294,14 @@ UNION ALL SELECT 'right', count(*), p_partkey, p_size FROM only_right GROUP BY A
     sql["table_differences"] = differences
     sql["sample_differences"] = f"SELECT * FROM ({differences}) ORDER BY p_partkey, p_size, side LIMIT 3"
     sql["profile_table"] = " UNION ALL ".join(_profile_column(c) for c in PART_COLUMNS)
+    sql["profile_distinct"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS exact_distinct, true AS is_close FROM events"
+        for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+    )
+    sql["examine_parquet"] = " UNION ALL ".join(
+        f"SELECT p.*, {i}::INTEGER AS position, '{t}' AS type, 7::BIGINT AS samples FROM ({_profile_column(c)}) AS p"
+        for i, (c, t) in enumerate(zip(PART_COLUMNS, PART_TYPES))
+    )
     sql["table_schema"] = " UNION ALL ".join(
         f"SELECT {i}::INTEGER AS position, '{c}' AS \"column\", '{t}' AS type, (SELECT count(*) FROM part) AS row_count"
         for i, (c, t) in enumerate(zip(PART_COLUMNS, PART_TYPES))
@@ -318,7 +335,8 @@ SELECT doc_id, label AS language FROM clean JOIN lang_score ON key = doc_id WHER
         f"SELECT '{t}' AS table_name, true AS converted, count(*) > 0 AS has_files FROM {t}" for t in ("nation", "part", "orders")
     )
     sql["job_convert_rows"] = "SELECT * REPLACE (p_size::BIGINT AS p_size) FROM part"
-    sql["convert_folder"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+    sql["convert_folder"] = "SELECT * FROM orders"
+    sql["conversion_summary"] = "SELECT true AS some, 0::BIGINT AS failed, 0::BIGINT AS succeeded_again, true AS all_left, count(*) AS rows FROM nation"
     sql["compare_folders"] = " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS left_rows, count(*) AS right_rows, 0::BIGINT AS only_left, 0::BIGINT AS only_right, "
         f"true AS equal FROM {t}"

@@ -136,7 +136,13 @@ def unsupported_languages(spark, folder):
     """Tags of the documents (language and source) that the dictionary does not know."""
     tags = _documents(spark, folder, F.when(F.col("source") == "src0", F.concat("lang", F.lit("-x"))).otherwise(F.col("lang")).alias("language"))
     counted = stats.group_counts(tags, "language")
-    return counted.join(F.broadcast(language.supported_languages(spark)), "language", "left_anti")
+    unknown = language.unsupported_targets(spark, [row["language"] for row in counted.select("language").collect()])
+    return counted.join(unknown, "language")
+
+
+def drop_missing(spark, folder):
+    """Rows that still have a cleaned text after the spam rules."""
+    return cleaning.drop_missing_cleaned(cleaning.with_cleaned_text(_comments(spark, folder), keywords=KEYWORDS)).select("doc_id", "cleaned_text")
 
 
 def supported_languages(spark, folder):
@@ -266,6 +272,20 @@ def sample_ranges(spark, folder):
     return stats.sample_exact(lines, 20_000, key, direct_rows=1000).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
+def sample_ties(spark, folder):
+    """A sample by a key that many rows share, cut by ranges; the rest of the row decides ties."""
+    lines = _table(spark, folder, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return stats.sample_exact(lines, 12_000, "l_returnflag", direct_rows=500)
+
+
+def daily_epoch(spark, folder):
+    """Timestamps as the coercion leaves them: epoch seconds, some as text."""
+    seconds = F.unix_timestamp("ts")
+    events = _table(spark, folder, "events").select(F.when(F.col("event_type") != "error", seconds.cast("string")).otherwise("?").alias("timestamp"))
+    counts = stats.daily_counts(stats.parse_timestamp(events), "timestamp")
+    return counts.select(F.col("day").cast("string").alias("day"), "count")
+
+
 def daily_counts(spark, folder):
     counts = stats.daily_counts(_table(spark, folder, "orders"), "o_orderdate")
     return counts.select(F.col("day").cast("string").alias("day"), "count")
@@ -349,6 +369,40 @@ def csv_bad_lines(spark, folder):
 DOCUMENT_RECORDS = 1000
 
 
+def csv_quotes(spark, folder):
+    """Inch marks, quoted line breaks, bare quotes and over-long lines in one file."""
+    kind, size = F.col("event_type"), F.col("event_id").cast("string")
+    line = (
+        F.when(kind == "error", F.concat(size, F.lit(',5" a,6" b,x')))
+        .when(kind == "view", F.concat(size, F.lit(',"first ""line""\nsecond, line",'), F.col("user_id")))
+        .otherwise(F.concat(size, F.lit(',6" wide,'), F.col("user_id")))
+    )
+    # Written as plain text, a file per part, each with its header in front.
+    parts = max(2, spark.sparkContext.defaultParallelism)
+    lines = _table(spark, folder, "events").select(F.pmod(F.xxhash64("event_id"), F.lit(parts)).alias("part"), F.lit(1).alias("place"), line.alias("value"))
+    heads = spark.range(parts).select(F.col("id").alias("part"), F.lit(0).alias("place"), F.lit("event_id,size,user_id").alias("value"))
+    path = storage.new_path(spark, "quotes")
+    sorted_parts = heads.union(lines).repartition("part").sortWithinPartitions("part", "place")
+    sorted_parts.drop("place").write.partitionBy("part").text(path)
+    return csv.read_csv(spark, path, extension=".txt").select(F.col("event_id").cast("bigint").alias("event_id"), "size", "user_id")
+
+
+def json_list(spark, folder):
+    """Top-level lists of records that have a field `comments` of their own, next to an object in another file."""
+    turns = _conversations(spark, folder)
+    talks = turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("turn")), lambda t: F.struct(t.alias("turn"))).alias("comments"))
+    documents = max(1, turns.count() // DOCUMENT_RECORDS)
+    lists = talks.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(documents)).alias("document")).agg(
+        F.to_json(F.collect_list(F.struct(F.col("conv_id").alias("id"), "comments"))).alias("value")
+    )
+    path = storage.new_path(spark, "json-list")
+    lists.write.partitionBy("document").text(path)
+    wrapped = turns.groupBy().agg(F.to_json(F.struct(F.array(F.struct((-F.count("*")).alias("id"))).alias("comments"))).alias("value"))
+    wrapped.write.text(f"{path}/document=-1")
+    comments = json_source.read_json_comments(spark, path)
+    return comments.select("id", F.coalesce(F.size("comments"), F.lit(-1)).alias("turns"), F.element_at("comments.turn", -1).alias("last_turn"))
+
+
 def _json_documents(spark, folder):
     """Conversation turns as `{"comments": […]}` documents of about a thousand records, one per file.
 
@@ -370,7 +424,7 @@ def _json_documents(spark, folder):
 
 def json_comments(spark, folder):
     comments = json_source.read_json_comments(spark, _json_documents(spark, folder))
-    return comments.select("conv_id", "turn", "role", "text", F.col("author.size").alias("size"))
+    return comments.select("conv_id", "turn", "role", "text", F.col("author.size").alias("size"), F.col("author.role").alias("author_role"))
 
 
 def json_to_csv(spark, folder):
@@ -479,8 +533,24 @@ def profile_table(spark, folder):
 
 
 def profile_distinct(spark, folder):
-    """The profile with distinct estimates; estimates differ between engines, so no SQL."""
-    return validate.profile_table(_table(spark, folder, "events"))
+    """Distinct estimates of the profile next to exact counts: no estimate is off by more than 5 %."""
+    events = _table(spark, folder, "events")
+    exact = events.agg(*[F.count_distinct(c).alias(c) for c in events.columns]).unpivot([], events.columns, "column", "exact_distinct")
+    error = F.abs(F.col("approx_distinct") - F.col("exact_distinct"))
+    return validate.profile_table(events).join(exact, "column").select(
+        "column", "row_count", "null_count", "exact_distinct", (error <= 0.05 * F.col("exact_distinct")).alias("is_close")
+    )
+
+
+def examine_parquet(spark, folder):
+    """The examine job on a written table: schema, profile, and how many of its rows it shows."""
+    path, part = storage.new_path(spark, "examined"), _table(spark, folder, "part")
+    parquet.write_parquet(part, path)
+    found = jobs.examine_parquet(spark, path, 7)
+    shown = found["samples"].join(part, "p_partkey", "left_semi").agg(F.count("*").alias("samples"))
+    return found["schema"].join(found["profile"], "column").select(
+        "column", "position", "type", "row_count", "null_count", "min_value", "max_value", shown.scalar().alias("samples")
+    )
 
 
 def table_schema(spark, folder):
@@ -619,6 +689,17 @@ def job_convert(spark, folder):
     )
 
 
+def conversion_summary(spark, folder):
+    """Converted files of a tree, and all of them left alone by a second run."""
+    root, target, report = _converted_tree(spark, folder)
+    again = jobs.conversion_summary(jobs.convert_tree(spark, root, target))
+    first = jobs.conversion_summary(report)
+    return first.select(
+        (F.col("succeeded") > 0).alias("some"), "failed", again.select("succeeded").scalar().alias("succeeded_again"),
+        (again.select("failed").scalar() == F.col("succeeded")).alias("all_left"), _table(spark, folder, "nation").agg(F.count("*")).scalar().alias("rows"),
+    )
+
+
 def job_convert_rows(spark, folder):
     """Rows of the converted part files themselves, with the types found for them."""
     target = _converted_tree(spark, folder)[1]
@@ -629,7 +710,7 @@ def convert_folder(spark, folder):
     """A folder of one schema converted in one job."""
     root, target = _csv_tree(spark, folder), storage.new_path(spark, "orders-parquet")
     jobs.convert_csv(spark, f"{root}/deeper/orders", target, compression="zstd")
-    return spark.read.parquet(target).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return spark.read.parquet(target).withColumn("o_orderdate", F.to_timestamp("o_orderdate").cast("timestamp_ntz"))
 
 
 def compare_folders(spark, folder):
@@ -663,20 +744,20 @@ NAMES = [
     "text_valid", "strip_length", "spam_keywords", "spam_keyword_file", "spam_keyword_table",
     "spam_repeat_letters", "spam_repeat_words", "spam_repeat_sentences", "spam_reasons",
     "clean_comments", "clean_column", "removal_stats", "filter_english",
-    "language_filter", "english_only", "unsupported_languages", "supported_languages",
+    "language_filter", "english_only", "drop_missing", "unsupported_languages", "supported_languages",
     "truncate_text", "fill_missing", "fill_blank",
     "tokens", "word_counts", "top_words", "topics_by_language", "clean_topics", "topics_chart", "word_cloud",
     "topics_overall", "topic_metadata",
     "label_tourism", "label_summary", "label_custom",
-    "language_distribution", "top_groups", "distinct_languages", "union_parts", "row_count", "sample_exact", "sample_ranges",
-    "daily_counts", "daily_events", "parse_timestamps",
+    "language_distribution", "top_groups", "distinct_languages", "union_parts", "row_count", "sample_exact", "sample_ranges", "sample_ties",
+    "daily_counts", "daily_epoch", "daily_events", "parse_timestamps",
     "coerce_boolean", "coerce_epoch", "coerce_count", "coerce_fractional", "coerce_safe",
-    "csv_roundtrip", "csv_bad_lines", "json_comments", "json_to_csv", "parquet_verify", "find_csv_files",
+    "csv_roundtrip", "csv_bad_lines", "csv_quotes", "json_comments", "json_list", "json_to_csv", "parquet_verify", "find_csv_files",
     "split_by_year", "yearly_trends", "label_results",
-    "compare_tables", "table_differences", "sample_differences", "profile_table", "profile_distinct", "table_schema",
+    "compare_tables", "table_differences", "sample_differences", "profile_table", "profile_distinct", "examine_parquet", "table_schema",
     "language_model", "language_scores", "language_scores_shuffled", "sentiment_scores", "sentiment_distribution",
     "english_sentiment", "no_language_model", "sentiment_fallback", "score_hook",
-    "job_analyze", "job_label", "job_sentiment", "job_filter", "job_convert", "job_convert_rows", "convert_folder",
+    "job_analyze", "job_label", "job_sentiment", "job_filter", "job_convert", "job_convert_rows", "conversion_summary", "convert_folder",
     "compare_folders", "size_report",
 ]
 

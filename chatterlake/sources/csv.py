@@ -9,8 +9,6 @@ from ..functions.fixed_values import MISSING_WORDS
 from .storage import is_folder, list_files
 
 _RECORD = "_raw_record"
-# A file up to this size is read by one task anyway, so line breaks in quotes cost nothing.
-SMALL_FILE_BYTES = 128 * 1024 * 1024
 
 
 def find_csv(spark, folder, extension=".csv"):
@@ -18,29 +16,38 @@ def find_csv(spark, folder, extension=".csv"):
     return list_files(spark, folder, extension)
 
 
-def _needs_multi_line(spark, path, extension=".csv"):
-    """Whether some record may span lines.
+def _needs_multi_line(spark, path, delimiter, extension=".csv"):
+    """Whether a record may span lines, decided in the same way for every size.
 
-    Reading with `multiLine` keeps a file in one task. Where every physical line
-    holds an even number of quotes, no quoted value crosses a line end and the
-    splittable reader gives the same records. The check is a line scan over splits,
-    made only if a file is large enough to matter.
+    Reading with `multiLine` keeps a file in one task. It is not needed where every physical
+    line by itself consists of fields that are free of quotes or quoted from end to end: both
+    readers then give the same records, and the splittable one is used. The check is a line
+    scan over splits.
     """
+    mark = re.escape(delimiter)
+    field = rf'(?:"(?:[^"]|"")*+"|(?:(?!{mark})[^"])*+)'
+    strict = rf"^{field}(?:{mark}{field})*+$"
+    return not _text_lines(spark, path, extension).filter(~F.col("value").rlike(strict)).isEmpty()
+
+
+def _text_lines(spark, path, extension):
+    reader = spark.read
     if is_folder(spark, path):
-        sizes = list_files(spark, path, extension)
-    else:
-        sizes = spark.read.format("binaryFile").load(path).select("length")
-    largest = sizes.agg(F.max("length")).first()[0] or 0
-    if largest <= SMALL_FILE_BYTES:
-        return True
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension))
+    return reader.text(path)
+
+
+def any_case(extension):
+    """File pattern for an extension in any case."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
 def _field_count(record, delimiter):
-    """Fields in a raw record: delimiters outside quoted parts, plus one."""
-    bare = F.regexp_replace(record, r'"[^"]*"', "")
+    """Fields in a raw record: delimiters outside quoted fields, plus one.
+
+    Only quotes at the start of a field open a quoted one; any other quote is text.
+    """
+    bare = F.regexp_replace(record, rf'(?s)(?<=^|{re.escape(delimiter)})"(?:[^"]|"")*+"', "")
     return (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter)))) / len(delimiter) + 1
 
 
@@ -52,7 +59,7 @@ def _read_records(spark, path, delimiter, multi_line, extension):
     for the reader to notice them.
     """
     if multi_line is None:
-        multi_line = _needs_multi_line(spark, path, extension)
+        multi_line = _needs_multi_line(spark, path, delimiter, extension)
     reader = (
         spark.read.option("header", True)
         .option("sep", delimiter)
@@ -64,8 +71,7 @@ def _read_records(spark, path, delimiter, multi_line, extension):
         .option("enforceSchema", False)
     )
     if is_folder(spark, path):
-        any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{any_case}")
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension))
     names = reader.csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
     records = reader.schema(schema).option("columnNameOfCorruptRecord", _RECORD).csv(path)
@@ -88,7 +94,9 @@ def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, m
 
     Short lines are padded with missing values. Over-long lines are left out
     (`on_bad_lines="skip"`, see `bad_lines`) or fail the job (`"error"`).
-    `multi_line=None` finds out whether line breaks in quotes occur.
+    `multi_line=None` finds out whether line breaks in quotes may occur. A carriage return
+    outside quotes ends a record, as long as no record of the file spans lines; the reader for
+    those keeps it as text.
     """
     records, names, record, too_long = _read_records(spark, path, delimiter, multi_line, extension)
     if on_bad_lines == "error":

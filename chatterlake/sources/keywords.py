@@ -1,5 +1,7 @@
 """Keyword lists."""
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -10,8 +12,14 @@ MAX_PATTERN_KEYWORDS = 50_000
 
 
 def read_keywords(spark, path):
-    """One keyword per line, stripped and lower-cased; no file means no keywords."""
-    if not path or not path_exists(spark, path):
+    """One keyword per line, stripped and lower-cased; no file means no keywords.
+
+    A path without a file turns the keyword rule off as well, with a warning.
+    """
+    if path and not path_exists(spark, path):
+        warnings.warn(f"No keyword file at {path}: comments are not filtered by keywords", stacklevel=2)
+        path = None
+    if not path:
         return spark.createDataFrame([], "keyword string")
     return (
         spark.read.text(path)

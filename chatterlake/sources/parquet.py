@@ -1,9 +1,8 @@
 """Parquet sink with codec choice, skip rule and read-back check."""
 
+from ..functions.fixed_values import CODECS
 from .storage import path_exists
 
-CODECS = ("snappy", "gzip", "brotli", "zstd", "none")
-
 
 def write_parquet(df, path, compression="snappy", overwrite=False):
     """Write Parquet; False when the target exists and `overwrite` is not set."""

@@ -1,7 +1,9 @@
 """Paths on the cluster's file system and the shared working folder."""
 
+import re
 import uuid
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
@@ -66,33 +68,53 @@ def staged(df, name="stage"):
         delete_path(df.sparkSession, path)
 
 
+# A table with this many splits is never dealt out again, however large the cluster is.
+SPREAD_SPLITS = 64
+
+
 def spread(table, *keys):
-    """Share out a freshly read table that has fewer splits than the cluster has cores.
+    """Share out a freshly read table of a few splits over the session's cores.
 
     For small tables, and for files one task must read whole (CSV with line breaks in
-    quotes, JSON documents): the work after the read then uses all cores. A table with
-    enough splits, as any large one, is returned as it is, without a shuffle. With
-    unique `keys` the shuffle also serves later grouping on them.
+    quotes, JSON documents): the work after the read then uses all cores. A table of many
+    splits, as any large one, is returned as it is, without a shuffle. With unique `keys`
+    the shuffle also serves later grouping on them.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.isStreaming or table.rdd.getNumPartitions() >= cores:
+    if table.isStreaming or table.rdd.getNumPartitions() >= min(cores, SPREAD_SPLITS):
         return table
     return table.repartition(cores, *keys)
 
 
+def relative_path(spark, path, root):
+    """Part of a listed path below `root`, whatever scheme and host the two are written with."""
+    fs, hadoop_root = _file_system(spark, root)
+    base = fs.makeQualified(hadoop_root).toUri().getPath().rstrip("/") + "/"
+    bare = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", path)
+    if not bare.startswith(base):
+        raise ValueError(f"{path} is not below {root}")
+    return bare[len(base):]
+
+
 def list_files(spark, path, extension):
     """Files below a folder with the given extension in any case: `path`, `length`.
 
-    File contents are never read, since the `content` column is left out.
+    File contents are never read, since the `content` column is left out. Empty files have no
+    splits and so no rows in a read; they are taken from the reader's listing.
     """
     any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
-    return (
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*{any_case}")
         .load(path)
         .select("path", "length")
     )
+    listed = spark.createDataFrame([(unquote(name),) for name in files.inputFiles()], "path string")
+    # The two spell schemes differently (file:/ and file:///), so paths are compared without.
+    bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    empty = listed.withColumn("_bare", bare).join(files.select(bare.alias("_bare")), "_bare", "left_anti")
+    return files.union(empty.select("path", F.lit(0).cast("bigint")))
 
 
 def total_size(spark, path, extension):

@@ -72,7 +72,7 @@ def test_analyze_without_models(spark, inputs):
     assert "language_distribution" not in reports and reports["topics"].columns == ["rank", "topic", "count"]
     part = [f for f in os.listdir(f"{folder}/plain_metadata.json") if f.endswith(".json")]
     assert "topics" in json.loads(open(f"{folder}/plain_metadata.json/{part[0]}").read())
-    with pytest.raises(ValueError, match="Available columns"):
+    with pytest.raises(ValueError, match="has no column"):
         jobs.analyze_comments(spark, source, output, "absent", None)
 
 
@@ -132,24 +132,39 @@ def test_convert_tree_and_compare(spark, tmp_path):
     (source / "a.csv").write_text("comment,like_count,is_reply\nx,5,True\ny,abc,no\n")
     (source / "sub" / "b.CSV").write_text("id,when\n1,2024\n2,2025\n")
     (source / "empty.csv").write_text("comment\n")
+    (source / "sub" / "nothing.csv").write_text("")
     report = jobs.convert_tree(spark, str(source), str(target))
-    assert sorted(rows(report.select("file", "converted"))) == [("a.csv", True), ("empty.csv", False), ("sub/b.CSV", True)]
-    assert rows(jobs.conversion_summary(report)) == [(2, 1)]
+    assert sorted(rows(report.select("file", "converted"))) == [
+        ("a.csv", True), ("empty.csv", False), ("sub/b.CSV", True), ("sub/nothing.csv", False)]
+    assert rows(jobs.conversion_summary(report)) == [(2, 2)]
     typed = spark.read.parquet(str(target / "a.parquet"))
     assert typed.dtypes == [("comment", "string"), ("like_count", "bigint"), ("is_reply", "boolean")]
     assert sorted(rows(typed)) == [("x", 5, True), ("y", 0, False)]
     again = jobs.convert_tree(spark, str(source), str(target))
-    assert rows(jobs.conversion_summary(again)) == [(0, 3)]
-    assert rows(jobs.conversion_summary(jobs.convert_tree(spark, str(source), str(target), overwrite=True))) == [(2, 1)]
+    assert rows(jobs.conversion_summary(again)) == [(0, 4)]
+    assert rows(jobs.conversion_summary(jobs.convert_tree(spark, str(source), str(target), overwrite=True))) == [(2, 2)]
     sizes = jobs.size_report(spark, str(source), str(target)).first()
     assert sizes["bytes_before"] == sum(os.path.getsize(p) for p in (source / "a.csv", source / "sub" / "b.CSV", source / "empty.csv"))
     assert sizes["saved_percent"] == round((1 - sizes["bytes_after"] / sizes["bytes_before"]) * 100, 1)
 
-    (source / "sub" / "b.CSV").rename(source / "sub" / "b.csv")
     (source / "new.csv").write_text("a\n1\n")
-    compared = jobs.compare_folders(spark, str(source), str(target), str(tmp_path / "report"))
-    assert sorted(rows(compared.select("file", "equal"))) == [("a", True), ("empty", True), ("new", False), ("sub/b", True)]
-    assert spark.read.json(str(tmp_path / "report")).count() == 4
+    (source / "a.csv").write_text("comment,like_count,is_reply\nx,5,True\nz,7,no\n")
+    compared = jobs.compare_folders(spark, str(source), str(target), str(tmp_path / "report"), samples=3)
+    assert sorted(rows(compared.select("file", "equal"))) == [
+        ("a", False), ("empty", True), ("new", False), ("sub/b", True), ("sub/nothing", False)]
+    differing = compared.filter("file = 'a'").first()["differing"]
+    assert [json.loads(x)["comment"] for x in differing] == ["y", "z"]
+    assert spark.read.json(str(tmp_path / "report")).count() == 5
+
+
+def test_relative_paths(spark, tmp_path):
+    inner = tmp_path / "data" / "a" / "x.csv"
+    inner.mkdir(parents=True)
+    (inner / "part-0.csv").write_text("a\n1\n")
+    root = str(tmp_path / "data" / "a")
+    for spelling in (root, root + "/", "file:" + root, "file://" + root):
+        assert rows(jobs.convert_tree(spark, spelling, str(tmp_path / "out"), overwrite=True).select("file")) == [("x.csv/part-0.csv",)]
+    assert rows(jobs.compare_folders(spark, root, str(tmp_path / "out")).select("file", "equal")) == [("x.csv/part-0", True)]
 
 
 def test_json_to_csv(spark, tmp_path):

@@ -48,16 +48,6 @@ def test_too_long_lines_can_be_an_error(spark, comment_file, tmp_path):
         csv.read_csv(spark, str(good), on_bad_lines="guess")
 
 
-def test_large_files_are_read_in_splits_where_no_record_spans_lines(spark, comment_file, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv, "SMALL_FILE_BYTES", 0)
-    assert csv._needs_multi_line(spark, comment_file)
-    assert rows(csv.read_csv(spark, comment_file)) == WANT
-    plain = tmp_path / "plain.csv"
-    plain.write_text('a,b\n"x ""y""",1\nz,2\n')
-    assert not csv._needs_multi_line(spark, str(plain))
-    assert rows(csv.read_csv(spark, str(plain))) == [('x "y"', "1"), ("z", "2")]
-
-
 def test_delimiter(spark, tmp_path):
     path = tmp_path / "semi.csv"
     path.write_text("a;b\n1;2\n3;4;5\n")
@@ -156,3 +146,50 @@ def test_spread_only_shuffles_small_tables(spark, tmp_path):
     assert storage.spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 16)
     assert storage.spread(many) is many
+
+
+def test_json_kinds(spark, tmp_path):
+    """Only an object is unwrapped; empty lists are empty, damaged documents an error."""
+    def read(name, content):
+        (tmp_path / name).write_text(content)
+        return json_source.read_json_comments(spark, str(tmp_path / name))
+
+    found = read("list.json", '[{"id":1,"comments":[{"x":1}]},{"id":2,"comments":[]}]')
+    assert sorted((r.id, len(r.comments)) for r in found.collect()) == [(1, 1), (2, 0)]
+    assert sorted(r.comments for r in read("text.json", ' [{"comments":"a"},{"comments":"b"}]').collect()) == ["a", "b"]
+    assert read("empty.json", '{"comments": []}').count() == 0
+    with pytest.raises(Exception):
+        read("cut.json", '{"comments": [{"a": 1}, {"b"').collect()
+    with pytest.raises(ValueError):
+        read("number.json", '{"comments": [1, 2]}')
+
+
+def test_csv_readers_agree(spark, tmp_path):
+    """Where every line is strict, both readers give the same rows; the choice does not look at the size."""
+    body = 'a,b,c\n1,"x, ""y""",2\n,,\n"q",,"w"\n1,2,3,4\nshort\n'
+    (tmp_path / "t.csv").write_text(body)
+    routes = [sorted(rows(csv.read_csv(spark, str(tmp_path / "t.csv"), multi_line=m)), key=str) for m in (None, False, True)]
+    assert routes[0] == routes[1] == routes[2] and len(routes[0]) == 4
+    assert not csv._needs_multi_line(spark, str(tmp_path / "t.csv"), ",")
+    (tmp_path / "inch.csv").write_text('a,b,c\n1,5" tall,"first line\nsecond line",6" wide\n1,5" a,6" b,x\n1,5" a,b\n')
+    assert csv._needs_multi_line(spark, str(tmp_path / "inch.csv"), ",")
+    assert rows(csv.read_csv(spark, str(tmp_path / "inch.csv"))) == [("1", '5" a', "b")]
+    assert csv.bad_lines(spark, str(tmp_path / "inch.csv")).count() == 2
+    (tmp_path / "cr.csv").write_bytes(b"a,b\n1,2\r3,4\r\n5,6\n")
+    assert sorted(rows(csv.read_csv(spark, str(tmp_path / "cr.csv")))) == [("1", "2"), ("3", "4"), ("5", "6")]
+    for delimiter in ("|", "||", "\t"):
+        (tmp_path / "d.csv").write_text(f'a{delimiter}b\n"x{delimiter}y"{delimiter}z\n"l1\nl2"{delimiter}w\n')
+        assert csv.read_csv(spark, str(tmp_path / "d.csv"), delimiter).count() == 2
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "sub dir" / "none.CSV").write_text("")
+    (tmp_path / "some.csv").write_text("a\n1\n")
+    found = {r.path.rsplit("/", 1)[1]: r.length for r in csv.find_csv(spark, str(tmp_path)).collect()}
+    assert found == {"none.CSV": 0, "some.csv": 4}
+
+
+def test_missing_keyword_file_warns(spark, tmp_path):
+    with pytest.warns(UserWarning, match="No keyword file"):
+        assert keywords.read_keywords(spark, str(tmp_path / "none.txt")).count() == 0

@@ -116,3 +116,20 @@ def test_profile(spark):
     assert got == [("x", 2, 0, "1", "2", 2), ("y", 2, 1, "b", "b", 1)]
     assert rows(validate.table_schema(frame))[2][:3] == (2, "z", "array<int>")
     assert validate.sample_rows(frame, 1).count() == 1
+
+
+def test_sample_ties_do_not_depend_on_partitions(spark):
+    frame = spark.range(3000).selectExpr("id", "id % 2 AS shared")
+    chosen = {
+        tuple(sorted(r.id for r in stats.sample_exact(frame.repartition(parts), 700, "shared", direct_rows=direct).collect()))
+        for parts in (1, 3, 7) for direct in (10_000, 50)
+    }
+    assert len(chosen) == 1 and len(chosen.pop()) == 700
+
+
+def test_epoch_timestamps(spark):
+    frame = spark.createDataFrame([("1704067200",), ("1704067200.5",), ("2024-01-01 00:00:00",), ("2024",), ("?",), (None,)], "timestamp string")
+    days = [r[0] for r in stats.parse_timestamp(frame).selectExpr("CAST(to_date(timestamp) AS string)").collect()]
+    assert days == ["2024-01-01"] * 4 + [None, None]
+    milli = spark.createDataFrame([(1704067200000,)], "timestamp long")
+    assert stats.parse_timestamp(milli, epoch_unit="milliseconds").selectExpr("CAST(to_date(timestamp) AS string)").first()[0] == "2024-01-01"
