@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, chunks, column_of, record, task_rows, text_bytes
-from .tokens import WordTokens, default_path, pieces
+from .tokens import TOKEN_BYTES, default_path, pieces, word_tokens
 
 SEQUENCE = 2048
 GROUP_DOCUMENTS = 4000
@@ -54,8 +54,8 @@ def token_pieces(docs, id_col, text_col, path, end_id, longest):
     schema = arrow_schema(columns)
 
     def run(batches):
-        encode, place = WordTokens(path, end_id), task_rows()
-        for batch in chunks(batches, text_col):
+        encode, place = word_tokens(path, end_id), task_rows()
+        for batch in chunks(batches, text_col, TOKEN_BYTES):
             ids, offsets = encode(*text_bytes(column_of(batch, text_col)))
             rows, start, length = pieces(offsets, longest)
             raw = memoryview(ids.astype("<u4").tobytes())

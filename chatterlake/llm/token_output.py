@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, chunks, column_of, record, task_rows, text_bytes
 from .packing import SEQUENCE, SEQUENCES_PER_GROUP
-from .tokens import WordTokens, default_path, pieces
+from .tokens import TOKEN_BYTES, default_path, pieces, word_tokens
 
 GROUP_DOCUMENTS = 1000
 
@@ -90,8 +90,8 @@ def packed_matrices(docs, id_col="doc_id", text_col="text", path=None, end_id=1,
     schema = arrow_schema(piece_columns)
 
     def run(batches):
-        encode, place = WordTokens(path, end_id), task_rows()
-        for batch in chunks(batches, text_col):
+        encode, place = word_tokens(path, end_id), task_rows()
+        for batch in chunks(batches, text_col, TOKEN_BYTES):
             ids, offsets = encode(*text_bytes(column_of(batch, text_col)))
             rows, start, length = pieces(offsets, capacity)
             narrow = not len(ids) or int(ids.max()) < 1 << 16

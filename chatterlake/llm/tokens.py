@@ -3,16 +3,23 @@
 For tokenizers that drop white space and never join characters across it, the ids of a
 text are those of its words in order. Words also part where an ASCII letter meets an ASCII
 mark (but `'`, which opens contractions, and `<|>`, which stand in special tokens), since such
-tokenizers split there as well. Every different word is encoded once per task and its ids
-are looked up after that.
+tokenizers split there as well. Every different word is encoded once per worker, many words in
+one call with a mark between them, and its ids are looked up after that.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 
 from .common import SPACED, Hasher, row_bounds, word_spans
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
+# Bytes of text tokenised at a time.
+TOKEN_BYTES = 1 << 20
+# Words encoded in one call, and the mark between them, which is one id by itself.
+CALL_WORDS = 4096
+BETWEEN = "\x01"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -38,6 +45,7 @@ class WordTokens:
             words = [self._tokenizer.encode(w, add_special_tokens=False).ids for w in text.split()]
             if self._tokenizer.encode(text, add_special_tokens=False).ids != sum(words, []):
                 raise ValueError(f"{path} does not drop white space between words")
+        [self._between] = self._tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self):
@@ -51,17 +59,27 @@ class WordTokens:
         if n + len(words) > len(self._from):
             size = max(2 * len(self._from), n + len(words))
             self._from, self._many = (np.resize(x, size) for x in (self._from, self._many))
-        encoded = [e.ids for e in self._tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        many = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids, many = zip(*(self._encode(words[k : k + CALL_WORDS]) for k in range(0, len(words), CALL_WORDS)))
+        ids, many = np.concatenate(ids), np.concatenate(many)
         total = int(many.sum())
         if self._used + total > len(self._ids):
             self._ids = np.resize(self._ids, max(2 * len(self._ids), self._used + total))
-        self._ids[self._used : self._used + total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total)
+        self._ids[self._used : self._used + total] = ids
         self._from[n : n + len(words)] = self._used + np.cumsum(many) - many
         self._many[n : n + len(words)] = many
         self._slots.update(zip(words, range(n, n + len(words))))
         self._used += total
 
+    def _encode(self, words):
+        """Ids of a block of words after each other, and how many each word has."""
+        if any(BETWEEN in w for w in map(bytes.decode, words)):
+            found = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            return np.concatenate([np.array(x, np.uint32) for x in found]), np.array([len(x) for x in found])
+        text = f" {BETWEEN} ".join(map(bytes.decode, words))
+        ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self._between)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
+
     def __call__(self, data, offsets):
         """Ids of all texts after each other, and the offsets of the texts in them."""
         split = np.zeros(len(data), bool)
@@ -69,8 +87,8 @@ class WordTokens:
         split[1:] = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
         starts, ends = word_spans(data, offsets, SPACED, split)
         codes, _ = pd.factorize(Hasher(data)(starts, ends).view(np.int64))
-        first = np.full(codes.max(initial=-1) + 1, len(starts), np.int64)
-        np.minimum.at(first, codes, np.arange(len(codes)))
+        # Codes are numbered as they come, so a word stands first where the largest one grows.
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else codes
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         new = list(dict.fromkeys(w for w in words if w not in self._slots))
@@ -92,6 +110,12 @@ class WordTokens:
         return ids, np.concatenate([[0], row_ends])
 
 
+@lru_cache(maxsize=2)
+def word_tokens(path, end_id):
+    """One `WordTokens` per worker process, kept from task to task."""
+    return WordTokens(path, end_id)
+
+
 def pieces(row_offsets, longest):
     """Cut every text into runs of at most `longest` ids: (row, first id in its row, length)."""
     sizes = np.diff(row_offsets)
