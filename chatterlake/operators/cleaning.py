@@ -9,6 +9,8 @@ _LOWERED = "_lowered_text"
 # Keyword starts up to this number are looked for while cutting windows; beyond it,
 # windows open everywhere and the join with the starts sorts them out.
 MAX_STARTS = 20_000
+# Characters of a keyword that open a window, if it has so many.
+LONGEST_START = 32
 
 
 def _with_lowered(df, text_col):
@@ -69,31 +71,39 @@ def drop_missing_cleaned(df, cleaned_col="cleaned_text"):
 def keyword_hits(df, key_col, text_col, keywords):
     """Keys of texts that hold any keyword of a table of any size.
 
-    The way for lists too long for a pattern. Every position of a text opens a window
-    as long as the longest keyword, if the text goes on there like some keyword starts
-    (up to three characters). It is then cut to the lengths such keywords have and must
-    equal a keyword. All joins are on equality and none multiplies rows by keywords. A
-    frequent start is a hot key of the text side, which adaptive execution splits.
+    The way for lists too long for a pattern. Keywords are taken in classes of length (powers of
+    two). A position of a text opens a window for a class if the text goes on there like some
+    keyword of the class starts; the window is as long as the class's longest keyword, so
+    one long keyword costs windows only where it begins. A window is cut to the lengths
+    keywords with that start have and must equal a keyword. All joins are on equality and
+    none multiplies rows by keywords. A frequent start is a hot key of the text side, which
+    adaptive execution splits.
     """
-    keywords = keywords.select(F.col("keyword").alias("_keyword"))
     length = F.char_length("_keyword")
-    bounds = keywords.agg(F.min(length), F.max(length)).first()
-    if bounds[0] is None:
+    keywords = keywords.select(F.col("keyword").alias("_keyword")).filter(length > 0)
+    keywords = keywords.withColumn("_class", F.floor(F.log2(length)).cast("int"))
+    classes = keywords.groupBy("_class").agg(F.min(length).alias("least"), F.max(length).alias("most")).orderBy("_class").collect()
+    if not classes:
         return df.select(key_col).limit(0)
-    start_length, longest = min(3, bounds[0]), bounds[1]
-
-    starts = keywords.groupBy(F.left("_keyword", F.lit(start_length)).alias("_start")).agg(
-        F.collect_set(length).alias("_lengths")
-    )
-    known = [row["_start"] for row in starts.select("_start").limit(MAX_STARTS + 1).collect()]
-    begin = f"(?:{prefix_pattern(sorted(known))})" if len(known) <= MAX_STARTS else f".{{{start_length}}}"
-    windows = F.regexp_extract_all(
-        F.lower(F.col(text_col)), F.lit(f"(?s)(?=({begin}.{{0,{longest - start_length}}}))."), F.lit(1)
-    )
-    opened = df.select(key_col, F.explode(F.array_distinct(windows)).alias("_window"))
-    begun = opened.withColumn("_start", F.left("_window", F.lit(start_length))).join(starts, "_start")
+    start_lengths = {c["_class"]: min(LONGEST_START, c["least"]) for c in classes}
+    start_length = F.create_map(*[F.lit(x) for pair in start_lengths.items() for x in pair])[F.col("_class")]
+
+    starts = keywords.groupBy("_class", F.left("_keyword", start_length).alias("_start")).agg(F.collect_set(length).alias("_lengths"))
+    known = {}
+    for row in starts.select("_class", "_start").limit(MAX_STARTS + 1).collect():
+        known.setdefault(row["_class"], []).append(row["_start"])
+    complete = sum(map(len, known.values())) <= MAX_STARTS
+
+    def windows(number, most):
+        size = start_lengths[number]
+        begin = f"(?:{prefix_pattern(sorted(known[number]))})" if complete else f".{{{size}}}"
+        found = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"(?s)(?=({begin}.{{0,{most - size}}}))."), F.lit(1))
+        return F.transform(F.array_distinct(found), lambda w: F.struct(F.lit(number).alias("_class"), w.alias("_window"), F.left(w, F.lit(size)).alias("_start")))
+
+    opened = df.select(key_col, F.explode(F.flatten(F.array(*[windows(c["_class"], c["most"]) for c in classes]))).alias("_w"))
+    begun = opened.select(key_col, "_w.*").join(starts, ["_class", "_start"])
     pieces = begun.select(key_col, "_window", F.explode("_lengths").alias("_length"))
     candidates = pieces.filter(F.char_length("_window") >= F.col("_length")).select(
         key_col, F.left("_window", F.col("_length")).alias("_keyword")
     )
-    return candidates.join(keywords, "_keyword", "left_semi").select(key_col).distinct()
+    return candidates.join(keywords.select("_keyword"), "_keyword", "left_semi").select(key_col).distinct()

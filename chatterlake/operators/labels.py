@@ -37,8 +37,15 @@ def with_label(df, label_type="tourism", text_col="comment", keywords=None):
 
 def label_summary(df, label_col):
     """Matches and non-matches with percentages."""
-    return (
+    return summary_of_counts(
         df.agg(F.count("*").alias("total"), F.coalesce(F.sum(F.col(label_col).cast("bigint")), F.lit(0)).alias("matches"))
+    )
+
+
+def summary_of_counts(counts):
+    """The summary for a row of `total` and `matches`."""
+    return (
+        counts
         .withColumn("non_matches", F.col("total") - F.col("matches"))
         .withColumn("match_share", percent("matches", "total", 2))
         .withColumn("non_match_share", percent("non_matches", "total", 2))

@@ -4,20 +4,20 @@ import warnings
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import DEFAULT_TOPICS, LANGUAGE_CONFIDENCE, SENTIMENT_BATCH
 from ..functions.text import fill_missing, truncate_text
 from ..operators.classify import (
     distinct_texts,
-    join_text_scores,
     score_languages,
     score_sentiment,
     with_neutral_sentiment,
 )
 from ..operators.cleaning import drop_missing_cleaned, keyword_hits, removal_stats, with_cleaned_text
 from ..operators.coerce import apply_plan, plan_csv_types, rename_text_column, require_column
-from ..operators.labels import label_summary, with_label
+from ..operators.labels import summary_of_counts, with_label
 from ..operators.language import keep_languages, unsupported_targets
 from ..operators.stats import (
     daily_counts,
@@ -44,58 +44,66 @@ from ..sources.csv import find_csv, output_path, read_comments, read_csv, write_
 from ..sources.json import read_json_comments
 from ..sources.keywords import keyword_list, read_keywords
 from ..sources.parquet import verify_parquet, write_parquet
-from ..sources.storage import list_files, path_exists, relative_path, spread, staged, total_size
+from ..sources.storage import list_files, path_exists, relative_path, spread, staged, total_size, write_table
 
 # Files of a tree are independent Spark jobs; this many are submitted at a time.
 CONCURRENT_FILES = 8
 
 
-def clean_with(df, text_col, keywords):
-    """`with_cleaned_text` for a keyword frame of any length."""
+def clean_with(df, text_col, keywords, stack=None):
+    """`with_cleaned_text` for a keyword frame of any length.
+
+    Lists too long for a pattern are looked up once per distinct text that the other rules
+    keep. The hits are written first, so that both sides of the join back are plain shuffles,
+    which adaptive execution can split; rows that are spam already get keys of their own.
+    """
     listed = keyword_list(keywords)
     if listed is not None:
         return with_cleaned_text(df, text_col, listed)
-    keyed = df.withColumn("_text_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    hits = keyword_hits(distinct_texts(df, text_col), "_text_key", text_col, keywords)
-    cleaned = with_cleaned_text(keyed, text_col).join(hits.withColumn("_hit", F.lit(True)), "_text_key", "left")
-    return cleaned.withColumn("cleaned_text", F.when(F.col("_hit").isNull(), F.col("cleaned_text"))).drop(
-        "_text_key", "_hit"
-    )
+    cleaned = with_cleaned_text(df, text_col)
+    hits = keyword_hits(distinct_texts(drop_missing_cleaned(cleaned), text_col), "_text_key", text_col, keywords)
+    hits = stack.enter_context(staged(hits, "hits")) if stack else write_table(hits, "hits")[0]
+    own = F.concat(F.lit("-"), F.monotonically_increasing_id())
+    keyed = cleaned.withColumn("_text_key", F.when(F.col("cleaned_text").isNull(), own).otherwise(F.sha2(F.col(text_col), 256)))
+    found = keyed.join(hits.withColumn("_hit", F.lit(True)), "_text_key", "left")
+    return found.withColumn("cleaned_text", F.when(F.col("_hit").isNull(), F.col("cleaned_text"))).drop("_text_key", "_hit")
+
+
+def with_row_number(stack, df, name):
+    """`df` as a staged table with `_row`, a number per row that stays, since it is written."""
+    return stack.enter_context(staged(df.withColumn("_row", F.monotonically_increasing_id()), name))
 
 
 def score_cleaned(stack, kept, language_model=None, sentiment_model=None, languages=None,
-                  confidence=LANGUAGE_CONFIDENCE, key_col=None):
-    """Language, language filter and English sentiment for cleaned rows.
+                  confidence=LANGUAGE_CONFIDENCE, key_col="_row"):
+    """Language, language filter and English sentiment for cleaned rows of a table with a unique `key_col`.
 
     Models are fitted ones or loaders for `classify.score_with`. Without a language model
-    the rows stay as they are. Scores are computed per row if
-    there is a unique `key_col`, else once per distinct text, and written as small tables
-    (key and numbers, no text), which `stack` removes when it closes. Sentiment is scored
-    for English texts only and missing elsewhere.
+    the rows stay as they are. Scores are small tables (key and numbers, no text), which
+    `stack` removes when it closes; texts move once, when they meet their scores. Sentiment
+    is scored for English texts only and missing elsewhere.
     """
     if language_model is None:
         return kept
-    key = key_col or "_text_key"
-    texts = kept.select(key, "cleaned_text") if key_col else distinct_texts(kept, "cleaned_text")
-    wanted = keep_languages(score_languages(texts, key, "cleaned_text", language_model), languages, confidence)
+    texts = kept.select(key_col, "cleaned_text")
+    wanted = keep_languages(score_languages(texts, key_col, "cleaned_text", language_model), languages, confidence)
     scores = stack.enter_context(staged(wanted, "languages"))
     if sentiment_model is not None:
-        english = texts.join(scores.filter("language = 'en'"), key, "left_semi")
-        sentiment = score_sentiment(english, key, "cleaned_text", sentiment_model, "sentiment", "sentiment_score")
-        scores = stack.enter_context(staged(scores.join(sentiment, key, "left"), "scores"))
-    return kept.join(scores, key) if key_col else join_text_scores(kept, "cleaned_text", scores)
+        english = texts.join(scores.filter("language = 'en'"), key_col, "left_semi")
+        sentiment = score_sentiment(english, key_col, "cleaned_text", sentiment_model, "sentiment", "sentiment_score")
+        scores = stack.enter_context(staged(scores.join(sentiment, key_col, "left"), "scores"))
+    return kept.join(scores, key_col)
 
 
 def analyze_comments(spark, input_path, output, comment_col="comment", keywords_path=None, languages=None,
                      confidence=LANGUAGE_CONFIDENCE, language_model=None, sentiment_model=None,
-                     n_topics=DEFAULT_TOPICS, topics=True, charts=False, key_col=None):
+                     n_topics=DEFAULT_TOPICS, topics=True, charts=False):
     """Clean, filter and score comments; write the rows, topics and chart tables.
 
-    The input is parsed once into a staged table with the cleaned text (NULL for spam),
-    the scored rows into a second one; all reports read just their columns from
-    these. Target languages that are not in the dictionary are named in a warning. Writes `output` (CSV), `<output stem>_metadata.json` and, with `charts`,
-    tables below `<output stem>_charts`. A unique `key_col` saves the shuffle that folds
-    equal texts. Returns {name: DataFrame} of the small reports.
+    The input is parsed once; rows that are no spam are staged with a number each, by which
+    scores find them again, and all rows are counted on the way. The scored rows are staged as
+    well, and all reports read just their columns from there. Target languages that are not in the dictionary are named in a warning. Writes `output` (CSV), `<output stem>_metadata.json` and, with `charts`,
+    tables below `<output stem>_charts`. Returns {name: DataFrame} of the small reports.
     """
     raw = rename_text_column(spread(read_comments(spark, input_path)), comment_col)
     keywords = read_keywords(spark, keywords_path)
@@ -105,13 +113,14 @@ def analyze_comments(spark, input_path, output, comment_col="comment", keywords_
     reports = {}
 
     with ExitStack() as stack:
-        cleaned = stack.enter_context(staged(clean_with(raw, "comment", keywords), "cleaned"))
-        kept = drop_missing_cleaned(cleaned)
-        scored = score_cleaned(stack, kept, language_model, sentiment_model, languages, confidence, key_col)
-        rows = stack.enter_context(staged(scored, "scored"))
+        seen = Observation()
+        cleaned = clean_with(raw, "comment", keywords, stack).observe(seen, F.count("*").alias("rows"))
+        kept = with_row_number(stack, drop_missing_cleaned(cleaned), "cleaned")
+        scored = score_cleaned(stack, kept, language_model, sentiment_model, languages, confidence)
+        rows = stack.enter_context(staged(scored.drop("_row"), "scored"))
         write_csv(rows, output)
         kept_count, languages = _rows_and_languages(rows)
-        reports["removal_stats"] = _removal_report(spark, cleaned.count(), kept_count)
+        reports["removal_stats"] = _removal_report(spark, seen.get["rows"], kept_count)
 
         if kept_count and languages and (topics or charts):
             # Words are counted once; topics, bar chart and word cloud rank the same counts.
@@ -178,38 +187,42 @@ def chart_tables(rows, counts=None):
 
 def label_comments(spark, input_path, output=None, label_type="tourism", sample=None, key=None):
     """Label comments by a keyword set, write CSV, return the summary."""
-    comments = require_column(read_comments(spark, input_path), "comment")
+    comments = require_column(spread(read_comments(spark, input_path)), "comment")
     labelled = with_label(sample_exact(comments, sample, key), label_type)
     if output is None:
         folder, _, name = input_path.rstrip("/").rpartition("/")
         output = f"{folder}/labeled_{name}" if folder else f"labeled_{name}"
-    write_csv(labelled, output)
-    return label_summary(read_csv(spark, output), f"{label_type}_related")
+    label, seen = f"{label_type}_related", Observation()
+    write_csv(labelled.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(label), F.lit(0)).alias("matches")), output)
+    return summary_of_counts(spark.createDataFrame([(seen.get["rows"], seen.get["matches"])], "total bigint, matches bigint"))
 
 
-def score_comment_sentiment(stack, df, text_col, model=None, key_col=None):
-    """Sentiment of every row: missing text is empty, long text is cut, blank text is a fixed word.
+def score_comment_sentiment(df, text_col, model, key_col="_row"):
+    """Sentiment per `key_col`: missing text is empty, long text is cut, blank text is a fixed word.
 
     The cut is this command's rule for what it scores; the row keeps its whole text.
     """
-    if model is None:
-        return with_neutral_sentiment(df)
     prepared = df.withColumn("_scored_text", truncate_text(fill_missing(text_col)))
-    if key_col:
-        scores = stack.enter_context(staged(score_sentiment(prepared, key_col, "_scored_text", model, batch_size=SENTIMENT_BATCH), "scores"))
-        return df.join(scores, key_col)
-    texts = distinct_texts(prepared, "_scored_text")
-    scores = stack.enter_context(staged(score_sentiment(texts, "_text_key", "_scored_text", model, batch_size=SENTIMENT_BATCH), "scores"))
-    return join_text_scores(prepared, "_scored_text", scores).drop("_scored_text")
+    return score_sentiment(prepared, key_col, "_scored_text", model, batch_size=SENTIMENT_BATCH)
+
 
+def analyze_sentiment(spark, input_path, output=None, comment_col="comment", model=None):
+    """Score the sentiment of every comment, write CSV, return the distribution.
 
-def analyze_sentiment(spark, input_path, output=None, comment_col="comment", model=None, key_col=None):
-    """Score the sentiment of every comment, write CSV, return the distribution."""
-    comments = require_column(read_comments(spark, input_path), comment_col)
+    The input is parsed once into a staged table; the distribution comes from the scores alone.
+    """
+    comments = require_column(spread(read_comments(spark, input_path)), comment_col)
     output = output or output_path(input_path, "_with_sentiment.csv")
     with ExitStack() as stack:
-        write_csv(score_comment_sentiment(stack, comments, comment_col, model, key_col), output)
-    return sentiment_distribution(read_csv(spark, output))
+        if model is None:
+            seen = Observation()
+            scored = with_neutral_sentiment(comments).observe(seen, F.count("*").alias("rows"))
+            write_csv(scored, output)
+            return _keep(sentiment_distribution(with_neutral_sentiment(spark.range(seen.get["rows"]))))
+        rows = with_row_number(stack, comments, "comments")
+        scores = stack.enter_context(staged(score_comment_sentiment(rows, comment_col, model), "scores"))
+        write_csv(rows.join(scores, "_row").drop("_row"), output)
+        return _keep(sentiment_distribution(scores))
 
 
 def convert_csv(spark, csv_path, parquet_path, delimiter=",", compression="snappy", overwrite=False, mode="compat"):
@@ -266,19 +279,21 @@ def size_report(spark, csv_dir, parquet_dir):
 
 def json_to_csv(spark, input_path, output=None):
     """Convert comment JSON to CSV; returns records and fields."""
-    comments = read_json_comments(spark, input_path)
+    comments, seen = read_json_comments(spark, input_path), Observation()
     output = output or output_path(input_path, ".csv")
-    write_csv(comments, output)
-    return comments.agg(F.count("*").alias("records")).withColumn("fields", F.lit(len(comments.columns)))
+    write_csv(spread(comments).observe(seen, F.count("*").alias("records")), output)
+    return spark.createDataFrame([(seen.get["records"], len(comments.columns))], "records bigint, fields int")
 
 
 def filter_comments(spark, input_path, output="filtered_comments.csv", comment_col="comment", keywords_path=None,
                     language_model=None, confidence=LANGUAGE_CONFIDENCE):
     """Drop spam and, given a language model, comments that are not English; write CSV."""
-    raw = rename_text_column(read_comments(spark, input_path), comment_col)
-    kept = drop_missing_cleaned(clean_with(raw, "comment", read_keywords(spark, keywords_path)))
+    raw = rename_text_column(spread(read_comments(spark, input_path)), comment_col)
     with ExitStack() as stack:
-        write_csv(score_cleaned(stack, kept, language_model, None, ["en"], confidence), output)
+        kept = drop_missing_cleaned(clean_with(raw, "comment", read_keywords(spark, keywords_path), stack))
+        if language_model is not None:
+            kept = with_row_number(stack, kept, "cleaned")
+        write_csv(score_cleaned(stack, kept, language_model, None, ["en"], confidence).drop("_row"), output)
     return output
 
 

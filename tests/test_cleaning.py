@@ -62,6 +62,23 @@ def test_keyword_table_without_start_list(spark, monkeypatch):
     assert column(cleaning.keyword_hits(frame, "id", "comment", table)) == [1]
 
 
+def test_keyword_windows_of_one_long_keyword(spark):
+    """A keyword of 5,000 characters and a long text; short keywords beside it."""
+    long_word = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(5000))
+    words = [long_word, "qq", "z", "exactly16letters", "öäü"]
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    texts = {1: "the " * 50_000 + long_word + " the", 2: "the " * 50_000 + long_word[:-1], 3: "aQQ", 4: "Exactly16Letters!", 5: "ÖÄÜ", 6: "", 7: None, 8: "exactly16letter"}
+    frame = spark.createDataFrame(list(texts.items()), "id int, comment string")
+    for limit in (cleaning.MAX_STARTS, 2):
+        cleaning.MAX_STARTS, old = limit, cleaning.MAX_STARTS
+        try:
+            small = frame if limit > 2 else frame.filter("id > 2")
+            want = {i for i, t in texts.items() if t and any(w in t.lower() for w in words)} & {r.id for r in small.collect()}
+            assert set(column(cleaning.keyword_hits(small, "id", "comment", table))) == want
+        finally:
+            cleaning.MAX_STARTS = old
+
+
 def test_long_keyword_lists_take_the_join(spark, comments, monkeypatch):
     monkeypatch.setattr(jobs, "keyword_list", lambda keywords: None)
     table = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")

@@ -30,7 +30,7 @@ def test_topics_read_two_columns_and_cut_per_task(documents):
 
 def test_labels_and_cleaning_need_no_shuffle(documents):
     plan = plan_of(labels.with_label(cleaning.keep_clean(documents, "text", ["spam"]), "tourism", "text"))
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange" not in plan and "BatchEvalPython" not in plan
 
 
 def test_totals_need_no_cross_join(documents):
