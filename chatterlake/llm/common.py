@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text handled at a time inside a task; one longer text is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -64,6 +64,13 @@ class Hasher:
         return mix(raw + (ends - starts).astype(np.uint64))
 
 
+def small_batches(spark):
+    """Let Spark hand texts to Python in batches of a few MB, whatever their number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
 def text_bytes(column):
     """The UTF-8 bytes of a string column as one array, and the offsets of its rows."""
     column = pc.fill_null(column, "") if column.null_count else column

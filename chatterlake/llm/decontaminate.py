@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Hasher, arrow_schema, chunks, column_of, gram_hashes, record, row_bounds, rows_of, text_bytes, word_spans
+from .common import ALNUM, Hasher, arrow_schema, chunks, column_of, gram_hashes, record, row_bounds, rows_of, small_batches, text_bytes, word_spans
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -86,6 +86,7 @@ class Index:
 
 def _indexes(spark, items, item_col, item_text_col, words, containment, block_bytes):
     """Broadcast indexes of the items, each of about `block_bytes` of text, one after the other."""
+    small_batches(spark)
     wanted = items.select(F.col(item_col).alias("key"), F.col(item_text_col).alias("text")).filter("text is not null")
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = int(total // block_bytes) + 1

@@ -15,13 +15,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, column_of, record, sums, text_bytes
+from .common import arrow_schema, chunks, column_of, record, small_batches, sums, text_bytes
 
 ORDER = 4
 # Labelled rows per language that a model is fitted on, and nodes a tree may have.
 ROWS_PER_LANGUAGE = 1500
 MAX_NODES = 400_000
-CACHED_KEYS = 2_000_000
+CACHED_KEYS = 1_000_000
 UNKNOWN = "und"
 
 
@@ -79,6 +79,7 @@ def fit(labelled, text_col="text", lang_col="lang", key_col="doc_id", rows_per_l
     Spark; the collected trees are bounded by the sample and by `MAX_NODES` per order,
     beyond which nodes seen once go.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"), F.xxhash64(key_col).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -88,16 +89,18 @@ def fit(labelled, text_col="text", lang_col="lang", key_col="doc_id", rows_per_l
                      [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, rows_per_language / sizes[lang]))])
     sample = rows.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
-    columns = "lang string, key long, n long"
+    columns = "lang int, key long, n long"
     schema = arrow_schema(columns)
 
+    number = {lang: i for i, lang in enumerate(languages)}
+
     def count(batches):
         totals = {}
         for batch in chunks(batches, "text"):
-            names = column_of(batch, "lang").to_pylist()
+            names = [number[lang] for lang in column_of(batch, "lang").to_pylist()]
             data, offsets = text_bytes(column_of(batch, "text"))
-            keys, names = _keys(data, offsets), np.repeat(np.array(names, object), np.diff(offsets))
-            for lang in set(names):
+            keys, names = _keys(data, offsets), np.repeat(names, np.diff(offsets))
+            for lang in np.unique(names).tolist():
                 found, n = np.unique(keys[names == lang], return_counts=True)
                 old = totals.get(lang)
                 part = pd.Series(n, index=found)
@@ -105,14 +108,12 @@ def fit(labelled, text_col="text", lang_col="lang", key_col="doc_id", rows_per_l
         for lang, counted in totals.items():
             yield record(schema, lang=[lang] * len(counted), key=counted.index.to_numpy().astype(np.int64), n=counted.to_numpy().astype(np.int64))
 
-    counted = sample.mapInArrow(count, columns).groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInArrow(count, columns).groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     return _trees(counted, languages)
 
 
 def _trees(counted, languages):
-    number = {lang: i for i, lang in enumerate(languages)}
-    lang = counted["lang"].map(number).to_numpy().astype(np.int64)
-    key, n = counted["key"].to_numpy().astype(np.uint64), counted["n"].to_numpy().astype(np.int64)
+    lang, key, n = (counted[c].to_numpy().astype(kind) for c, kind in (("lang", np.int64), ("key", np.uint64), ("n", np.int64)))
     model = Model(languages, [], [], [], [])
     for order in range(ORDER + 1):
         part = key & np.uint64((1 << (8 * (order + 1))) - 1)
@@ -146,6 +147,7 @@ def predict_language(docs, model, id_col="doc_id", text_col="text"):
     the model knows no language. `score` is the winner's posterior share under equal priors.
     Equal code lengths go to the language that sorts first. Repeated rows are scored each.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     columns = "lang_pred string, score double, bits double"
     schema = arrow_schema(columns)

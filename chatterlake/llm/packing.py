@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, column_of, record, task_rows, text_bytes
+from .common import arrow_schema, chunks, column_of, record, small_batches, task_rows, text_bytes
 from .tokens import TOKEN_BYTES, default_path, pieces, word_tokens
 
 SEQUENCE = 2048
@@ -75,6 +75,7 @@ def pack_documents(docs, id_col="doc_id", text_col="text", path=None, end_id=1,
     sequence needs to reach `capacity`, 0 at a power of two. No group depends on how long
     a document is: pieces, not documents, are dealt out.
     """
+    small_batches(docs.sparkSession)
     found = token_pieces(docs, id_col, text_col, path or default_path(), end_id, capacity)
     groups = max(1, -(-docs.count() // group_documents))
     kind = dict(docs.dtypes)[id_col]

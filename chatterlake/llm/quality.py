@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import LOWER, Hasher, arrow_schema, chunks, column_of, mix, record, row_bounds, rows_of, text_bytes, word_spans
+from .common import LOWER, Hasher, arrow_schema, chunks, column_of, mix, record, row_bounds, rows_of, small_batches, text_bytes, word_spans
 
 LABELLED_ROWS = 4000
 WORD_TERMS, SHAPE_TERMS = 2048, 2048
@@ -114,10 +114,10 @@ def fit(sample, label_col="label", id_col="doc_id", text_col="text"):
                 yield record(schema, h=column_of(part, "h"), label=column_of(part, "label"), counts=[row.astype(np.float16).tobytes() for row in counts])
 
     # The order is fixed, so that the same rows give the same model on every run.
-    found = sample.mapInArrow(count, "h long, label double, counts binary").toPandas().sort_values(["h", "label"], kind="stable")
-    if not len(found):
+    found = sample.mapInArrow(count, "h long, label double, counts binary").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    if not found.num_rows:
         return None
-    counts = np.frombuffer(b"".join(found["counts"]), np.float16).reshape(len(found), TERMS).astype(np.float32)
+    counts = np.frombuffer(b"".join(found["counts"].to_pylist()), np.float16).reshape(found.num_rows, TERMS).astype(np.float32)
     labels = found["label"].to_numpy()
     weights = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     x = _unit(counts * weights)
@@ -136,6 +136,7 @@ def score_quality(docs, model, id_col="doc_id", text_col="text", threshold=0.3):
     A missing or empty text has no terms and gets the labels' mean. Without a model (no
     labels) every score is 0. Repeated rows are scored each; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     columns = "score double, predicted int"
     schema = arrow_schema(columns)

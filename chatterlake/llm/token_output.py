@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, column_of, record, task_rows, text_bytes
+from .common import arrow_schema, chunks, column_of, record, small_batches, task_rows, text_bytes
 from .packing import SEQUENCE, SEQUENCES_PER_GROUP
 from .tokens import TOKEN_BYTES, default_path, pieces, word_tokens
 
@@ -84,6 +84,7 @@ def packed_matrices(docs, id_col="doc_id", text_col="text", path=None, end_id=1,
     document and the document's ids before it. A missing or empty text is its end id alone;
     repeated rows are packed each; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     path = path or default_path()
     kind = dict(docs.dtypes)[id_col]
     piece_columns = "start long, length long, ids binary, _place long"
