@@ -31,10 +31,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..sources.storage import write_table
-from .common import Hasher, arrow_schema, chunks, column_of, mix, record, signed, text_bytes
+from .common import Hasher, arrow_schema, chunks, column_of, mix, record, signed, small_batches, text_bytes
 
 LENGTH = 400
 PERIOD = 91
@@ -103,6 +102,11 @@ def _unpack(raw):
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
+def staged(df, name):
+    """`df` as a table in the shared folder."""
+    return write_table(df, name)[0]
+
+
 def _screen(texts, length):
     """(key, a, b, certain, stays): intervals of starts whose anchor window repeats.
 
@@ -118,13 +122,13 @@ def _screen(texts, length):
                 yield pa.RecordBatch.from_arrays([column_of(batch, "key").take(pa.array(text)), *rows.columns[1:]], names=["key", "a", "b", "h", "whole"])
 
     found = texts.mapInArrow(run, "key long, a long, b long, h long, whole long")
-    # Equal intervals have equal anchors, so one exchange by anchor serves both counts; only
-    # the few rows with a repeated anchor go on to the second.
-    anchor, whole = Window.partitionBy("h"), Window.partitionBy("h", "whole")
-    found = found.withColumn("n", F.count("*").over(anchor)).filter("n > 1")
-    place = F.struct("key", "a")
-    marked = found.withColumn("n", F.count("*").over(whole)).withColumn("stay", F.min(place).over(whole))
-    return marked.select("key", "a", "b", (F.col("n") > 1).alias("certain"), (place == F.col("stay")).alias("stays"))
+    # Counts are summed per task before they are dealt out, and rows meet them in plain joins,
+    # which adaptive execution splits where one anchor holds a large part of all rows.
+    windows = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    repeated = staged(found.join(windows, "h"), "anchors")
+    wholes = repeated.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "a")).alias("stay"))
+    marked = repeated.join(wholes, ["h", "whole"])
+    return marked.select("key", "a", "b", (F.col("n") > 1).alias("certain"), (F.struct("key", "a") == F.col("stay")).alias("stays"))
 
 
 def _sampled(parts, length):
@@ -196,10 +200,6 @@ def repeated_runs(texts, length=LENGTH):
 
     Also returns the staged texts of all rows with a repeated anchor.
     """
-
-    def staged(df, name):
-        return write_table(df, name)[0]
-
     marks = _screen(texts.all, length).groupBy("key").agg(F.collect_set(F.struct("a", "b", "certain", "stays")).alias("m"))
     marks = marks.select("key", *[F.col(f"m.{c}").alias(c) for c in ("a", "b", "certain", "stays")])
     touched = staged(texts.one(marks), "touched")
@@ -365,6 +365,7 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", length=LENGTH):
     remaining bytes. A missing or empty text has no bytes. Repeated rows of `length` bytes and more
     are removed whole. `length` is at least four periods less one. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     runs, touched = repeated_runs(_Texts(docs, id_col, text_col), length)
     schema = arrow_schema("n_removed long, n_spans long, kept_sha256 string, kept string")
