@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..sources.storage import delete_path, write_table
-from .common import LOWER, Hasher, arrow_schema, chunks, column_of, gram_hashes, mix, record, row_bounds, rows_of, signed, text_bytes, word_spans
+from .common import LOWER, Hasher, arrow_schema, chunks, column_of, gram_hashes, mix, record, row_bounds, rows_of, signed, small_batches, text_bytes, word_spans
 from .components import components
 
 WORDS = 4
@@ -183,7 +183,7 @@ def ngram_components(docs, id_col="doc_id", text_col="text", words=WORDS, percen
     without words have no n-grams and stay alone; rows with equal sets always link.
     Repeated rows stay rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     set_schema = arrow_schema("n long, sig long")
@@ -214,13 +214,15 @@ def ngram_components(docs, id_col="doc_id", text_col="text", words=WORDS, percen
             yield record(gram_schema, h=signed(values[use]), sig=signed(sig[rows_used]), n=size[rows_used].astype(np.int32),
                          emitted=emitted[rows_used].astype(np.int32), tier=(~small[use]).astype(np.int32))
 
-    # One exchange by hash serves the fold of equal sets, the counts and the join back.
-    grams = keyed.mapInArrow(low_grams, "h long, sig long, n int, emitted int, tier int").repartition("h")
-    grams = grams.groupBy("h", "sig").agg(F.first("n").alias("n"), F.first("emitted").alias("emitted"), F.first("tier").alias("tier"))
+    # Rarity is how many rows have an n-gram, summed per task before the exchange. The rows then
+    # meet the counts in a plain join, which adaptive execution splits at a very common n-gram,
+    # and only those that are not alone go on, once per set.
+    grams = keyed.mapInArrow(low_grams, "h long, sig long, n int, emitted int, tier int")
     common = grams.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared, shared_path = write_table(grams.join(common, "h"), "shared-grams")
+    shared = grams.join(common, "h").groupBy("sig", "h").agg(*[F.first(c).alias(c) for c in ("n", "emitted", "tier", "df")])
+    shared, shared_path = write_table(shared, "shared-grams")
 
-    # The prefix of a set: its n-grams of one set only come first, then the rarest shared ones.
+    # The prefix of a set: its n-grams of one row only come first, then the rarest others.
     own = Window.partitionBy("sig")
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = (
