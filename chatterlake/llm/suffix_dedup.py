@@ -122,11 +122,12 @@ def _screen(texts, length):
                 yield pa.RecordBatch.from_arrays([column_of(batch, "key").take(pa.array(text)), *rows.columns[1:]], names=["key", "a", "b", "h", "whole"])
 
     found = texts.mapInArrow(run, "key long, a long, b long, h long, whole long")
-    # Counts are summed per task before they are dealt out, and rows meet them in plain joins,
-    # which adaptive execution splits where one anchor holds a large part of all rows.
-    windows = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # Counts are summed per task before they are dealt out and written, so that rows meet them in
+    # joins of plain exchanges, which adaptive execution splits where one anchor holds a
+    # large part of all rows.
+    windows = staged(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "windows")
     repeated = staged(found.join(windows, "h"), "anchors")
-    wholes = repeated.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "a")).alias("stay"))
+    wholes = staged(repeated.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "a")).alias("stay")), "wholes")
     marked = repeated.join(wholes, ["h", "whole"])
     return marked.select("key", "a", "b", (F.col("n") > 1).alias("certain"), (F.struct("key", "a") == F.col("stay")).alias("stays"))
 
