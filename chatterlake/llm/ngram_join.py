@@ -214,11 +214,11 @@ def ngram_components(docs, id_col="doc_id", text_col="text", words=WORDS, percen
             yield record(gram_schema, h=signed(values[use]), sig=signed(sig[rows_used]), n=size[rows_used].astype(np.int32),
                          emitted=emitted[rows_used].astype(np.int32), tier=(~small[use]).astype(np.int32))
 
-    # Rarity is how many rows have an n-gram, summed per task before the exchange. The rows then
-    # meet the counts in a plain join, which adaptive execution splits at a very common n-gram,
-    # and only those that are not alone go on, once per set.
+    # Rarity is how many rows have an n-gram, summed per task before the exchange. The counts are
+    # written, so that rows meet them in a join of plain exchanges, which adaptive execution
+    # splits at a very common n-gram. Only n-grams that are not alone go on, once per set.
     grams = keyed.mapInArrow(low_grams, "h long, sig long, n int, emitted int, tier int")
-    common = grams.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    common, common_path = write_table(grams.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "common-grams")
     shared = grams.join(common, "h").groupBy("sig", "h").agg(*[F.first(c).alias(c) for c in ("n", "emitted", "tier", "df")])
     shared, shared_path = write_table(shared, "shared-grams")
 
@@ -268,7 +268,7 @@ def ngram_components(docs, id_col="doc_id", text_col="text", words=WORDS, percen
     links, links_path = write_table(placed.groupBy("component", "a", "b").applyInArrow(join_block, "u long, v long"), "links")
     joined = components(links, "u", "v").withColumnRenamed("node", "sig")
     joined, joined_path = write_table(joined, "joined")
-    for path in (shared_path, prefix_path, near_path, links_path):
+    for path in (common_path, shared_path, prefix_path, near_path, links_path):
         delete_path(spark, path)
 
     labelled = sets.join(joined, "sig", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "sig")))
