@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..sources.storage import write_table
-from .common import LOWER, Hasher, arrow_schema, chunks, column_of, mix, record, row_bounds, rows_of, signed, sums, task_rows, text_bytes, word_spans
+from .common import LOWER, Hasher, arrow_schema, chunks, column_of, mix, record, row_bounds, rows_of, signed, small_batches, sums, task_rows, text_bytes, word_spans
 
 LOG_BASE = 1.5
 PROBES = 3
@@ -28,7 +28,9 @@ BITS_PER_TOKEN = 10
 MAX_BITS = 1 << 29
 FREQUENT_WORDS = 500_000
 TOKENS_PER_SLICE = 1 << 20
-COMBINED_KEYS = 1 << 21
+COMBINED_KEYS = 1 << 20
+# Bytes of text scored at a time; small, as a worker holds the filters beside it.
+TEXT_BYTES = 1 << 19
 LEVELS = 64
 
 END = mix(np.array([11], np.uint64))[0]
@@ -143,7 +145,7 @@ def _combined(batches, text_col, keys_of, slices):
         extra = np.concatenate([e for _, e in held])[first]
         return _sliced(slices, keys, counts, extra)
 
-    for batch in chunks(batches, text_col):
+    for batch in chunks(batches, text_col, TEXT_BYTES):
         keys, extra = keys_of(*tokens(*text_bytes(column_of(batch, text_col))))
         held.append((keys, extra))
         size += len(keys)
@@ -169,10 +171,9 @@ class Model:
 
 
 def _collect_filter(built, slices, bits):
-    """The slices of a built filter, in order; together they have the filter's bounded size."""
-    rows = sorted(built.select("slice", "bits").toLocalIterator(), key=lambda r: r["slice"])
+    """The slices of a built filter, one after the other; together they have its bounded size."""
     data = np.zeros(slices * bits // 8, np.uint8)
-    for r in rows:
+    for r in built.select("slice", "bits").toLocalIterator():
         data[r["slice"] * bits // 8 : (r["slice"] + 1) * bits // 8] = np.frombuffer(r["bits"], np.uint8)
     return Filter(slices, bits, data)
 
@@ -183,7 +184,7 @@ def _slice_bits(entries, slices, max_bits):
 
 def fit(train, text_col="text", max_bits=MAX_BITS, frequent_words=FREQUENT_WORDS):
     """Count words and word pairs of all training texts and build the filters."""
-    spark = train.sparkSession
+    spark = small_batches(train.sparkSession)
     texts = train.select(F.col(text_col).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     slices = int((size["n"] // 6 + size["rows"]) // TOKENS_PER_SLICE) + 8
@@ -204,7 +205,7 @@ def fit(train, text_col="text", max_bits=MAX_BITS, frequent_words=FREQUENT_WORDS
         if room < 0:
             break
         least = r["least"]
-    often = words.filter(F.col("c") >= (least if least is not None else 1 << 62)).toPandas()
+    often = words.filter(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
     h, c = often["h"].to_numpy().astype(np.int64).view(np.uint64), often["c"].to_numpy().astype(np.int64)
     order = np.argsort(h)
     frequent = h[order], c[order]
@@ -227,7 +228,7 @@ def fit(train, text_col="text", max_bits=MAX_BITS, frequent_words=FREQUENT_WORDS
             number = _slice_of(column_of(batch, "h").to_numpy(zero_copy_only=False).view(np.uint64), bound_slices)
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *batch.columns], names=["slice", *batch.schema.names])
 
-    built = marked.mapInArrow(add_slice, "slice int, h long, c long").groupBy("slice").applyInArrow(word_slice, "slice int, bits binary")
+    built, _ = write_table(marked.mapInArrow(add_slice, "slice int, h long, c long").groupBy("slice").applyInArrow(word_slice, "slice int, bits binary"), "lm-filter")
     word_filter = _collect_filter(built, slices, word_bits)
 
     shared = spark.sparkContext.broadcast(word_filter)
@@ -247,6 +248,7 @@ def fit(train, text_col="text", max_bits=MAX_BITS, frequent_words=FREQUENT_WORDS
     pairs = texts.mapInArrow(lambda it: _combined(it, "text", pair_keys, slices), _BLOBS)
     built, _ = write_table(pairs.groupBy("slice").applyInArrow(pair_slice, "slice int, bits binary, different array<long>"), "lm-pairs")
     pair_filter = _collect_filter(built, slices, pair_bits)
+    shared.unpersist()
     different = np.zeros(LEVELS + 1)
     for r in built.select(F.posexplode("different").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
         different[r["level"]] = r["n"]
@@ -264,7 +266,7 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
     is its end alone; without training tokens every word has the same share. Repeated rows are
     scored each. `keep` names further columns to carry along.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     carried = [id_col, *keep]
     columns = "_row long, n_tokens long, known long, base double, score double, rare array<long>"
@@ -275,7 +277,7 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
     def run(batches):
         (often, often_counts), _, _, word_filter, pair_filter, pseudo = shared.value
         place = task_rows()
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, text_col, TEXT_BYTES):
             hashes, bounds = tokens(*text_bytes(column_of(batch, text_col)))
             codes, kinds = pd.factorize(hashes.view(np.int64))
             kinds = kinds.view(np.uint64)
