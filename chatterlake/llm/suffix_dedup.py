@@ -9,10 +9,10 @@ brought next to each other.
    whose anchor's window stands nowhere else cannot repeat. Where the whole text of an
    interval, up to its last string's end, stands elsewhere, all its starts repeat, and one such
    place stays as partner for others. What is left is a small part of the text.
-2. Sort sampled triples. In what is left, positions in a difference cover modulo `PERIOD` are
+2. Sort sampled triples. In what is left, positions in a difference cover modulo `period` are
    sampled: any two equal strings have a sampled position at the same distance below
-   `PERIOD`. A sampled position has a letter, the `PERIOD` bytes from it on; the triples of the
-   letters at p, p + PERIOD and p + 2 PERIOD are sorted in ranges and equal neighbours get one
+   `period`. A sampled position has a letter, the `period` bytes from it on; the triples of the
+   letters at p, p + period and p + 2 period are sorted in ranges and equal neighbours get one
    name. Positions with a name of their own drop out.
 3. Recurse on names. While three names side by side still fit into the string less one
    period, triples of names are sorted and named in turn.
@@ -39,6 +39,8 @@ LENGTH = 400
 PERIOD = 91
 # A perfect difference set; each distance modulo 91 is a difference of two.
 COVER = [0, 1, 3, 9, 27, 49, 56, 61, 77, 81]
+# Covers by their period; a string has four periods less one byte at least.
+COVERS = {PERIOD: COVER, 31: [1, 5, 11, 24, 25, 27]}
 STARTS_PER_SLICE = 1 << 20
 
 
@@ -132,12 +134,12 @@ def _screen(texts, length):
     return marked.select("key", "a", "b", (F.col("n") > 1).alias("certain"), (F.struct("key", "a") == F.col("stay")).alias("stays"))
 
 
-def _sampled(parts, length):
+def _sampled(parts, period):
     """Letters' triples at the sampled positions of all fragments: (name, key, start, p)."""
     schema = arrow_schema("name long, start long, p long")
-    cover = np.zeros(PERIOD, bool)
-    cover[COVER] = True
-    span = 3 * PERIOD
+    cover = np.zeros(period, bool)
+    cover[COVERS[period]] = True
+    span = 3 * period
 
     def run(batches):
         for batch in chunks(batches, "bytes"):
@@ -148,10 +150,10 @@ def _sampled(parts, length):
             at = np.arange(len(data) - span + 1)
             row = np.searchsorted(offsets, at, "right") - 1
             p = at - offsets[row] + origin[row]
-            use = cover[p % PERIOD] & (at + span <= offsets[row + 1])
+            use = cover[p % period] & (at + span <= offsets[row + 1])
             at, row, p = at[use], row[use], p[use]
             hasher = Hasher(data)
-            first, second, third = (hasher(at + k * PERIOD, at + (k + 1) * PERIOD) for k in range(3))
+            first, second, third = (hasher(at + k * period, at + (k + 1) * period) for k in range(3))
             rows = record(schema, name=signed(mix(mix(first * np.uint64(3) + second) * np.uint64(5) + third)), start=origin[row], p=p)
             yield pa.RecordBatch.from_arrays([rows.column(0), column_of(batch, "key").take(pa.array(row)), *rows.columns[1:]], names=["name", "key", "start", "p"])
 
@@ -196,7 +198,7 @@ def _deeper(named, covered):
     return joined.select(F.xxhash64("name", "name1", "name2").alias("name"), "key", "start", "p")
 
 
-def repeated_runs(texts, length=LENGTH):
+def repeated_runs(texts, length=LENGTH, period=PERIOD):
     """Covered byte runs per text: (key, starts, ends), a row for each text that has some.
 
     Also returns the staged texts of all rows with a repeated anchor.
@@ -234,11 +236,11 @@ def repeated_runs(texts, length=LENGTH):
     columns = "key long, bytes binary, start long, a array<long>, b array<long>"
     parts = staged(touched.filter(F.exists(F.arrays_zip("certain", "stays"), lambda x: ~x["certain"] | x["stays"])).select("key", "text", "a", "b", "certain", "stays").mapInArrow(fragments, columns), "fragments")
 
-    covered = 3 * PERIOD
-    if covered > length - PERIOD + 1:
-        raise ValueError(f"length must be at least {4 * PERIOD - 1}")
-    named = _named(_sampled(parts, length))
-    while 3 * covered <= length - PERIOD + 1:
+    covered = 3 * period
+    if covered > length - period + 1:
+        raise ValueError(f"length must be at least {4 * period - 1}")
+    named = _named(_sampled(parts, period))
+    while 3 * covered <= length - period + 1:
         named = _named(_deeper(staged(named, "names"), covered))
         covered *= 3
     named = named.groupBy("key", "start").agg(F.collect_list("p").alias("p"))
@@ -255,7 +257,7 @@ def repeated_runs(texts, length=LENGTH):
         for i in range(batch.num_rows):
             p = np.sort(np.asarray(column_of(batch, "p")[i].values))
             a, b = np.asarray(column_of(batch, "a")[i].values), np.asarray(column_of(batch, "b")[i].values)
-            x, y = merged(np.maximum(p - PERIOD + 1, a[0]), np.minimum(p + 1, b[-1]))
+            x, y = merged(np.maximum(p - period + 1, a[0]), np.minimum(p + 1, b[-1]))
             use = x < y
             x, y = merged(x[use], y[use])
             near, own = expand(x, y), np.zeros(0, np.int64)
@@ -358,17 +360,17 @@ class _Texts:
         return self._rows.join(wanted, (F.col("key") == F.col("own")) & F.col("id").eqNullSafe(F.col("stand"))).select("key", "text", "a", "b", "certain", "stays").dropDuplicates(["key"])
 
 
-def remove_repeats(docs, id_col="doc_id", text_col="text", length=LENGTH):
+def remove_repeats(docs, id_col="doc_id", text_col="text", length=LENGTH, period=PERIOD):
     """For every row: `n_bytes`, `n_removed`, `n_spans`, `kept_sha256` and `kept`.
 
     `kept` is the remaining text (NULL for a missing one); bytes of a character that is cut
     inside are left out of it but count in `kept_sha256`, which is over exactly the
     remaining bytes. A missing or empty text has no bytes. Repeated rows of `length` bytes and more
-    are removed whole. `length` is at least four periods less one. Other columns are ignored.
+    are removed whole. `length` is at least four periods less one; `period` is one of `COVERS`. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    runs, touched = repeated_runs(_Texts(docs, id_col, text_col), length)
+    runs, touched = repeated_runs(_Texts(docs, id_col, text_col), length, period)
     schema = arrow_schema("n_removed long, n_spans long, kept_sha256 string, kept string")
 
     def cut(batches):

@@ -12,6 +12,8 @@ from chatterlake.llm import decontaminate, language_id, ngram_join, packing, suf
 from chatterlake.sources.storage import write_table
 
 NEAR_WORDS, NEAR_PERCENT, NEAR_LOW = 5, 80, 0.3
+# Passages of just over 50 words repeat; 51 short words have more bytes than this.
+PASSAGE_BYTES, PASSAGE_PERIOD = 200, 31
 
 
 def _named(name):
@@ -44,10 +46,10 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def repeated_passages(spark, docs, sf_dir):
-    """Cut every 400-byte passage that stands elsewhere; documents of which nothing is left go."""
+    """Cut every passage of `PASSAGE_BYTES` that stands elsewhere; documents of which nothing is left go."""
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[_named(c) for c in others]).alias("row"), F.col("text"))
-    cut = suffix_dedup.remove_repeats(rows, id_col="row")
+    cut = suffix_dedup.remove_repeats(rows, id_col="row", length=PASSAGE_BYTES, period=PASSAGE_PERIOD)
     cut = cut.filter((F.col("n_removed") == 0) | (F.trim("kept") != ""))
     row, changed = F.col("row"), F.col("n_removed") > 0
     columns = {"text": F.col("kept"), **{c: row[c] for c in others}}

@@ -155,6 +155,12 @@ def test_cover():
     assert distances == set(range(suffix_dedup.PERIOD))
 
 
+@pytest.mark.parametrize("period", suffix_dedup.COVERS)
+def test_covers(period):
+    cover = suffix_dedup.COVERS[period]
+    assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
 def test_neighbours_over_batches(spark):
     import pyarrow as pa
 
@@ -333,6 +339,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in whole.collect()) == sorted((r.doc_id, r.start, r.ids_crc32) for r in docs.collect())
 
 
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """51 to 60 short words, 200 to 400 bytes, planted in two documents each."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(3, 6))) for _ in range(300)]
+
+    def short(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    passages = [short(n) for n in range(51, 61)]
+    assert all(200 <= len(p) < 400 for p in passages)
+    rows = [(2 * k + j, f"{short(40 + k)} {p} {short(30 + j)}", "en", "a", 0) for k, p in enumerate(passages) for j in range(2)]
+    rows += [(100 + k, short(90), "en", "a", 0) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    removed = {r[0]: x for r, x in zip(rows, plain_removal([r[1].encode() for r in rows], corpus_pipeline.PASSAGE_BYTES))}
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, DATA).collect()}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in left.items()} == {i: x[3] for i, x in removed.items()}
+    assert not any(p in t for p in passages for t in left.values())
+
+
 def test_pipeline_edges(spark, tmp_path):
     rows = [(1, "the same words here and there " * 3, "en", "a", 5, 1.0), (1, "the same words here and there " * 3, "en", "a", 5, 1.0), (None, None, None, None, None, None),
             (2, "", "en", None, 0, 2.0), (None, "quite other words in this line", None, "b", 7, 3.0), (3, LONG, "en", "b", 8, None)]
