@@ -3,8 +3,10 @@
 Counts of words and word pairs are quantised on a logarithmic scale, q = 1 + floor(log_b c),
 and an entry is put into the filter once for each level 1 … q. Probing level after level until
 one is missing gives the quantised count back; it is never too small. The filter is built in
-slices by the tasks that sum the counts and is broadcast. Its size follows the training
-tokens up to `MAX_BITS`, the bound of the broadcast; beyond that only its error rate grows.
+slices by the tasks that sum the counts, each with the same number of bits for every entry, so
+its error rate is the same at every size. It is never in one place: the texts to score are
+staged in chunks as word numbers, and a chunk's different words and pairs go to the slices
+they belong to, whose answers go back to the chunk.
 
 A pair's probability is c(v,w) smoothed towards the word's own by as many pseudo-counts as
 histories of v's level have different successors on average (Witten–Bell by count level).
@@ -12,6 +14,7 @@ The plain add-half score beside it uses exact counts: those of the most frequent
 broadcast (a bounded number), the others are joined.
 """
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,14 +27,16 @@ from .common import LOWER, Hasher, arrow_schema, chunks, column_of, mix, record,
 
 LOG_BASE = 1.5
 PROBES = 3
-BITS_PER_TOKEN = 10
-MAX_BITS = 1 << 29
+BITS_PER_ENTRY = 16
 FREQUENT_WORDS = 500_000
 TOKENS_PER_SLICE = 1 << 20
 COMBINED_KEYS = 1 << 20
-# Bytes of text scored at a time; small, as a worker holds the filters beside it.
+# Bytes of text counted at a time, and of a chunk that is scored.
 TEXT_BYTES = 1 << 19
+SCORED_BYTES = 1 << 21
 LEVELS = 64
+# A slice knows its keys by their upper 40 bits: among its million keys, one key in a million has another's.
+PRINT = np.uint64(0xFFFFFFFFFF000000)
 
 END = mix(np.array([11], np.uint64))[0]
 START = mix(np.array([12], np.uint64))[0]
@@ -67,6 +72,11 @@ def build_slice(keys, levels, bits):
     return np.packbits(on)
 
 
+def slice_bits(levels):
+    """Size of a slice: the same number of bits for each entry, a key's level."""
+    return max(64, BITS_PER_ENTRY * int(levels.sum()) // 8 * 8)
+
+
 @dataclass
 class Filter:
     """Slices of equal size after each other; `levels(keys)` probes them."""
@@ -99,11 +109,11 @@ def tokens(data, offsets):
     return hashes, bounds + np.arange(len(bounds))
 
 
-def _histories(hashes, bounds):
+def _histories(hashes, bounds, start=START):
     """The token before each token; a text's first token follows the start mark."""
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
-    before[bounds[:-1]] = START
+    before[bounds[:-1]] = start
     return before
 
 
@@ -114,7 +124,8 @@ def _pair(before, hashes):
 def _sliced(slices, keys, counts, extra=None):
     """Blobs per slice of combined counts, as rows (slice, keys, counts, extra)."""
     where = _slice_of(keys, slices)
-    order = np.argsort(where, kind="stable")
+    # Equal extras side by side compress well.
+    order = np.argsort(where, kind="stable") if extra is None else np.lexsort((extra, where))
     keys, counts, where = keys[order], counts[order], where[order]
     extra = np.zeros(len(keys), np.uint8) if extra is None else extra[order]
     edges = np.searchsorted(where, np.arange(slices + 1))
@@ -125,11 +136,11 @@ def _sliced(slices, keys, counts, extra=None):
                   counts=[counts[a:b].astype("<u4").tobytes() for a, b in cut], extra=[extra[a:b].tobytes() for a, b in cut])
 
 
-def _merge(table):
-    """Distinct keys of one slice, their summed counts and their extra byte."""
+def _merge(table, extra_type=np.uint8):
+    """Distinct keys of one slice, their summed counts and their extra value."""
     keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u8")
     counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4")
-    extra = np.frombuffer(b"".join(table["extra"].to_pylist()), np.uint8)
+    extra = np.frombuffer(b"".join(table["extra"].to_pylist()), extra_type)
     order = np.argsort(keys, kind="stable")
     keys, counts, extra = keys[order], counts[order].astype(np.int64), extra[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -142,7 +153,7 @@ def _combined(batches, text_col, keys_of, slices):
 
     def flush():
         keys, first, counts = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_counts=True)
-        extra = np.concatenate([e for _, e in held])[first]
+        extra = None if held[0][1] is None else np.concatenate([e for _, e in held])[first]
         return _sliced(slices, keys, counts, extra)
 
     for batch in chunks(batches, text_col, TEXT_BYTES):
@@ -165,31 +176,25 @@ class Model:
     tokens: int              # N
     kinds: int               # V
     frequent: tuple          # hashes and counts of the most frequent words, sorted by hash
-    word_filter: Filter
-    pair_filter: Filter
+    slices: int
+    filters: object          # table (slice, kind, bits); kind 0 has words, 1 has pairs
     pseudo: np.ndarray       # pseudo-counts by the level of the history
 
 
-def _collect_filter(built, slices, bits):
-    """The slices of a built filter, one after the other; together they have its bounded size."""
-    data = np.zeros(slices * bits // 8, np.uint8)
-    for r in built.select("slice", "bits").toLocalIterator():
-        data[r["slice"] * bits // 8 : (r["slice"] + 1) * bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(slices, bits, data)
-
-
-def _slice_bits(entries, slices, max_bits):
-    return max(64, int(min(max_bits, BITS_PER_TOKEN * max(entries, 1)) // slices) // 8 * 8)
+def _sizes_of(texts):
+    """Estimated tokens and number of rows."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    return int(size["n"] // 6 + size["rows"]), size["rows"]
 
 
-def fit(train, text_col="text", max_bits=MAX_BITS, frequent_words=FREQUENT_WORDS):
+def fit(train, text_col="text", frequent_words=FREQUENT_WORDS):
     """Count words and word pairs of all training texts and build the filters."""
     spark = small_batches(train.sparkSession)
     texts = train.select(F.col(text_col).alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
-    slices = int((size["n"] // 6 + size["rows"]) // TOKENS_PER_SLICE) + 8
+    estimate, documents = _sizes_of(texts)
+    slices = estimate // TOKENS_PER_SLICE + 8
 
-    counted = texts.mapInArrow(lambda it: _combined(it, "text", lambda h, b: (h, np.zeros(len(h), np.uint8)), slices), _BLOBS)
+    counted = texts.mapInArrow(lambda it: _combined(it, "text", lambda h, b: (h, None), slices), _BLOBS)
 
     def word_rows(table):
         keys, counts, _ = _merge(table)
@@ -210,53 +215,140 @@ def fit(train, text_col="text", max_bits=MAX_BITS, frequent_words=FREQUENT_WORDS
     order = np.argsort(h)
     frequent = h[order], c[order]
 
-    word_bits = _slice_bits(3 * kinds, slices, max_bits // 4)
-    documents = size["rows"]
-
     def word_slice(table):
         keys = table["h"].to_numpy().view(np.uint64)
         levels = level_of(table["c"].to_numpy())
         number = int(_slice_of(keys[:1], slices)[0])
-        return pa.table({"slice": pa.array([number], pa.int32()), "bits": pa.array([build_slice(keys, levels, word_bits).tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([number], pa.int32()), "bits": pa.array([build_slice(keys & PRINT, levels, slice_bits(levels)).tobytes()], pa.binary())})
 
     # The mark before a text counts as a history, as often as there are texts.
     marked = words.union(spark.createDataFrame([(int(np.array([START]).view(np.int64)[0]), documents)], "h long, c long")) if documents else words
-    bound_slices = slices
 
     def add_slice(batches):
         for batch in batches:
-            number = _slice_of(column_of(batch, "h").to_numpy(zero_copy_only=False).view(np.uint64), bound_slices)
+            number = _slice_of(column_of(batch, "h").to_numpy(zero_copy_only=False).view(np.uint64), slices)
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *batch.columns], names=["slice", *batch.schema.names])
 
-    built, _ = write_table(marked.mapInArrow(add_slice, "slice int, h long, c long").groupBy("slice").applyInArrow(word_slice, "slice int, bits binary"), "lm-filter")
-    word_filter = _collect_filter(built, slices, word_bits)
+    word_filter, _ = write_table(marked.mapInArrow(add_slice, "slice int, h long, c long").groupBy("slice").applyInArrow(word_slice, "slice int, bits binary"), "lm-filter")
 
-    shared = spark.sparkContext.broadcast(word_filter)
-    pair_bits = _slice_bits(total, slices, max_bits)
+    known = spark.sparkContext.broadcast((frequent[0], level_of(frequent[1]).astype(np.uint64)))
 
     def pair_keys(hashes, bounds):
+        """Pairs and their histories; frequent words stand as their levels, which are below all hashes."""
         before = _histories(hashes, bounds)
-        codes, kinds = pd.factorize(before.view(np.int64))
-        return _pair(before, hashes), shared.value.levels(kinds.view(np.uint64)).astype(np.uint8)[codes]
+        codes, different = pd.factorize(before.view(np.int64))
+        different, (often, levels) = different.view(np.uint64), known.value
+        if len(often):
+            at = np.minimum(np.searchsorted(often, different), len(often) - 1)
+            different = np.where(often[at] == different, levels[at], different)
+        return _pair(before, hashes), different[codes]
 
     def pair_slice(table):
-        keys, counts, levels = _merge(table)
-        bits = build_slice(keys, level_of(counts), pair_bits)
-        different = np.bincount(levels, minlength=LEVELS + 1).tolist()
-        return pa.table({"slice": table["slice"].slice(0, 1).combine_chunks(), "bits": pa.array([bits.tobytes()], pa.binary()), "different": pa.array([different], pa.list_(pa.int64()))})
+        keys, counts, before = _merge(table, "<u8")
+        levels = level_of(counts)
+        bits = build_slice(keys & PRINT, levels, slice_bits(levels))
+        histories, different = np.unique(before, return_counts=True)
+        return pa.table({"slice": table["slice"].slice(0, 1).combine_chunks(), "bits": pa.array([bits.tobytes()], pa.binary()),
+                         "h": pa.array([signed(histories)], pa.list_(pa.int64())), "n": pa.array([different], pa.list_(pa.int64()))})
 
     pairs = texts.mapInArrow(lambda it: _combined(it, "text", pair_keys, slices), _BLOBS)
-    built, _ = write_table(pairs.groupBy("slice").applyInArrow(pair_slice, "slice int, bits binary, different array<long>"), "lm-pairs")
-    pair_filter = _collect_filter(built, slices, pair_bits)
-    shared.unpersist()
+    pair_filter, _ = write_table(pairs.groupBy("slice").applyInArrow(pair_slice, "slice int, bits binary, h array<long>, n array<long>"), "lm-pairs")
+    followed = pair_filter.select(F.explode(F.arrays_zip("h", "n")).alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
     different = np.zeros(LEVELS + 1)
-    for r in built.select(F.posexplode("different").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
+    by_hash = followed.join(marked, "h").select(level.alias("level"), "n")
+    by_number = followed.filter(F.col("h").between(1, LEVELS)).select(F.col("h").cast("int").alias("level"), "n")
+    for r in by_hash.union(by_number).groupBy("level").agg(F.sum("n").alias("n")).collect():
         different[r["level"]] = r["n"]
+    known.unpersist()
     histories = np.zeros(LEVELS + 1)
     for r in by_level:
         histories[r["level"]] += r["kinds"]
     pseudo = np.maximum(different / np.maximum(histories, 1), 0.5)
-    return Model(words, total, kinds, frequent, word_filter, pair_filter, pseudo)
+    filters = word_filter.select("slice", F.lit(0).alias("kind"), "bits").union(pair_filter.select("slice", F.lit(1).alias("kind"), "bits"))
+    return Model(words, total, kinds, frequent, slices, filters, pseudo)
+
+
+def _packed(values):
+    """Small numbers as compressed planes of their bytes."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(raw):
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _prints(keys):
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def _keys(prints):
+    """Keys of which the lower bits are zero."""
+    keys = np.zeros((len(prints) // 5, 8), np.uint8)
+    keys[:, 3:] = np.frombuffer(prints, np.uint8).reshape(-1, 5)
+    return keys.view("<u8").ravel()
+
+
+def _by_slice(keys, slices):
+    """Order of keys by their slices, and the place of each key in it."""
+    order = np.argsort(_slice_of(keys, slices), kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return order, place
+
+
+def _chunk(batch, row, slices):
+    """A staged chunk: its words, its different pairs as (key, history, word) and each token's pair, all by slices, and the texts' bounds."""
+    words = np.frombuffer(column_of(batch, "words")[row].as_py(), "<u8")
+    codes, sizes = (_unpacked(column_of(batch, c)[row].as_py()) for c in ("codes", "sizes"))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    of, pairs = pd.factorize(_histories(codes, bounds, column_of(batch, "mark")[row].as_py()) * len(words) + codes)
+    history, word = np.divmod(pairs, len(words))
+    keys = _pair(words[history], words[word])
+    order, place = _by_slice(keys, slices)
+    return words, keys[order], history[order], word[order], place[of], bounds
+
+
+def _edges(keys, slices):
+    """Where each slice's keys begin among keys ordered by slices."""
+    return np.searchsorted(_slice_of(keys, slices), np.arange(slices + 1))
+
+
+def _levels(chunked, model, parts):
+    """The levels of all chunks' words and pairs: rows (chunk, slice, words, pairs) of a byte per key, in the chunk's order.
+
+    A slice meets the keys of all chunks; `parts` shares these out where there is more to score than was learned.
+    """
+    slices = model.slices
+    columns = "slice int, part int, chunk long, words binary, pairs binary"
+    schema = arrow_schema(columns)
+
+    def deal(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words, keys, *_ = _chunk(batch, row, slices)
+                chunk = column_of(batch, "chunk")[row].as_py()
+                cuts = [_edges(words, slices), _edges(keys, slices)]
+                used = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+                own = [[_prints(values[cut[k] : cut[k + 1]]) for k in used] for values, cut in zip((words, keys), cuts)]
+                part = int(mix(np.array([chunk]).astype(np.uint64))[0] % np.uint64(parts))
+                yield record(schema, slice=used, part=np.full(len(used), part), chunk=np.full(len(used), chunk), words=own[0], pairs=own[1])
+
+    def probe(dealt, built):
+        out = {"chunk": dealt["chunk"], "slice": dealt["slice"]}
+        bits = dict(zip(built["kind"].to_pylist(), built["bits"].to_pylist()))
+        for kind, name in enumerate(("words", "pairs")):
+            keys = [_keys(x) for x in dealt[name].to_pylist()]
+            ends = np.cumsum([0, *map(len, keys)])
+            levels = np.zeros(ends[-1], np.uint8)
+            if kind in bits and len(levels):
+                levels = Filter(1, 8 * len(bits[kind]), np.frombuffer(bits[kind], np.uint8)).levels(np.concatenate(keys)).astype(np.uint8)
+            out[name] = pa.array([levels[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        return pa.table(out)
+
+    dealt = chunked.mapInArrow(deal, columns)
+    built = model.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.groupBy("slice", "part").cogroup(built.groupBy("slice", "part")).applyInArrow(probe, "chunk long, slice int, words binary, pairs binary")
 
 
 def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
@@ -269,15 +361,16 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
     spark = small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     carried = [id_col, *keep]
-    columns = "_row long, n_tokens long, known long, base double, score double, rare array<long>"
+    columns = "_row long, n_tokens long, known long, base double, rare array<long>, words binary, codes binary, mark long, sizes binary"
     schema = arrow_schema(columns)
-    shared = spark.sparkContext.broadcast((model.frequent, model.tokens, model.kinds, model.word_filter, model.pair_filter, model.pseudo))
-    whole = model.tokens + 0.5 * (model.kinds + 1)
+    shared = spark.sparkContext.broadcast(model.frequent)
+    whole, slices, pseudo = model.tokens + 0.5 * (model.kinds + 1), model.slices, model.pseudo
+    parts = _sizes_of(docs.select(F.col(text_col).alias("text")))[0] // (slices * TOKENS_PER_SLICE) + 1
 
     def run(batches):
-        (often, often_counts), _, _, word_filter, pair_filter, pseudo = shared.value
+        often, often_counts = shared.value
         place = task_rows()
-        for batch in chunks(batches, text_col, TEXT_BYTES):
+        for batch in chunks(batches, text_col, SCORED_BYTES):
             hashes, bounds = tokens(*text_bytes(column_of(batch, text_col)))
             codes, kinds = pd.factorize(hashes.view(np.int64))
             kinds = kinds.view(np.uint64)
@@ -286,31 +379,42 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
             base = np.zeros(len(kinds))
             if len(often):
                 base[exact] = np.log10((often_counts[at[exact]] + 0.5) / whole)
-            levels = word_filter.levels(kinds)
-            own = (count_of(levels) + 0.5) / whole
-            before = _histories(hashes, bounds)
-            pair_codes, first = np.unique(_pair(before, hashes), return_index=True)
-            pair_of = np.searchsorted(pair_codes, _pair(before, hashes))
-            word, history = own[codes[first]], before[first]
-            history_codes, history_kinds = pd.factorize(history.view(np.int64))
-            history_level = word_filter.levels(history_kinds.view(np.uint64))[history_codes]
-            weight = count_of(history_level)
-            seen = np.minimum(count_of(pair_filter.levels(pair_codes)), weight)
-            extra = pseudo[history_level]
-            chance = np.where(weight > 0, (seen + extra * word) / (weight + extra), word)
+            words = np.append(kinds, START)
+            order, number = _by_slice(words, slices)
+            sizes = np.diff(bounds)
+            # The first row of a chunk carries its words.
+            rest = [None] * (batch.num_rows - 1)
             out = record(
-                schema, _row=place(batch.num_rows), n_tokens=np.diff(bounds), known=sums(exact[codes].astype(np.int64), bounds),
-                base=sums(base[codes], bounds), score=sums(np.log10(np.minimum(chance, 1.0))[pair_of], bounds),
-                rare=_lists(signed(hashes), ~exact[codes], bounds))
+                schema, _row=place(batch.num_rows), n_tokens=sizes, known=sums(exact[codes].astype(np.int64), bounds),
+                base=sums(base[codes], bounds), rare=_lists(signed(hashes), ~exact[codes], bounds), words=[words[order].tobytes(), *rest],
+                codes=[_packed(number[codes]), *rest], mark=[int(number[-1]), *rest], sizes=[_packed(sizes), *rest])
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in carried), *out.columns], names=[*carried, *schema.names])
 
+    def finish(staged, answers):
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        if staged.num_rows:
+            _, _, history, word, of, bounds = _chunk(staged.combine_chunks().to_batches()[0], 0, slices)
+            answers = answers.sort_by("slice")
+            levels, pair_levels = (np.frombuffer(b"".join(answers[c].to_pylist()), np.uint8).astype(np.int64) for c in ("words", "pairs"))
+            counts = count_of(levels)
+            own = ((counts + 0.5) / whole)[word]
+            weight, extra = counts[history], pseudo[levels[history]]
+            seen = np.minimum(count_of(pair_levels), weight)
+            chance = np.where(weight > 0, (seen + extra * own) / (weight + extra), own)
+            scores = sums(np.log10(np.minimum(chance, 1.0))[of], bounds)
+            rows = staged["chunk"][0].as_py() + np.arange(len(scores))
+        return pa.table({"_row": pa.array(rows, pa.int64()), "score": pa.array(scores, pa.float64())})
+
     head = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
     scored, _ = write_table(docs.select(*carried, text_col).mapInArrow(run, f"{head}, {columns}"), "lm-scored")
+    chunked = scored.filter(F.col("words").isNotNull()).select(F.col("_row").alias("chunk"), "words", "codes", "mark", "sizes")
+    answers = _levels(chunked, model, parts)
+    paired = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "_row long, score double")
     rare = scored.select("_row", F.explode("rare").alias("h")).join(model.words, "h", "left")
     rare = rare.groupBy("_row").agg(
         F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / whole)).alias("_rare_base"), F.count("c").alias("_rare_known"))
     none = F.lit(0)
-    return scored.drop("rare").join(rare, "_row", "left").select(
+    return scored.select(*carried, "_row", "n_tokens", "known", "base").join(paired, "_row").join(rare, "_row", "left").select(
         *carried, "n_tokens", (F.col("known") + F.coalesce("_rare_known", none)).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("_rare_base", F.lit(0.0))).alias("base_score"), "score")
 

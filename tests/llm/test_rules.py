@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from chatterlake.llm import language_id, licenses, lm, quality, queries, repetition
 
@@ -237,6 +238,58 @@ def test_filter_never_counts_too_few():
     assert lm.count_of(np.array([0, 1]))[:2].tolist() == [0.0, 1.0]
 
 
+def test_filter_is_as_exact_for_many_blocks_as_for_few():
+    """Bits follow the entries: absent keys are taken for present ones as often at every size."""
+    rng = np.random.default_rng(6)
+    rates = []
+    for slices in (2, 64):
+        keys = rng.integers(0, 2**63, 4000 * slices).astype(np.uint64)
+        levels, where = lm.level_of(rng.zipf(1.8, len(keys)).clip(1, 10**6)), lm._slice_of(keys, slices)
+        absent = rng.integers(0, 2**63, 20_000).astype(np.uint64)
+        hits, absent_where = 0, lm._slice_of(absent, slices)
+        for k in range(slices):
+            own = levels[where == k]
+            bits = lm.slice_bits(own)
+            hits += (lm.Filter(1, bits, lm.build_slice(keys[where == k], own, bits)).levels(absent[absent_where == k]) > 0).sum()
+        rates.append(hits / len(absent))
+    assert max(rates) < 0.01 and abs(rates[0] - rates[1]) < 0.003
+
+
+def plain_scores(texts):
+    """Scores of the training texts themselves from exact levels, by one dictionary."""
+    rows = [[w for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())] + [None] for t in texts]
+    words = Counter(w for r in rows for w in r)
+    pairs = Counter(p for r in rows for p in zip([b" ", *r], r))
+    whole = sum(words.values()) + 0.5 * (len(words) + 1)
+    levels = {w: int(lm.level_of(np.array([c]))[0]) for w, c in [*words.items(), (b" ", len(rows))]}
+    middle = lambda c: float(lm.count_of(lm.level_of(np.array([c])))[0])
+    different, kinds = Counter(levels[v] for v, _ in pairs), Counter(levels[w] for w in words)
+    out = []
+    for r in rows:
+        score = 0.0
+        for v, w in zip([b" ", *r], r):
+            weight, extra = middle(words[v] if v != b" " else len(rows)), max(different[levels[v]] / max(kinds[levels[v]], 1), 0.5)
+            score += math.log10(min(1.0, (min(middle(pairs[v, w]), weight) + extra * (middle(words[w]) + 0.5) / whole) / (weight + extra)))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("tokens", [1 << 20, 1 << 13])
+def test_lm_scores_like_exact_counts(spark, monkeypatch, tokens):
+    """Few and many slices, chunks and parts give the scores of exact levels, up to rare false hits."""
+    monkeypatch.setattr(lm, "TOKENS_PER_SLICE", tokens)
+    docs = documents(spark).select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = lm.fit(docs)
+    assert (model.slices > 8) == (tokens < 1 << 20)
+    want = dict(zip(texts, plain_scores(texts.values())))
+    found = {r.doc_id: r.score for r in lm.score_texts(docs.union(docs.withColumn("doc_id", -F.col("doc_id") - 1)), model).collect()}
+    assert len(found) == 2 * len(texts)
+    assert all(found[-i - 1] == pytest.approx(found[i]) for i in want)
+    off = np.abs([found[i] / want[i] - 1 for i in want])
+    assert np.median(off) < 0.002 and np.quantile(off, 0.9) < 0.01 and off.max() < 0.15
+
+
 @pytest.mark.parametrize("run", [licenses.license_scan, repetition.repetition_rules])
 def test_empty_table(spark, run):
     assert run(frame(spark).limit(0)).count() == 0
