@@ -8,8 +8,8 @@ from ..operators.stats import union_parts
 
 def _files_by_kind(spark, path):
     """Paths of files whose document is an object, and of all others, by the first visible character."""
-    first = F.left(F.ltrim(F.regexp_replace(F.left("value", F.lit(4096)), r"^[\s\x{feff}]+", "")), F.lit(1))
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), (first == "{").alias("object"))
+    is_object = F.col("value").rlike(r"^[\s\x{feff}]*+\{")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), is_object.alias("object"))
     rows = files.collect()
     return [r["path"] for r in rows if r["object"]], [r["path"] for r in rows if not r["object"]]
 

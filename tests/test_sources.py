@@ -193,3 +193,10 @@ def test_empty_files_are_listed(spark, tmp_path):
 def test_missing_keyword_file_warns(spark, tmp_path):
     with pytest.warns(UserWarning, match="No keyword file"):
         assert keywords.read_keywords(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_json_object_after_many_blanks(spark, tmp_path):
+    from chatterlake.sources.json import read_json_comments
+
+    (tmp_path / "blanks.json").write_text(" \n" * 5000 + '{"comments": [{"a": 1}, {"a": 2}]}')
+    assert sorted(r.a for r in read_json_comments(spark, str(tmp_path)).collect()) == [1, 2]
