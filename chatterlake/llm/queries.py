@@ -1,8 +1,8 @@
-"""Registered queries of the ten operators, each over its whole table, and their SQL."""
+"""Registered queries of the operators, each over its whole table, and their SQL."""
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, lm, ngram_join, packing, quality, repetition, suffix_dedup, token_output
+from . import collocations, decontaminate, language_id, licenses, lm, matched_packing, ngram_join, packing, quality, repetition, suffix_dedup, token_output, vector_codes
 from .common import bucket_of
 
 
@@ -61,7 +61,21 @@ def op10_suffix_dedup(spark, folder):
     return suffix_dedup.remove_repeats(_documents(spark, folder)).drop("kept")
 
 
-QUERIES = [op1_license_scan, op2_ngram_join, op3_token_matrices, op4_language_id, op5_decontamination, op6_packing, op7_lm_scoring, op8_quality, op9_repetition_rules, op10_suffix_dedup]
+def op11_vector_codes(spark, folder):
+    coded, books = vector_codes.compress_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_matched_packing(spark, folder):
+    return matched_packing.pack_matched(_documents(spark, folder))
+
+
+def op13_collocations(spark, folder):
+    return collocations.collocations(_documents(spark, folder))
+
+
+QUERIES = [op1_license_scan, op2_ngram_join, op3_token_matrices, op4_language_id, op5_decontamination, op6_packing, op7_lm_scoring, op8_quality, op9_repetition_rules, op10_suffix_dedup,
+           op11_vector_codes, op12_matched_packing, op13_collocations]
 
 
 def registered():
@@ -144,5 +158,53 @@ def _repetition_sql():
         SELECT *, NOT base_failed AND dup_line_chars <= {repetition.LINE_CHARS_SHARE} AND {good} AS kept FROM f"""
 
 
+def _codes_sql():
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+
+    def nearest(k):
+        return f"""SELECT vec_id, rid, label, part, v, z.d AS d, z.entry AS entry FROM (
+                 SELECT vec_id, rid, label, part, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, entry := entry)) AS z
+                 FROM p JOIN b{k} USING (part) GROUP BY vec_id, rid, label, part, v)"""
+
+    steps = []
+    for k in range(vector_codes.ROUNDS):
+        steps.append(f"""a{k} AS MATERIALIZED ({nearest(k)}),
+            m{k} AS MATERIALIZED (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM
+                 (SELECT part, entry, i, count(*) AS n, sum(v[i])::BIGINT AS s FROM a{k}, unnest(range(1, len(v) + 1)) AS r(i) GROUP BY part, entry, i) GROUP BY part, entry),
+            b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.e, b{k}.e) AS e FROM b{k} LEFT JOIN m{k} USING (part, entry))""")
+    last = vector_codes.ROUNDS
+    return f"""
+        WITH k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS w FROM embeddings
+                 WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS MATERIALIZED (SELECT vec_id, rid, label, part, w[part * len(w) // {parts} + 1:(part + 1) * len(w) // {parts}] AS v FROM k, unnest(range({parts})) AS r(part)),
+             b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v AS e FROM p WHERE rid <= {entries}),
+             {", ".join(steps)},
+             z AS ({nearest(last)}),
+             c AS (SELECT vec_id, rid, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM z GROUP BY vec_id, rid),
+             h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{last})
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
+
+
+def _collocation_sql():
+    c = collocations
+    score = "{scale} * a::HUGEINT * a // (l::HUGEINT * r)".format(scale=c.SCALE)
+    return f"""
+        WITH s AS MATERIALIZED (SELECT row_number() OVER () AS i, lang, words FROM (
+                 SELECT coalesce(lang, '{c.NO_LANGUAGE}') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM documents)),
+             w AS MATERIALIZED (SELECT lang, words, k, words[k] AS w1, words[k + 1] AS w2, words[k + 2] AS w3 FROM s, unnest(range(1, len(words) + 1)) AS r(k)),
+             f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS f FROM w GROUP BY lang, w1),
+             f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS f FROM w WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= {c.LEAST}),
+             f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS f FROM w WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= {c.LEAST}),
+             n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+             inside AS (SELECT lang, w1, w2, max(f) AS longer FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY lang, w1, w2),
+             cuts AS (SELECT lang, concat_ws(' ', w1, w2) AS phrase, 1 AS k, f2.f AS a, x.f AS l, y.f AS r FROM f2 JOIN f1 x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, f FROM f1) y USING (lang, w2) LEFT JOIN inside USING (lang, w1, w2)
+                      WHERE longer IS NULL OR 100 * longer < {c.INSIDE_PERCENT} * f2.f
+                      UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3), 1, f3.f, x.f, y.f FROM f3 JOIN f1 x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, w2 AS w3, f FROM f2) y USING (lang, w2, w3)
+                      UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3), 2, f3.f, x.f, y.f FROM f3 JOIN f2 x USING (lang, w1, w2) JOIN (SELECT lang, w1 AS w3, f FROM f1) y USING (lang, w3)),
+             scored AS (SELECT lang, phrase, unnest(min(struct_pack(score := ({score})::BIGINT, k := k, a := a, l := l, r := r))) FROM cuts GROUP BY lang, phrase)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM scored JOIN n USING (lang)
+        QUALIFY rank <= {c.TOP}"""
+
+
 def statements():
-    return {"op1_license_scan": _license_sql(), "op5_decontamination": _contained_sql(), "op9_repetition_rules": _repetition_sql()}
+    return {"op11_vector_codes": _codes_sql(), "op13_collocations": _collocation_sql(), "op1_license_scan": _license_sql(), "op5_decontamination": _contained_sql(), "op9_repetition_rules": _repetition_sql()}

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, a word at a time.
 
 For tokenizers that drop white space and never join characters across it, the ids of a
-text are those of its words in order. Words also part where an ASCII letter meets an ASCII
-mark (but `'`, which opens contractions, and `<|>`, which stand in special tokens), since such
+text are those of its words in order, and white space before a word changes nothing. Words
+also part where an ASCII letter meets an ASCII mark (but `'`, which opens contractions, and `<|>`, which stand in special tokens), since such
 tokenizers split there as well. Every different word is encoded once per worker, many words in
 one call with a mark between them, and its ids are looked up after that.
 """
@@ -12,19 +12,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 
-from .common import SPACED, Hasher, row_bounds, word_spans
+from .common import SPACED, Hasher, row_bounds, signed
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 2_000_000
 # Bytes of text tokenised at a time.
 TOKEN_BYTES = 1 << 20
 # Words encoded in one call, and the mark between them, which is one id by itself.
 CALL_WORDS = 4096
 BETWEEN = "\x01"
 
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_MARK = np.zeros(256, bool)
-_MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+MARK = np.zeros(256, bool)
+MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
 
 
 def default_path():
@@ -33,6 +33,36 @@ def default_path():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class UnitSlots:
+    """Numbers of units by their hashes, in the order they were added.
+
+    Hashes lie in a few indexes of falling size; a new one is joined with those before it that
+    are not much larger, so that adding costs little however many there are.
+    """
+
+    def __init__(self):
+        self._indexes = []
+
+    def __len__(self):
+        return sum(map(len, self._indexes))
+
+    def add(self, hashes):
+        self._indexes.append(pd.Index(hashes))
+        while len(self._indexes) > 1 and len(self._indexes[-2]) < 2 * len(self._indexes[-1]):
+            last = self._indexes.pop()
+            self._indexes[-1] = self._indexes[-1].append(last)
+
+    def slots(self, hashes):
+        """The number of each hash, or -1."""
+        out, base = np.full(len(hashes), -1, np.int64), 0
+        for index in self._indexes:
+            open_ = np.flatnonzero(out < 0)
+            found = index.get_indexer(hashes[open_])
+            out[open_[found >= 0]] = found[found >= 0] + base
+            base += len(index)
+        return out
+
+
 class WordTokens:
     """Ids of texts by `path`'s tokenizer; `end_id` is put after each text."""
 
@@ -49,13 +79,11 @@ class WordTokens:
         self._clear()
 
     def _clear(self):
-        self._slots, self._ids = {}, np.zeros(1 << 16, np.uint32)
+        self._known, self._ids = UnitSlots(), np.zeros(1 << 16, np.uint32)
         self._from, self._many, self._used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _add(self, words):
-        if len(self._slots) + len(words) > CACHED_WORDS:
-            self._clear()
-        n = len(self._slots)
+    def _add(self, hashes, words):
+        n = len(self._known)
         if n + len(words) > len(self._from):
             size = max(2 * len(self._from), n + len(words))
             self._from, self._many = (np.resize(x, size) for x in (self._from, self._many))
@@ -67,7 +95,7 @@ class WordTokens:
         self._ids[self._used : self._used + total] = ids
         self._from[n : n + len(words)] = self._used + np.cumsum(many) - many
         self._many[n : n + len(words)] = many
-        self._slots.update(zip(words, range(n, n + len(words))))
+        self._known.add(hashes)
         self._used += total
 
     def _encode(self, words):
@@ -80,24 +108,29 @@ class WordTokens:
         marks = np.flatnonzero(ids == self._between)
         return np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
 
+    def _cuts(self, data):
+        """Marks the first byte of every unit: white space with the word after it, or a part of a word."""
+        space, letter, mark = ~SPACED[data], LETTER[data], MARK[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (space[1:] & ~space[:-1]) | (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+        return cut
+
     def __call__(self, data, offsets):
         """Ids of all texts after each other, and the offsets of the texts in them."""
-        split = np.zeros(len(data), bool)
-        letter, mark = _LETTER[data], _MARK[data]
-        split[1:] = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
-        starts, ends = word_spans(data, offsets, SPACED, split)
-        codes, _ = pd.factorize(Hasher(data)(starts, ends).view(np.int64))
-        # Codes are numbered as they come, so a word stands first where the largest one grows.
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else codes
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        new = list(dict.fromkeys(w for w in words if w not in self._slots))
-        if new:
-            self._add(new)
-            new = [w for w in dict.fromkeys(words) if w not in self._slots]  # after a full cache was emptied
-            if new:
-                self._add(new)
-        slots = np.fromiter(map(self._slots.__getitem__, words), np.int64, len(words))[codes]
+        cut = self._cuts(data)
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        codes, different = pd.factorize(signed(Hasher(data)(starts, ends)))
+        if len(self._known) + len(different) > CACHED_WORDS:
+            self._clear()
+        new = np.flatnonzero(self._known.slots(different) < 0)
+        if len(new):
+            # Codes are numbered as they come, so a unit stands first where the largest one grows.
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))[new]
+            raw = data.tobytes()
+            self._add(different[new], [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        slots = self._known.slots(different)[codes]
         # The end id of every text is one more word after its last one.
         bounds = row_bounds(starts, offsets)
         many, begin = self._many[slots], self._from[slots]
