@@ -58,7 +58,7 @@ def op9_repetition_rules(spark, folder):
 
 
 def op10_suffix_dedup(spark, folder):
-    return suffix_dedup.remove_repeats(_documents(spark, folder)).drop("kept")
+    return suffix_dedup.remove_repeats(_documents(spark, folder))
 
 
 def op11_vector_codes(spark, folder):

@@ -1,7 +1,7 @@
 """Token matrices: best-fit decreasing packing, written with segment ends and position resets.
 
 Documents are tokenised where they are read; overlong ones are split without loss. Pieces
-are dealt at random into groups of bounded size with their ids (two bytes each where the
+are dealt at random into groups of about a million tokens with their ids (two bytes each where the
 vocabulary allows), so that every group is packed and written out by one task with no
 further exchange. Best fit takes the open sequence with the least room that is enough,
 found in a segment tree over room sizes.
@@ -15,7 +15,9 @@ from .common import arrow_schema, chunks, column_of, record, small_batches, task
 from .packing import SEQUENCE, SEQUENCES_PER_GROUP
 from .tokens import TOKEN_BYTES, default_path, pieces, word_tokens
 
-GROUP_DOCUMENTS = 1000
+# Tokens of a group, as estimated from its bytes.
+GROUP_TOKENS = 1 << 20
+BYTES_PER_TOKEN = 4
 
 
 class RoomTree:
@@ -75,7 +77,7 @@ def best_fit_decreasing(sizes, capacity):
 
 
 def packed_matrices(docs, id_col="doc_id", text_col="text", path=None, end_id=1, pad_id=0, capacity=SEQUENCE,
-                    group_documents=GROUP_DOCUMENTS, seed=0):
+                    group_tokens=GROUP_TOKENS, seed=0):
     """One row per packed sequence.
 
     `ids` holds `capacity` little-endian 32-bit ids, padded with `pad_id`; `cu_seqlens` the
@@ -96,12 +98,15 @@ def packed_matrices(docs, id_col="doc_id", text_col="text", path=None, end_id=1,
             ids, offsets = encode(*text_bytes(column_of(batch, text_col)))
             rows, start, length = pieces(offsets, capacity)
             narrow = not len(ids) or int(ids.max()) < 1 << 16
-            raw, width = ids.astype("<u2" if narrow else "<u4").tobytes(), 2 if narrow else 4
-            first = (offsets[rows] + start) * width
-            out = record(schema, start=start, length=length, ids=[raw[a : a + width * n] for a, n in zip(first.tolist(), length.tolist())], _place=place(len(rows)))
+            # Pieces follow each other as their ids do, so one buffer holds the whole column.
+            edges = np.append(offsets[rows] + start, len(ids)) * (2 if narrow else 4)
+            raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids.astype("<u2" if narrow else "<u4"))])
+            out = record(schema, start=start, length=length, ids=raw, _place=place(len(rows)))
             yield pa.RecordBatch.from_arrays([column_of(batch, id_col).take(pa.array(rows)), *out.columns], names=[id_col, *schema.names])
 
-    groups = max(1, -(-docs.count() // group_documents))
+    # Groups are sized by tokens, of which no text has more than bytes and its end.
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    groups = 1 + int((size["n"] // BYTES_PER_TOKEN + size["rows"]) // group_tokens)
     found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {piece_columns}")
     dealt = found.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "_place"), F.lit(groups)))
     columns = f"sequence_id long, n_tokens long, n_segments int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<{kind}>, starts array<long>"
@@ -110,24 +115,36 @@ def packed_matrices(docs, id_col="doc_id", text_col="text", path=None, end_id=1,
         table = table.combine_chunks().sort_by([("length", "descending"), (id_col, "ascending"), ("start", "ascending")])
         sizes = table["length"].to_numpy()
         where, _ = best_fit_decreasing(sizes, capacity)
-        group, doc_ids, starts = table["_group"][0].as_py(), table[id_col].to_pylist(), table["start"].to_pylist()
-        ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4") for x, n in zip(table["ids"].to_pylist(), sizes.tolist())]
-        members = [[] for _ in range(int(where.max()) + 1)]
-        for i, k in enumerate(where.tolist()):
-            members[k].append(i)
-        out = {name: [] for name in ("sequence_id", "n_tokens", "n_segments", "ids", "cu_seqlens", "positions", "doc_ids", "starts")}
-        for k, own in enumerate(members):
-            ends = np.concatenate([[0], np.cumsum(sizes[own])])
-            row, at = np.full(capacity, pad_id, "<u4"), np.zeros(capacity, "<u4")
-            row[: ends[-1]] = np.concatenate([ids[i] for i in own])
-            at[: ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
-            at[ends[-1] :] = np.arange(capacity - ends[-1])
-            for name, value in zip(out, (group * SEQUENCES_PER_GROUP + k, int(ends[-1]), len(own), row.tobytes(), ends.tolist(), at.tobytes(), [doc_ids[i] for i in own], [starts[i] for i in own])):
-                out[name].append(value)
-        own = arrow_schema("sequence_id long, n_tokens long, n_segments int, ids binary, cu_seqlens array<int>, positions binary")
-        fields = [pa.array(out[f.name], f.type) for f in own]
-        return pa.table([*fields, pa.array(out["doc_ids"], pa.list_(table.schema.field(id_col).type)), pa.array(out["starts"], pa.list_(pa.int64()))],
-                        names=list(out))
+        group = table["_group"][0].as_py()
+        # Members of a sequence side by side, in the order they were placed.
+        order = np.argsort(where, kind="stable")
+        own = sizes[order]
+        sequence = where[order]
+        edges = np.searchsorted(sequence, np.arange(int(where.max()) + 2))
+        filled = np.bincount(where, weights=sizes).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(own)])
+        offset = total[:-1] - total[edges[:-1]][sequence]
+        # One scatter puts the ids of all pieces into the rows of all sequences.
+        place = np.repeat(sequence * capacity + offset - total[:-1], own) + np.arange(total[-1])
+        raw = table["ids"].to_pylist()
+        ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4") for x, n in zip((raw[k] for k in order.tolist()), own.tolist())]
+        matrix, positions = np.full(len(filled) * capacity, pad_id, "<u4"), np.zeros(len(filled) * capacity, "<u4")
+        matrix[place] = np.concatenate(ids)
+        positions[place] = np.arange(total[-1]) - np.repeat(total[:-1], own)
+        # Padding counts from 0 as well.
+        spare = capacity - filled
+        begin = np.cumsum(spare) - spare
+        padding = np.arange(int(spare.sum())) - np.repeat(begin, spare)
+        positions[np.repeat(np.arange(len(filled)) * capacity + filled, spare) + padding] = padding
+        # A sequence's segment ends: 0 and the running sums of its pieces.
+        ends = np.insert(offset + own, edges[:-1], 0)
+        lists = pa.array(edges.astype(np.int32))
+        members = table.take(pa.array(order)).combine_chunks()
+        rows = [pa.Array.from_buffers(pa.binary(), len(filled), [None, pa.py_buffer((np.arange(len(filled) + 1) * 4 * capacity).astype(np.int32)), pa.py_buffer(x)]) for x in (matrix, positions)]
+        return pa.table({
+            "sequence_id": pa.array(group * SEQUENCES_PER_GROUP + np.arange(len(filled))), "n_tokens": pa.array(filled), "n_segments": pa.array(np.diff(edges).astype(np.int32)), "ids": rows[0],
+            "cu_seqlens": pa.ListArray.from_arrays(pa.array((edges + np.arange(len(edges))).astype(np.int32)), pa.array(ends.astype(np.int32))), "positions": rows[1],
+            "doc_ids": pa.ListArray.from_arrays(lists, members[id_col].combine_chunks()), "starts": pa.ListArray.from_arrays(lists, members["start"].combine_chunks())})
 
     return dealt.groupBy("_group").applyInArrow(pack, columns)
 

@@ -292,7 +292,7 @@ def test_packing(spark):
 
 def test_matrices_round_trip(spark, tmp_path):
     docs = frame(spark, TEXTS + STRANGE + [prose(900)])
-    path = token_output.write_matrices(token_output.packed_matrices(docs, capacity=128, pad_id=9, group_documents=5), str(tmp_path / "packed"))
+    path = token_output.write_matrices(token_output.packed_matrices(docs, capacity=128, pad_id=9, group_tokens=400), str(tmp_path / "packed"))
     rows = spark.read.parquet(path).collect()
     found = defaultdict(dict)
     for r in rows:
@@ -328,7 +328,7 @@ def test_pipeline_stages(spark, tmp_path):
             want = plain_components([(i, r.text) for i, r in sorted(before.items())], 5, 80)
             assert set(rows) == {c for _, _, c in want}
         if k == 2:
-            removed = {i: x[1] for i, x in zip(before, plain_removal([r.text.encode() for r in before.values()], 400))}
+            removed = {i: x[1] for i, x in zip(before, plain_removal([r.text.encode() for r in before.values()], corpus_pipeline.PASSAGE_BYTES))}
             assert all(rows[i].text == before[i].text for i in rows if not removed[i])
             assert all(rows[i].n_chars == len(rows[i].text) for i in rows if removed[i])
         if k == 3:
