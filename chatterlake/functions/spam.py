@@ -3,11 +3,11 @@
 import os
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from .fixed_values import SPACE, SPACE_CHARS, WORD
+from .tandem import repeated_passage
 from .text import as_column, is_valid_text
 
 REASONS = ("too_short", "keyword", "repeated_letters", "repeated_words", "repeated_sentences")
@@ -73,36 +73,11 @@ def repeated_words(text):
 
 
 def _repeated_passages():
-    """An Arrow function: does a text hold a passage with an inner dot twice in a row?
-
-    With the text cut at dots, a passage of k segments that is followed by itself makes its
-    second to last segments equal to those k further on. Runs of such segments are looked for
-    lag by lag on numbers that stand for segments, so a text with n dots costs n² / 4
-    comparisons of integers, whatever its length.
-    """
-
-    def search(text):
-        segments = text.split(".")
-        n = len(segments) - 1
-        numbers = pd.factorize(np.array(segments[:n], object))[0]
-        broken = np.flatnonzero(["\n" in s for s in segments[:n]])
-        numbers[broken] = -1 - broken      # a passage stands in one line
-        for k in range(2, n // 2 + 1):
-            same = numbers[k:] == numbers[:-k]
-            if np.count_nonzero(same) < k - 1:
-                continue
-            run = np.concatenate([[0], np.cumsum(same)])
-            for j in np.flatnonzero(run[k - 1 :] - run[: 1 - k] == k - 1).tolist():
-                # The first segment may come after other text, its copy comes after white space.
-                first, copy = segments[j - 1], segments[j + k - 1]
-                rest = copy.lstrip()
-                if j and len(rest) < len(copy) and "\n" not in rest and first.endswith(rest):
-                    return True
-        return False
+    """An Arrow function: does a text hold a passage with an inner dot twice in a row?"""
 
     @F.pandas_udf("boolean")
     def passages(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else search(t)).astype("boolean")
+        return texts.map(lambda t: None if t is None else repeated_passage(t)).astype("boolean")
 
     return passages
 
@@ -126,12 +101,20 @@ def repeated_sentences(text):
     return one_sentence | F.coalesce(_repeated_passages()(F.when(may_hold, text)), F.lit(False))
 
 
-def spam_reason(text, lowered, keywords=()):
-    """Name of the first rule that rejects the text, NULL for a clean text."""
+def native_reason(text, lowered, keywords=()):
+    """Name of the first rule before that of repeated sentences that rejects the text, else NULL."""
     return (
         F.when(~is_valid_text(text), REASONS[0])
         .when(contains_any(lowered, keywords), REASONS[1])
         .when(repeated_letters(lowered), REASONS[2])
         .when(repeated_words(lowered), REASONS[3])
-        .when(repeated_sentences(lowered), REASONS[4])
     )
+
+
+def spam_reason(lowered, native):
+    """Name of the first rule that rejects the text, NULL for a clean one, given the `native_reason`.
+
+    Texts rejected before are NULL to the sentence rule, so they do not reach its Arrow function.
+    """
+    left = F.when(native.isNull(), lowered)
+    return F.coalesce(native, F.when(repeated_sentences(left), REASONS[4]))

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.spam import contains_any, prefix_pattern, repeated_letters, repeated_sentences, repeated_words, spam_reason
+from ..functions.spam import contains_any, native_reason, prefix_pattern, repeated_letters, repeated_sentences, repeated_words, spam_reason
 from ..functions.text import is_valid_text, percent
 
-_LOWERED = "_lowered_text"
+_LOWERED, _NATIVE, _REASON = "_lowered_text", "_native_reason", "_any_reason"
 # Keyword starts up to this number are looked for while cutting windows; beyond it,
 # windows open everywhere and the join with the starts sorts them out.
 MAX_STARTS = 20_000
@@ -22,17 +22,22 @@ def _with_lowered(df, text_col):
     return df.select("*", F.explode(F.array(F.lower(F.col(text_col)))).alias(_LOWERED))
 
 
+def _with_reason(df, text_col, keywords):
+    """Add the lower-cased text, the first native rule that rejects it, and the first of all rules."""
+    native = native_reason(F.col(text_col), F.col(_LOWERED), keywords)
+    checked = _with_lowered(df, text_col).select("*", F.explode(F.array(native)).alias(_NATIVE))
+    return checked.withColumn(_REASON, spam_reason(F.col(_LOWERED), F.col(_NATIVE)))
+
+
 def with_spam_reason(df, text_col="comment", keywords=(), reason_col="spam_reason"):
     """Add the first rule that rejects each text, NULL where none does."""
-    lowered = _with_lowered(df, text_col)
-    return lowered.withColumn(reason_col, spam_reason(F.col(text_col), F.col(_LOWERED), keywords)).drop(_LOWERED)
+    return _with_reason(df, text_col, keywords).withColumn(reason_col, F.col(_REASON)).drop(_LOWERED, _NATIVE, _REASON)
 
 
 def with_cleaned_text(df, text_col="comment", keywords=(), cleaned_col="cleaned_text"):
     """Add the lower-cased text of clean rows and NULL for spam; keeps all rows."""
-    lowered = _with_lowered(df, text_col)
-    reason = spam_reason(F.col(text_col), F.col(_LOWERED), keywords)
-    return lowered.withColumn(cleaned_col, F.when(reason.isNull(), F.col(_LOWERED))).drop(_LOWERED)
+    clean = F.when(F.col(_REASON).isNull(), F.col(_LOWERED))
+    return _with_reason(df, text_col, keywords).withColumn(cleaned_col, clean).drop(_LOWERED, _NATIVE, _REASON)
 
 
 def keep_clean(df, text_col="comment", keywords=(), cleaned_col="cleaned_text"):

@@ -37,7 +37,7 @@ RULES = (
 def require_column(df, column):
     """Fail when planning, naming the columns there are."""
     if column not in df.columns:
-        raise ValueError(f"The input has no column {column!r}, only {', '.join(df.columns)}")
+        raise ValueError(f"The input has no column {column!r}. Available columns: {', '.join(df.columns)}")
     return df
 
 
