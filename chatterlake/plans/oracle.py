@@ -261,6 +261,7 @@ ORDER BY md5('42:' || l_returnflag), md5('42:{"l_orderkey":' || l_orderkey || ',
   CASE WHEN event_type = 'error' THEN '2024-01-01' ELSE floor(epoch(ts))::BIGINT::VARCHAR END AS timestamp,
   event_type AS country FROM dirty"""
     sql["csv_roundtrip"] = "SELECT doc_id, text, lang FROM documents"
+    sql["csv_edges"] = """SELECT event_id, concat(event_type, chr(13), chr(10), '"', user_id, '"') AS note, user_id, true AS empty FROM events"""
     sql["csv_bad_lines"] = """SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN user_id::VARCHAR END AS user_id,
   NULL::VARCHAR AS note FROM events WHERE event_type <> 'error'"""
     sql["csv_quotes"] = """SELECT event_id, CASE WHEN event_type = 'view' THEN 'first "line"' || chr(10) || 'second, line' ELSE '6" wide' END AS size,

@@ -387,6 +387,19 @@ def csv_quotes(spark, folder):
     return csv.read_csv(spark, path, extension=".txt").select(F.col("event_id").cast("bigint").alias("event_id"), "size", "user_id")
 
 
+def csv_edges(spark, folder):
+    """Lines that end in CR LF with such breaks inside quotes too, a repeated and an empty column name, a file without records."""
+    events = _table(spark, folder, "events").select("event_id", F.concat(
+        F.col("event_id"), F.lit(',"'), "event_type", F.lit('\r\n""'), "user_id", F.lit('"""'), F.lit(","), "user_id", F.lit(",\r")).alias("value"))
+    parts = max(2, spark.sparkContext.defaultParallelism)
+    lines = events.select(F.pmod(F.xxhash64("event_id"), F.lit(parts)).alias("part"), F.lit(1).alias("place"), "value")
+    heads = spark.range(parts + 1).select(F.col("id").alias("part"), F.lit(0).alias("place"), F.lit("event_id,note,note,\r").alias("value"))
+    path = storage.new_path(spark, "edges")
+    heads.union(lines).repartition("part").sortWithinPartitions("part", "place").drop("place").write.partitionBy("part").text(path)
+    found = csv.read_csv(spark, path, extension=".txt")
+    return found.select(F.col("event_id").cast("bigint").alias("event_id"), "note", F.col("`note.1`").cast("bigint").alias("user_id"), F.col("`Unnamed: 3`").isNull().alias("empty"))
+
+
 def json_list(spark, folder):
     """Top-level lists of records that have a field `comments` of their own, next to an object in another file."""
     turns = _conversations(spark, folder)
@@ -752,7 +765,7 @@ NAMES = [
     "language_distribution", "top_groups", "distinct_languages", "union_parts", "row_count", "sample_exact", "sample_ranges", "sample_ties",
     "daily_counts", "daily_epoch", "daily_events", "parse_timestamps",
     "coerce_boolean", "coerce_epoch", "coerce_count", "coerce_fractional", "coerce_safe",
-    "csv_roundtrip", "csv_bad_lines", "csv_quotes", "json_comments", "json_list", "json_to_csv", "parquet_verify", "find_csv_files",
+    "csv_roundtrip", "csv_bad_lines", "csv_quotes", "csv_edges", "json_comments", "json_list", "json_to_csv", "parquet_verify", "find_csv_files",
     "split_by_year", "yearly_trends", "label_results",
     "compare_tables", "table_differences", "sample_differences", "profile_table", "profile_distinct", "examine_parquet", "table_schema",
     "language_model", "language_scores", "language_scores_shuffled", "sentiment_scores", "sentiment_distribution",

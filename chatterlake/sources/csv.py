@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed_values import MISSING_WORDS
+from .records import FILE, RAW, ends_inside, parse, read_lines, read_spanning
 from .storage import is_folder, list_files
 
-_RECORD = "_raw_record"
-
 
 def find_csv(spark, folder, extension=".csv"):
     """CSV files of a folder tree, extension in any case: `path`, `length`."""
@@ -19,22 +18,54 @@ def find_csv(spark, folder, extension=".csv"):
 def _needs_multi_line(spark, path, delimiter, extension=".csv"):
     """Whether a record may span lines, decided in the same way for every size.
 
-    Reading with `multiLine` keeps a file in one task. It is not needed where every physical
-    line by itself consists of fields that are free of quotes or quoted from end to end: both
-    readers then give the same records, and the splittable one is used. The check is a line
-    scan over splits.
+    It cannot where every physical line by itself consists of fields that are free of quotes
+    or quoted from end to end; then Spark's own reader gives the same records from lines. The
+    check is a line scan over splits, which ends at the first other line.
     """
     mark = re.escape(delimiter)
-    field = rf'(?:"(?:[^"]|"")*+"|(?:(?!{mark})[^"])*+)'
-    strict = rf"^{field}(?:{mark}{field})*+$"
-    return not _text_lines(spark, path, extension).filter(~F.col("value").rlike(strict)).isEmpty()
+    field = rf'(?:"(?:[^"\r]|"")*+"|(?:(?!{mark})[^"\r])*+)'
+    strict = rf"^{field}(?:{mark}{field})*+\r?$"
+    return not _lines(spark, path, extension).filter(~F.col("value").rlike(strict)).isEmpty()
 
 
-def _text_lines(spark, path, extension):
+def _lines(spark, path, extension):
     reader = spark.read
     if is_folder(spark, path):
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension))
-    return reader.text(path)
+    return read_lines(reader, path)
+
+
+def _header(spark, path, delimiter, extension):
+    """The first record of a file, which may span lines as well."""
+    lines, wanted = _lines(spark, path, extension).filter("block = 0"), 1
+    while True:
+        found = lines.take(wanted)
+        found = [r["value"] for r in found if r["path"] == found[0]["path"]]
+        text, inside = "", False
+        for k, line in enumerate(found):
+            text += line + "\n"
+            inside = ends_inside(line.removeprefix("\ufeff") if k == 0 else line, inside, delimiter)
+            if not inside and text.strip("\ufeff\r\n"):
+                return [name or "" for name in next(parse(text.removeprefix("\ufeff"), delimiter))[0]]
+        if len(found) < wanted:
+            raise ValueError(f"{path} has no header: it is empty or its first record does not end")
+        wanted *= 16
+
+
+def unique_names(header):
+    """Column names of a header: a repeated one gets a number (`a`, `a.1`), one without text its place (`Unnamed: 2`).
+
+    Names that differ in case alone count as repeated, as columns are found without regard to case.
+    """
+    names = []
+    for place, name in enumerate(header):
+        base = name = name or f"Unnamed: {place}"
+        number = 0
+        while name.lower() in {n.lower() for n in names}:
+            number += 1
+            name = f"{base}.{number}"
+        names.append(name)
+    return names
 
 
 def any_case(extension):
@@ -52,14 +83,19 @@ def _field_count(record, delimiter):
 
 
 def _read_records(spark, path, delimiter, multi_line, extension):
-    """Records as read, the column names, and the test for records with too many fields.
+    """Records as read, the column names, the raw record, the test for too many fields, and the file's name.
 
-    Short and over-long lines are both corrupt to Spark, which keeps the raw record of
-    those alone, so only they are counted out field by field. Column pruning must be off
-    for the reader to notice them.
+    Records that may span lines are cut by `records`. Of files of single lines Spark keeps the raw
+    record of short and over-long ones alone, so only they are counted out field by field; column
+    pruning must be off for the reader to notice them.
     """
     if multi_line is None:
         multi_line = _needs_multi_line(spark, path, delimiter, extension)
+    header = _header(spark, path, delimiter, extension) if len(delimiter) == 1 else None
+    names = unique_names(header) if header else None
+    if multi_line and header:
+        records = read_spanning(_lines(spark, path, extension), names, header, delimiter)
+        return records, names, F.col(RAW), F.col(RAW).isNotNull(), F.col(FILE)
     reader = (
         spark.read.option("header", True)
         .option("sep", delimiter)
@@ -68,20 +104,21 @@ def _read_records(spark, path, delimiter, multi_line, extension):
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnPruning", False)
-        .option("enforceSchema", False)
+        # Only names that stand in the files as they are can be compared with them.
+        .option("enforceSchema", bool(header) and names != header)
     )
     if is_folder(spark, path):
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension))
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
-    records = reader.schema(schema).option("columnNameOfCorruptRecord", _RECORD).csv(path)
+    names = names or reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RAW]])
+    records = reader.schema(schema).option("columnNameOfCorruptRecord", RAW).csv(path)
 
     # Spark refuses queries on the corrupt-record column alone (a bare count would be
     # one), so the test also touches a data column, adding nothing to the text.
     touched = F.left(F.coalesce(_named(names[0]), F.lit("")), F.lit(0))
-    record = F.concat(F.col(_RECORD), touched)
+    record = F.concat(F.col(RAW), touched)
     too_long = F.coalesce(_field_count(record, delimiter) > len(names), F.lit(False))
-    return records, names, record, too_long
+    return records, names, record, too_long, F.input_file_name()
 
 
 def _named(name):
@@ -94,11 +131,13 @@ def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, m
 
     Short lines are padded with missing values. Over-long lines are left out
     (`on_bad_lines="skip"`, see `bad_lines`) or fail the job (`"error"`).
-    `multi_line=None` finds out whether line breaks in quotes may occur. A carriage return
-    outside quotes ends a record, as long as no record of the file spans lines; the reader for
-    those keeps it as text.
+    `multi_line=None` finds out whether line breaks in quotes may occur. A line break (LF, CRLF
+    or CR) outside quotes ends a record; inside it is kept as it is. A file that ends inside quotes
+    and a file without a header are errors. Repeated and empty header names are made unique
+    (`unique_names`). A delimiter of several characters is read by Spark's own reader, a file that needs
+    `multi_line` then by one task.
     """
-    records, names, record, too_long = _read_records(spark, path, delimiter, multi_line, extension)
+    records, names, record, too_long, file = _read_records(spark, path, delimiter, multi_line, extension)
     if on_bad_lines == "error":
         checked = F.when(too_long, F.raise_error(F.concat(F.lit("Too many fields: "), record))).otherwise(True)
         records = records.filter(checked.cast("boolean"))
@@ -112,14 +151,14 @@ def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, m
         value = _named(name)
         columns.append(F.when(~value.isin(missing_words), value).alias(name) if missing_words else value)
     if file_name_col:
-        columns.append(F.input_file_name().alias(file_name_col))
+        columns.append(file.alias(file_name_col))
     return records.select(*columns)
 
 
 def bad_lines(spark, path, delimiter=",", multi_line=None, extension=".csv"):
     """The raw over-long records that `read_csv` leaves out, with their file."""
-    records, _, record, too_long = _read_records(spark, path, delimiter, multi_line, extension)
-    return records.filter(too_long).select(F.input_file_name().alias("file"), record.alias("record"))
+    records, _, record, too_long, file = _read_records(spark, path, delimiter, multi_line, extension)
+    return records.filter(too_long).select(file.alias("file"), record.alias("record"))
 
 
 def read_comments(spark, path, on_bad_lines="error", **options):

@@ -200,3 +200,88 @@ def test_json_object_after_many_blanks(spark, tmp_path):
 
     (tmp_path / "blanks.json").write_text(" \n" * 5000 + '{"comments": [{"a": 1}, {"a": 2}]}')
     assert sorted(r.a for r in read_json_comments(spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def plain_records(data, delimiter=","):
+    """Records of a file's bytes by Python's own reader."""
+    import csv as python_csv
+    import io
+
+    return [r for r in python_csv.reader(io.StringIO(data.decode(), newline=""), delimiter=delimiter) if r]
+
+
+def test_spanning_records_are_cut_in_any_split(spark, tmp_path):
+    """Quoted breaks, bare quotes and all kinds of line ends, in splits of every size, against one reader over the whole file."""
+    import random
+
+    rng = random.Random(4)
+    fields = ['"a\nb"', '"q""\r\n""x"', "plain", '5" tall', '""', '" , "', '"z"tail"', "é", '"\r"', ""]
+    # A record of many lines reaches over several of the smallest splits.
+    for trial in range(2):
+        lines = ["h1,h2"]
+        for _ in range(200):
+            row = [rng.choice(fields) for _ in range(2)]
+            if rng.random() < 0.1:
+                row[1] = '"' + "long, line\n" * rng.randint(20, 60) + '"'
+            lines.append(",".join(row))
+        data = (rng.choice(["\n", "\r\n"]).join(lines) + "\n").encode()
+        path = tmp_path / f"s{trial}.csv"
+        path.write_bytes(data)
+        want = [tuple(v or None for v in r) for r in plain_records(data)[1:]]
+        for size in (197, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            try:
+                table = csv.read_csv(spark, str(path), multi_line=True)
+                assert size > 1000 or table.rdd.getNumPartitions() > 20
+                assert sorted(rows(table.na.fill("").select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("h1", "h2")])), key=str) == sorted(want, key=str)
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_edges(spark, tmp_path):
+    def file(name, data):
+        (tmp_path / name).write_bytes(data)
+        return str(tmp_path / name)
+
+    with pytest.raises(ValueError, match="no header"):
+        csv.read_csv(spark, file("none.csv", b""))
+    assert csv.read_csv(spark, file("head.csv", b"a,b\n")).count() == 0
+    twice = csv.read_csv(spark, file("twice.csv", b"a,a,A,,b\n1,2,3,4,5\n"))
+    assert twice.columns == ["a", "a.1", "A.2", "Unnamed: 3", "b"] and [tuple(r) for r in twice.collect()] == [("1", "2", "3", "4", "5")]
+    spanning = csv.read_csv(spark, file("twice2.csv", b'a,a\n"x\ny",2\n'))
+    assert spanning.columns == ["a", "a.1"] and [tuple(r) for r in spanning.collect()] == [("x\ny", "2")]
+    crlf = csv.read_csv(spark, file("crlf.csv", b'a,b\r\n"x\r\ny",2\r\nz,3\r\n'))
+    assert [tuple(r) for r in crlf.collect()] == [("x\r\ny", "2"), ("z", "3")]
+    with pytest.raises(ValueError, match="inside quotes"):
+        csv.read_csv(spark, file("open.csv", b'a,b\n1,"x\n2,3\n4,5\n'))
+    head = csv.read_csv(spark, file("wide.csv", '﻿"first\nname",b\n1,2\n'.encode()))
+    assert head.columns == ["first\nname", "b"] and [tuple(r) for r in head.collect()] == [("1", "2")]
+    (tmp_path / "mixed").mkdir()
+    file("mixed/one.csv", b'a,b\n"x\ny",2\n')
+    file("mixed/two.csv", b"a,b\n3,4\n")
+    file("mixed/three.csv", b"")
+    assert sorted(rows(csv.read_csv(spark, str(tmp_path / "mixed")))) == [("3", "4"), ("x\ny", "2")]
+    file("mixed/four.csv", b"a,c\n3,4\n")
+    with pytest.raises(Exception, match="header"):
+        csv.read_csv(spark, str(tmp_path / "mixed")).collect()
+    assert rows(csv.read_csv(spark, file("empty.csv", b'a,b\n"",\n"x\n",1\n'), missing_words=())) == [("", None), ("x\n", "1")]
+
+
+def test_lines_tell_where_records_end():
+    """Random characters, cut after every line that ends outside quotes, against one reader over the whole."""
+    import random
+
+    from chatterlake.sources import records
+
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice(['"', '"', ",", "a", "\n", "\r", "\r\n", " "]) for _ in range(rng.randint(1, 14)))
+        inside, held, found = False, "", []
+        for line in text.removesuffix("\n").split("\n"):
+            held, inside = held + line + "\n", records.ends_inside(line, inside, ",")
+            if not inside:
+                found += [[v or "" for v in fields] for fields, _ in records.parse(held, ",")]
+                held = ""
+        assert inside or found == plain_records(text.encode())
