@@ -93,10 +93,11 @@ def _quoted(name):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def profile_strings(df, columns=None):
+def profile_strings(df, columns=None, by=None):
     """Counts per string column that decide its type, from one aggregation.
 
-    Returns {column: {filled, integers, numbers, fractions, booleans, flags, rows}}.
+    Returns {column: {filled, integers, numbers, fractions, booleans, flags, rows}}; with a column
+    `by` this for each of its values.
     """
     columns = string_columns(df) if columns is None else columns
     if not columns:
@@ -105,6 +106,7 @@ def profile_strings(df, columns=None):
     parsed = df.select(
         *[_quoted(name).alias(f"t{i}") for i, name in enumerate(columns)],
         *[to_number(_quoted(name)).alias(f"n{i}") for i, name in enumerate(columns)],
+        *([] if by is None else [_quoted(by).alias("by")]),
     )
     parts = [F.count("*").alias("rows")]
     for i in range(len(columns)):
@@ -119,12 +121,14 @@ def profile_strings(df, columns=None):
             F.count_if(text.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"booleans_{i}"),
             F.count(to_boolean(text)).alias(f"flags_{i}"),
         ]
-    row = parsed.agg(*parts).first()
     keys = ("filled", "integers", "numbers", "fractions", "booleans", "flags")
-    return {
-        name: {"rows": row["rows"], **{key: row[f"{key}_{i}"] for key in keys}}
-        for i, name in enumerate(columns)
-    }
+
+    def profile(row):
+        return {name: {"rows": row["rows"], **{key: row[f"{key}_{i}"] for key in keys}} for i, name in enumerate(columns)}
+
+    if by is None:
+        return profile(parsed.agg(*parts).first())
+    return {row["by"]: profile(row) for row in parsed.groupBy("by").agg(*parts).collect()}
 
 
 def plan_reader_types(profile):
@@ -192,7 +196,11 @@ def apply_plan(df, plan):
 
 def plan_csv_types(df, mode="compat"):
     """Plan for a table read as strings: reader types first, name rules for the rest."""
-    profile = profile_strings(df)
+    return plan_profile(profile_strings(df), mode)
+
+
+def plan_profile(profile, mode="compat"):
+    """`plan_csv_types` for a profile at hand."""
     reader = plan_reader_types(profile)
     rest = {name: p for name, p in profile.items() if name not in reader}
     return {**plan_coercion(rest, mode), **reader}

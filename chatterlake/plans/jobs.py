@@ -7,7 +7,7 @@ from contextlib import ExitStack
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import DEFAULT_TOPICS, LANGUAGE_CONFIDENCE, SENTIMENT_BATCH
+from ..functions.fixed_values import CODECS, DEFAULT_TOPICS, LANGUAGE_CONFIDENCE, SENTIMENT_BATCH
 from ..functions.text import fill_missing, truncate_text
 from ..operators.classify import (
     distinct_texts,
@@ -44,9 +44,10 @@ from ..sources.csv import find_csv, output_path, read_comments, read_csv, write_
 from ..sources.json import read_json_comments
 from ..sources.keywords import keyword_list, read_keywords
 from ..sources.parquet import verify_parquet, write_parquet
-from ..sources.storage import list_files, path_exists, relative_path, spread, staged, total_size, write_table
+from ..sources.storage import list_files, metadata_path, path_exists, relative_path, spread, staged, total_size, write_table
+from .trees import convert_files
 
-# Files of a tree are independent Spark jobs; this many are submitted at a time.
+# Pairs of two trees are independent Spark jobs; this many are submitted at a time.
 CONCURRENT_FILES = 8
 
 
@@ -238,27 +239,32 @@ def convert_tree(spark, input_dir, output_dir=None, delimiter=",", compression="
                  extension=".csv", mode="compat"):
     """Convert every CSV file of a folder tree, keeping relative paths.
 
-    Files may differ in columns and are typed one by one, so each is a Spark job of
-    its own; several are submitted at a time and a failing file does not stop the others.
-    The listing, not the data, is on the driver. For many files of one schema, pass
-    their folder to `convert_csv` instead: one job reads them all.
-    Returns a frame: file, target, converted, message.
+    Files may differ in columns and are typed one by one, yet files alike in header and types are
+    read and written together (`trees`), so the jobs do not grow with the files. The listing
+    and a row of counts per file, not the data, are on the driver. Returns a frame: file, target,
+    converted, message.
     """
+    if compression not in CODECS:
+        raise ValueError(f"Unknown compression {compression!r}; known: {', '.join(CODECS)}")
     root = input_dir.rstrip("/")
     target_root = (output_dir or input_dir).rstrip("/")
-    files = [row["path"] for row in find_csv(spark, root, extension).select("path").collect()]
-
-    def convert(path):
-        relative = relative_path(spark, path, root)
-        target = f"{target_root}/{relative[: -len(extension)]}.parquet"
-        try:
-            done = convert_csv(spark, path, target, delimiter, compression, overwrite, mode)
-            return relative, target, done, None if done else "target exists or result is empty"
-        except Exception as error:
-            return relative, target, False, str(error).split("\n")[0]
-
-    with ThreadPoolExecutor(CONCURRENT_FILES) as pool:
-        rows = list(pool.map(convert, sorted(files)))
+    files = {}
+    for row in find_csv(spark, root, extension).select("path").collect():
+        relative = relative_path(spark, row["path"], root)
+        files[relative] = (row["path"], f"{target_root}/{relative[: -len(extension)]}.parquet")
+    left = {r: f for r, f in files.items() if overwrite or not path_exists(spark, f[1])}
+    if len(delimiter) == 1:
+        found = convert_files(spark, {metadata_path(spark, path): target for path, target in left.values()}, delimiter, compression, mode)
+        messages = {r: found[metadata_path(spark, path)] for r, (path, _) in left.items()}
+    else:
+        messages = {}
+        for relative, (path, target) in left.items():
+            try:
+                done = convert_csv(spark, path, target, delimiter, compression, overwrite, mode)
+                messages[relative] = None if done else "the file has no rows"
+            except Exception as error:
+                messages[relative] = str(error).split("\n")[0]
+    rows = [(r, t, r in left and messages[r] is None, messages.get(r) if r in left else "the target exists") for r, (_, t) in sorted(files.items())]
     return spark.createDataFrame(rows, "file string, target string, converted boolean, message string")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed_values import MISSING_WORDS
-from .records import FILE, RAW, ends_inside, parse, read_lines, read_spanning
-from .storage import is_folder, list_files
+from .records import FILE, RAW, ends_inside, parse, read_lines, read_spanning, strict_line
+from .storage import is_folder, list_files, reader_path
 
 
 def find_csv(spark, folder, extension=".csv"):
@@ -22,10 +22,7 @@ def _needs_multi_line(spark, path, delimiter, extension=".csv"):
     or quoted from end to end; then Spark's own reader gives the same records from lines. The
     check is a line scan over splits, which ends at the first other line.
     """
-    mark = re.escape(delimiter)
-    field = rf'(?:"(?:[^"\r]|"")*+"|(?:(?!{mark})[^"\r])*+)'
-    strict = rf"^{field}(?:{mark}{field})*+\r?$"
-    return not _lines(spark, path, extension).filter(~F.col("value").rlike(strict)).isEmpty()
+    return not _lines(spark, path, extension).filter(~F.col("value").rlike(strict_line(delimiter))).isEmpty()
 
 
 def _lines(spark, path, extension):
@@ -96,7 +93,14 @@ def _read_records(spark, path, delimiter, multi_line, extension):
     if multi_line and header:
         records = read_spanning(_lines(spark, path, extension), names, header, delimiter)
         return records, names, F.col(RAW), F.col(RAW).isNotNull(), F.col(FILE)
-    reader = (
+    reader = _line_reader(spark, delimiter, multi_line, bool(header) and names != header)
+    if is_folder(spark, path):
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension))
+    return *_line_records(reader, path, names or reader.csv(path).columns, delimiter), F.input_file_name()
+
+
+def _line_reader(spark, delimiter, multi_line=False, renamed=False):
+    return (
         spark.read.option("header", True)
         .option("sep", delimiter)
         .option("quote", '"')
@@ -105,11 +109,11 @@ def _read_records(spark, path, delimiter, multi_line, extension):
         .option("mode", "PERMISSIVE")
         .option("columnPruning", False)
         # Only names that stand in the files as they are can be compared with them.
-        .option("enforceSchema", bool(header) and names != header)
+        .option("enforceSchema", renamed)
     )
-    if is_folder(spark, path):
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension))
-    names = names or reader.csv(path).columns
+
+
+def _line_records(reader, path, names, delimiter):
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RAW]])
     records = reader.schema(schema).option("columnNameOfCorruptRecord", RAW).csv(path)
 
@@ -118,7 +122,28 @@ def _read_records(spark, path, delimiter, multi_line, extension):
     touched = F.left(F.coalesce(_named(names[0]), F.lit("")), F.lit(0))
     record = F.concat(F.col(RAW), touched)
     too_long = F.coalesce(_field_count(record, delimiter) > len(names), F.lit(False))
-    return records, names, record, too_long, F.input_file_name()
+    return records, names, record, too_long
+
+
+def read_alike(spark, files, delimiter=",", missing_words=MISSING_WORDS):
+    """Files of one header, given as rows of `file_states` that are all strict or all not, as one table with `FILE`.
+
+    Over-long records are left out, as in `read_csv`.
+    """
+    paths, header = [reader_path(f["path"]) for f in files], files[0]["header"]
+    names = unique_names(header)
+    if files[0]["strict"]:
+        reader = _line_reader(spark, delimiter, renamed=names != header)
+        records, _, _, too_long = _line_records(reader, paths, names, delimiter)
+        records, file = records.filter(~too_long), F.col("_metadata.file_path")
+    else:
+        records, file = read_spanning(read_lines(spark.read, paths), names, header, delimiter, files).filter(F.col(RAW).isNull()), F.col(FILE)
+    return records.select(*_present(names, missing_words), file.alias(FILE))
+
+
+def _present(names, missing_words):
+    """Columns whose missing-value words are NULL."""
+    return [F.when(~_named(n).isin(missing_words), _named(n)).alias(n) if missing_words else _named(n) for n in names]
 
 
 def _named(name):
@@ -146,10 +171,7 @@ def read_csv(spark, path, delimiter=",", on_bad_lines="skip", multi_line=None, m
     else:
         raise ValueError("on_bad_lines must be 'skip' or 'error'")
 
-    columns = []
-    for name in names:
-        value = _named(name)
-        columns.append(F.when(~value.isin(missing_words), value).alias(name) if missing_words else value)
+    columns = _present(names, missing_words)
     if file_name_col:
         columns.append(file.alias(file_name_col))
     return records.select(*columns)

@@ -84,34 +84,68 @@ def _runs(batches):
             last, start = key, stop
 
 
+def strict_line(delimiter):
+    """Pattern, for Java and Python, of a line that by itself is whole fields, free of quotes or quoted from end to end."""
+    mark = re.escape(delimiter)
+    field = rf'(?:"(?:[^"\r]|"")*+"|(?:(?!{mark})[^"\r])*+)'
+    return rf"^{field}(?:{mark}{field})*+\r?$"
+
+
+class _Split:
+    """What is known of a split after some of its lines."""
+
+    def __init__(self, path, block, delimiter):
+        self.key, self._delimiter, self._strict = (path, block), delimiter, re.compile(strict_line(delimiter))
+        self.ends, self.strict = (False, True), True
+        self.header, self._head, self._head_open = None, "", block == 0
+
+    def add(self, line):
+        if self._head_open:
+            self._add_to_head(line)
+        if '"' in line or "\r" in line:
+            self.strict = self.strict and self._strict.match(line) is not None
+            if self.ends[0] == self.ends[1]:
+                self.ends = (ends_inside(line, self.ends[0], self._delimiter),) * 2
+            else:
+                self.ends = tuple(ends_inside(line, e, self._delimiter) for e in self.ends)
+
+    def _add_to_head(self, line):
+        self._head += line + "\n"
+        text = self._head.removeprefix("\ufeff")
+        inside = False
+        for own in text.split("\n"):
+            inside = ends_inside(own, inside, self._delimiter)
+        if not inside and text.strip("\r\n"):
+            self.header, self._head_open = [name or "" for name in next(parse(text, self._delimiter))[0]], False
+
+    def row(self):
+        values = [*self.key, *self.ends, self.strict, self.header]
+        types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["path", "block", "outside", "inside", "strict", "header"])
+
+
 def _effects(lines, delimiter):
-    """(path, block, outside, inside): whether each split ends inside quotes, by how it starts."""
+    """A row per split: whether it ends inside quotes, by how it starts; whether all its lines are strict; a file's header."""
     def run(batches):
-        key, states = None, None
+        split = None
         for path, block, own, first in _runs(batches):
-            if first and key:
-                yield _row(key, states)
             if first:
-                key, states = (path, block), (False, True)
+                if split:
+                    yield split.row()
+                split = _Split(path, block, delimiter)
             for line in own:
-                if '"' in line:
-                    if states[0] == states[1]:
-                        states = (ends_inside(line, states[0], delimiter),) * 2
-                    else:
-                        states = tuple(ends_inside(line, s, delimiter) for s in states)
-        if key:
-            yield _row(key, states)
-
-    def _row(key, states):
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*key, *states)], names=["path", "block", "outside", "inside"])
+                split.add(line)
+        if split:
+            yield split.row()
 
-    return lines.mapInArrow(run, "path string, block long, outside boolean, inside boolean")
+    return lines.mapInArrow(run, "path string, block long, outside boolean, inside boolean, strict boolean, header array<string>")
 
 
-def split_states(lines, delimiter):
-    """Splits by file: (path, blocks, starts, ends): each split's first byte, and whether it starts and ends inside quotes.
+def file_states(lines, delimiter):
+    """A row per file: its splits' first bytes (`blocks`), whether these start and end inside quotes, `strict` and `header`.
 
-    A split that ends alike however it starts settles the state; the others after it keep or turn it.
+    A split that ends alike however it starts settles the state; the others after it keep or turn
+    it. Nothing is known of a file without a byte, which has no row.
     """
     effects = _effects(lines, delimiter)
     so_far = Window.partitionBy("path").orderBy("block")
@@ -125,7 +159,8 @@ def split_states(lines, delimiter):
     states = turns.withColumn("_end", ((base + turned) % 2).cast("boolean"))
     states = states.withColumn("_start", F.coalesce(F.lag("_end").over(so_far), F.lit(False)))
     whole = F.array_sort(F.collect_list(F.struct("block", "_start", "_end")))
-    return states.groupBy("path").agg(whole.alias("s")).select("path", F.col("s.block").alias("blocks"), F.col("s._start").alias("starts"), F.col("s._end").alias("ends"))
+    files = states.groupBy("path").agg(whole.alias("s"), F.bool_and("strict").alias("strict"), F.max("header").alias("header"))
+    return files.select("path", F.col("s.block").alias("blocks"), F.col("s._start").alias("starts"), F.col("s._end").alias("ends"), "strict", "header")
 
 
 def read_lines(reader, path):
@@ -137,16 +172,17 @@ class UnclosedQuote(ValueError):
     """A file ends inside quotes."""
 
 
-def read_spanning(lines, names, header, delimiter):
+def read_spanning(lines, names, header, delimiter, files=None):
     """Records of files whose records may span lines: `names` as strings, `FILE`, and `RAW` where there are too many fields.
 
     The first record of every file must be `header` and is left out. A file that ends inside quotes is
     an error, as the quote may have swallowed records. Splits are cut as in the pass that found
-    their states; should they come out otherwise later on, the read fails and has to be started again.
+    their states (`files`, rows of `file_states`); should they come out otherwise later on, the read
+    fails and has to be started again.
     """
     spark = lines.sparkSession
     states, crossing = {}, False
-    for r in split_states(lines, delimiter).toLocalIterator():
+    for r in files if files is not None else file_states(lines, delimiter).toLocalIterator():
         if r["ends"][-1]:
             raise UnclosedQuote(f"{r['path']} ends inside quotes")
         states[r["path"]] = dict(zip(r["blocks"], r["starts"]))

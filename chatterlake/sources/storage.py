@@ -24,6 +24,29 @@ def delete_path(spark, path):
     return fs.delete(hadoop_path, True)
 
 
+def move_path(spark, path, target):
+    """Give a folder another name, in place of what has that name."""
+    fs, old = _file_system(spark, path)
+    target_fs, new = _file_system(spark, target)
+    target_fs.delete(new, True)
+    target_fs.mkdirs(new.getParent())
+    # A rename where both lie in one file system, else a copy.
+    if fs.getUri().equals(target_fs.getUri()):
+        if not fs.rename(old, new):
+            raise OSError(f"{path} cannot become {target}")
+    else:
+        copy_path(spark, path, target)
+
+
+def copy_path(spark, path, target):
+    """Copy a folder, in place of what has the target's name."""
+    fs, old = _file_system(spark, path)
+    target_fs, new = _file_system(spark, target)
+    target_fs.delete(new, True)
+    target_fs.mkdirs(new.getParent())
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, old, target_fs, new, False, spark._jsc.hadoopConfiguration())
+
+
 def is_folder(spark, path):
     fs, hadoop_path = _file_system(spark, path)
     return fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isDirectory()
@@ -96,6 +119,16 @@ def relative_path(spark, path, root):
     return bare[len(base):]
 
 
+def metadata_path(spark, path):
+    """A listed path as Spark's metadata column spells it."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
+
+
+def reader_path(path):
+    """A path as Spark's metadata column spells it, for a reader: decoded, and no part of it a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+
+
 def list_files(spark, path, extension):
     """Files below a folder with the given extension in any case: `path`, `length`.
 

@@ -155,6 +155,29 @@ def test_convert_tree_and_compare(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).count() == 5
 
 
+def test_trees_are_converted_in_few_jobs(spark, tmp_path):
+    """Files alike in header and types go together, whatever their names; bad ones are named and stop no other."""
+    def jobs_of(files, name):
+        root = tmp_path / name
+        (root / "a b").mkdir(parents=True)
+        for k in range(files):
+            (root / "a b" / f"f{k} [{k}] 100%.csv").write_text(f'x,like_count\n"l{k}\nm",{k}\n' if k % 2 else f"x,like_count\nt{k},{k}.5\nu,2\n")
+        (root / "open.csv").write_text('x,like_count\n"a,1\n')
+        spark.sparkContext.setJobGroup(name, name)
+        report = jobs.convert_tree(spark, str(root), str(tmp_path / f"{name}-out"))
+        found = {r.file: (r.converted, r.message) for r in report.collect()}
+        assert found.pop("open.csv") == (False, "the file ends inside quotes")
+        assert len(found) == files and set(found.values()) == {(True, None)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    few, many = jobs_of(4, "few"), jobs_of(24, "many")
+    assert many <= few + 4
+    odd = spark.read.parquet(str(tmp_path / "many-out" / "a b" / "f7 \\[7\\] 100%.parquet"))
+    even = spark.read.parquet(str(tmp_path / "many-out" / "a b" / "f6 \\[6\\] 100%.parquet"))
+    assert rows(odd) == [("l7\nm", 7)] and odd.dtypes[1] == ("like_count", "bigint")
+    assert sorted(rows(even)) == [("t6", 6.5), ("u", 2.0)]
+
+
 def test_relative_paths(spark, tmp_path):
     inner = tmp_path / "data" / "a" / "x.csv"
     inner.mkdir(parents=True)
