@@ -45,7 +45,7 @@ class Neighbours:
         square = ((entries[:, None] - entries[None]) ** 2).sum(2)
         order = np.argsort(square, axis=1, kind="stable")
         # An entry is not on its own list; one equal to it is.
-        others = order[order != np.arange(len(entries))[:, None]].reshape(len(entries), -1)
+        others = order[order != np.arange(len(entries))[:, None]].reshape(len(entries), max(len(entries) - 1, 0))
         return cls(entries, others, np.take_along_axis(square, others, 1))
 
 

@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_quality": ["doc_id", "held_out", "score", "predicted"],
     "op9_repetition_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op10_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op11_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12_matched_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op13_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 LONG = {"n_words", "n_base", "first_word", "last_word", "n_shingles", "component_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
         "n_tokens", "n_known", "train_tokens", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "n_removed", "n_spans"}
@@ -24,7 +27,7 @@ LONG = {"n_words", "n_base", "first_word", "last_word", "n_shingles", "component
 
 def test_registered():
     assert set(queries.registered()) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.registered()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.registered()) == list(range(1, 14))
     assert set(queries.statements()) <= set(entry.oracle_sql())
 
 
