@@ -122,15 +122,20 @@ def _license_sql():
 
 
 def _contained_sql():
-    def grams(table, key):
-        return (f"SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {key}, regexp_extract_all(lower(text), '{_ALNUM}') AS w FROM {table}), "
-                "unnest(range(1, len(w) - 3)) AS r(i)")
+    # An item of fewer than five words is one shingle of all its words.
+    def words(table, key):
+        return f"SELECT {key}, regexp_extract_all(lower(text), '{_ALNUM}') AS w FROM {table}"
+
+    def grams(key, source):
+        return f"SELECT DISTINCT {key}, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM {source}, unnest(range(1, len(w) - n + 2)) AS r(i)"
 
     return f"""
-        WITH b AS MATERIALIZED ({grams('benchmark', 'item_id')}), d AS ({grams('documents', 'doc_id')}),
-             n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+        WITH i AS MATERIALIZED (SELECT item_id, w, least(5, len(w)) AS n FROM ({words('benchmark', 'item_id')}) WHERE len(w) > 0),
+             b AS MATERIALIZED ({grams('item_id', 'i')}),
+             d AS ({grams('doc_id', f"({words('documents', 'doc_id')}), (SELECT DISTINCT n FROM i)")}),
+             c AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
         SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment
-        FROM d JOIN b USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item)"""
+        FROM d JOIN b USING (n, g) JOIN c USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item)"""
 
 
 def _repetition_sql():

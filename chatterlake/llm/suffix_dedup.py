@@ -351,7 +351,10 @@ class _Texts:
     """Different texts of a table: `all` rows as (key, text), `one(marks)` a row per marked key with its text."""
 
     def __init__(self, docs, id_col, text_col):
-        self._rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+        plain = dict(docs.dtypes)[id_col].split("<")[0] not in ("struct", "array", "map", "variant")
+        # Ids that may hold maps have no order; a hash of them as JSON stands for them.
+        own = F.col(id_col) if plain else F.xxhash64(F.to_json(F.struct(F.col(id_col))))
+        self._rows = docs.select(own.alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
         self.all = self._rows.select("key", "text")
         self.stands = self._rows.select("id", "key").groupBy("key").agg(F.min("id").alias("stand"))
 

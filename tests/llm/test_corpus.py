@@ -362,6 +362,8 @@ def test_pipeline_edges(spark, tmp_path):
     rows = [(1, "the same words here and there " * 3, "en", "a", 5, 1.0), (1, "the same words here and there " * 3, "en", "a", 5, 1.0), (None, None, None, None, None, None),
             (2, "", "en", None, 0, 2.0), (None, "quite other words in this line", None, "b", 7, 3.0), (3, LONG, "en", "b", 8, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double").withColumn("row", F.lit(1))
+    # Names that stages use themselves, and a column without an order.
+    docs = docs.withColumn("_row_id", F.lit(5)).withColumn("_kept", F.lit(None).cast("boolean")).withColumn("id", F.lit("x")).withColumn("key", F.create_map(F.lit("a"), F.col("doc_id")))
     for name, table in (("rows", docs), ("none", docs.limit(0))):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             path = str(tmp_path / f"{name}{k}")
