@@ -34,15 +34,17 @@ def language(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keep one document, the smallest id, of each group of near copies; of repeated rows one as well."""
-    keyed = docs.withColumn("_row_id", F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(*[_named(c) for c in docs.columns]).alias("h")))
-    groups = ngram_join.ngram_components(keyed, "_row_id", "text", NEAR_WORDS, NEAR_PERCENT, NEAR_LOW)
-    first = groups.filter(F.col("_row_id").eqNullSafe(F.col("component_id"))).select(F.col("_row_id").alias("_kept")).distinct()
-    return (
-        keyed.join(first, F.col("_row_id").eqNullSafe(F.col("_kept")), "left_semi")
-        .dropDuplicates(["_row_id"])
-        .select(*[_named(c) for c in docs.columns])
-    )
+    """Keep one document, the smallest id, of each group of near copies; of repeated rows one as well.
+
+    A row goes along whole, as one value, so its columns may have any names and types.
+    """
+    row = F.struct(*[_named(c) for c in docs.columns])
+    # Rows are told apart by their id and a hash of them as JSON, which takes maps as well.
+    keyed = docs.select(row.alias("row"), F.col("text").alias("text"), F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(F.to_json(row)).alias("h")).alias("id"))
+    groups = ngram_join.ngram_components(keyed, "id", "text", NEAR_WORDS, NEAR_PERCENT, NEAR_LOW)
+    first = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept")).distinct()
+    kept = keyed.select("row", "id").join(first, F.col("id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["id"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark, docs, sf_dir):
