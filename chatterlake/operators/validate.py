@@ -3,6 +3,7 @@
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _side_counts(left, right):
@@ -67,33 +68,75 @@ def table_schema(df):
     return df.sparkSession.createDataFrame(rows, "position int, column string, type string, nullable boolean")
 
 
+def _field(name):
+    return lambda v: v[name]
+
+
+def _children(name, value, kind, many):
+    """(name, value or list of values, type, whether it is a list) of the parts of a struct's fields, a list's elements, or a map's keys and values, of one value or of each of a list."""
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            part = F.transform(value, _field(f.name)) if many else value[f.name]
+            yield f"{name}.{f.name}", part, f.dataType, many
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        pick = {"[]": (lambda v: v, kind.elementType)} if isinstance(kind, T.ArrayType) else {
+            "{keys}": (F.map_keys, kind.keyType), "{values}": (F.map_values, kind.valueType)}
+        for mark, (part, inner) in pick.items():
+            # Lists within lists are laid side by side; a missing one has no elements.
+            lists = F.flatten(F.transform(F.filter(value, lambda v: v.isNotNull()), part)) if many else part(value)
+            yield name + mark, lists, inner, True
+
+
+def _parts(fields):
+    """All columns and, after each, its nested parts."""
+    for part in fields:
+        yield part
+        yield from _parts(_children(*part))
+
+
+def _ordered(kind):
+    return not isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+
+
 def profile_table(df, approx_distinct=True):
     """One row per column: rows, missing values, smallest and largest value, distinct estimate.
 
-    All columns are profiled in a single aggregation without a shuffle of rows. The
+    Nested columns have a row of their own, with the missing ones, and one for each of their parts:
+    `a.b` for a field, `a[]` for a list's elements, `a{keys}` and `a{values}` for a map's. The rows
+    of a part inside a list or map are its elements. Only plain values have a smallest and
+    largest one; the distinct estimate is also left out for elements.
+    All are profiled in a single aggregation without a shuffle of rows. The
     distinct number is a sketch estimate (about 2 % error); exact counts would
     shuffle every column by its values.
     """
-    atomic = [n for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "variant"))]
-    measures = [F.count("*").alias("rows")]
-    for i, name in enumerate(atomic):
-        value = F.col(f"`{name}`")
-        measures += [F.count(value).alias(f"f{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-        if approx_distinct:
+    parts = list(_parts((f.name, F.col("`" + f.name.replace("`", "``") + "`"), f.dataType, False) for f in df.schema.fields))
+    # Lists of elements are made once, in a projection of their own.
+    values = df.select(*[value.alias(f"v{i}") for i, (_, value, _, _) in enumerate(parts)])
+    measures, entries = [F.count("*").alias("rows")], []
+    for i, (name, _, kind, many) in enumerate(parts):
+        value, ordered = F.col(f"v{i}"), _ordered(kind)
+        if many:
+            total = F.coalesce(F.sum(F.size(F.coalesce(value, F.array().cast(T.ArrayType(kind))))), F.lit(0))
+            filled = F.coalesce(F.sum(F.size(F.filter(F.coalesce(value, F.array().cast(T.ArrayType(kind))), lambda v: v.isNotNull()))), F.lit(0))
+            low, high = F.array_min(value), F.array_max(value)
+        else:
+            total, filled, low, high = F.count("*"), F.count(value), value, value
+        measures += [total.cast("bigint").alias(f"n{i}"), filled.cast("bigint").alias(f"f{i}")]
+        if ordered:
+            measures += [F.min(low).alias(f"lo{i}"), F.max(high).alias(f"hi{i}")]
+        distinct = approx_distinct and ordered and not many
+        if distinct:
             measures.append(F.approx_count_distinct(value, 0.02).alias(f"d{i}"))
-    wide = df.agg(*measures)
-    entries = [
-        F.struct(
+        none = F.lit(None)
+        entries.append(F.struct(
             F.lit(name).alias("column"),
-            F.col("rows").alias("row_count"),
-            (F.col("rows") - F.col(f"f{i}")).alias("null_count"),
-            F.col(f"lo{i}").cast("string").alias("min_value"),
-            F.col(f"hi{i}").cast("string").alias("max_value"),
-            *([F.col(f"d{i}").alias("approx_distinct")] if approx_distinct else []),
-        )
-        for i, name in enumerate(atomic)
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+            F.col(f"n{i}").alias("row_count"),
+            (F.col(f"n{i}") - F.col(f"f{i}")).alias("null_count"),
+            (F.col(f"lo{i}") if ordered else none).cast("string").alias("min_value"),
+            (F.col(f"hi{i}") if ordered else none).cast("string").alias("max_value"),
+            *([(F.col(f"d{i}") if distinct else none).cast("bigint").alias("approx_distinct")] if approx_distinct else []),
+        ))
+    return values.agg(*measures).select(F.inline(F.array(*entries)))
 
 
 def sample_rows(df, n=10):

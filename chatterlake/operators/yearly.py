@@ -40,11 +40,13 @@ def with_year(df, date_col, date_format=None, year_col="year"):
 def write_by_year(df, date_col, path="yearly_data", date_format=None, mode="overwrite", file_format="parquet"):
     """Write one folder per year; rows with unreadable dates go to the NULL folder.
 
+    In a folder that holds years already, only the years among the rows are replaced.
+
     The rebalance hint gathers each year into few files and splits a year that is
     larger than a partition, so neither small files nor a hot year pile up.
     """
     yearly = with_year(df, date_col, date_format).hint("rebalance", "year")
-    writer = yearly.write.mode(mode).partitionBy("year")
+    writer = yearly.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year")
     if file_format == "csv":
         csv_options(writer).csv(path)
     else:

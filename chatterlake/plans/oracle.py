@@ -295,6 +295,18 @@ UNION ALL SELECT 'right', count(*), p_partkey, p_size FROM only_right GROUP BY A
     sql["table_differences"] = differences
     sql["sample_differences"] = f"SELECT * FROM ({differences}) ORDER BY p_partkey, p_size, side LIMIT 3"
     sql["profile_table"] = " UNION ALL ".join(_profile_column(c) for c in PART_COLUMNS)
+    def part(name, table, value, plain=True):
+        least, most = (f"min({value})::VARCHAR", f"max({value})::VARCHAR") if plain else ("NULL::VARCHAR", "NULL::VARCHAR")
+        return f"""SELECT '{name}' AS "column", count(*) AS row_count, count(*) - count({value}) AS null_count, {least} AS min_value, {most} AS max_value FROM {table}"""
+
+    sql["profile_nested"] = """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN role END AS role, length(text)::INTEGER AS size FROM conversations WHERE conv_id % 7 <> 3 OR turn > 0),
+        c AS (SELECT conv_id, max(size) AS longest, count(*) AS n FROM t GROUP BY conv_id), u AS (SELECT t.* FROM t JOIN c USING (conv_id) WHERE n > 2),
+        e AS (SELECT size AS v FROM u UNION ALL SELECT NULL FROM u) """ + " UNION ALL ".join([
+            part("conv_id", "c", "conv_id"), part("turns", "c", "CASE WHEN n > 2 THEN 1 END", False), part("turns[]", "u", "1", False), part("turns[].turn", "u", "turn"),
+            part("turns[].role", "u", "role"), part("turns[].sizes", "u", "1", False), part("turns[].sizes[]", "e", "v"), part("sizes", "c", "1", False),
+            part("sizes{keys}", "c", "concat('k', n)"), part("sizes{values}", "c", "longest"), part("info", "c", "CASE WHEN n > 1 THEN 1 END", False),
+            part("info.n", "c", "CASE WHEN n > 1 THEN n END"), part("info.deep", "c", "CASE WHEN n > 1 THEN 1 END", False),
+            part("info.deep.longest", "c", "CASE WHEN n > 1 THEN longest END")])
     sql["profile_distinct"] = " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS exact_distinct, true AS is_close FROM events"
         for c in ("event_id", "ts", "user_id", "event_type", "value", "props")

@@ -545,6 +545,17 @@ def profile_table(spark, folder):
     return validate.profile_table(_table(spark, folder, "part"), approx_distinct=False)
 
 
+def profile_nested(spark, folder):
+    """Structs, lists, maps and lists of structs, some of them missing, of the conversations' turns."""
+    turns = _conversations(spark, folder).filter("conv_id % 7 <> 3 OR turn > 0")
+    turn = F.struct("turn", F.when(F.col("role") == "user", F.col("role")).alias("role"), F.array(F.length("text"), F.lit(None)).alias("sizes"))
+    talks = turns.groupBy("conv_id").agg(F.collect_list(turn).alias("turns"), F.max(F.length("text")).alias("longest"), F.count("*").alias("n"))
+    nested = talks.select(
+        "conv_id", F.when(F.col("n") > 2, F.col("turns")).alias("turns"), F.create_map(F.concat(F.lit("k"), F.col("n")), F.col("longest")).alias("sizes"),
+        F.when(F.col("n") > 1, F.struct("n", F.struct("longest").alias("deep"))).alias("info"))
+    return validate.profile_table(nested, approx_distinct=False)
+
+
 def profile_distinct(spark, folder):
     """Distinct estimates of the profile next to exact counts: no estimate is off by more than 5 %."""
     events = _table(spark, folder, "events")
@@ -767,7 +778,7 @@ NAMES = [
     "coerce_boolean", "coerce_epoch", "coerce_count", "coerce_fractional", "coerce_safe",
     "csv_roundtrip", "csv_bad_lines", "csv_quotes", "csv_edges", "json_comments", "json_list", "json_to_csv", "parquet_verify", "find_csv_files",
     "split_by_year", "yearly_trends", "label_results",
-    "compare_tables", "table_differences", "sample_differences", "profile_table", "profile_distinct", "examine_parquet", "table_schema",
+    "compare_tables", "table_differences", "sample_differences", "profile_table", "profile_nested", "profile_distinct", "examine_parquet", "table_schema",
     "language_model", "language_scores", "language_scores_shuffled", "sentiment_scores", "sentiment_distribution",
     "english_sentiment", "no_language_model", "sentiment_fallback", "score_hook",
     "job_analyze", "job_label", "job_sentiment", "job_filter", "job_convert", "job_convert_rows", "conversion_summary", "convert_folder",

@@ -205,6 +205,15 @@ def test_yearly_jobs(spark, tmp_path, file_format):
     assert spark.read.parquet(str(tmp_path / "trends")).count() == 3
 
 
+def test_a_second_run_replaces_its_own_years_only(spark, tmp_path):
+    folder = str(tmp_path / "years")
+    for lines in ("a,2020-01-01\nb,2021-01-01\n", "c,2021-02-02\n"):
+        (tmp_path / "c.csv").write_text("comment,d\n" + lines)
+        counts = jobs.split_by_year(spark, str(tmp_path / "c.csv"), "d", folder)
+    assert sorted(rows(counts)) == [(2020, 1), (2021, 1)]
+    assert column(spark.read.parquet(folder).filter("year = 2021").select("comment")) == ["c"]
+
+
 def test_label_results_per_file(spark, tmp_path):
     for name, lines in (("a.csv", "x,1\ny,0\n"), ("b.csv", "z,1\n")):
         (tmp_path / name).write_text("comment,tourism_related\n" + lines)

@@ -113,7 +113,7 @@ def test_compare_tables(spark):
 def test_profile(spark):
     frame = spark.createDataFrame([(1, "b", [1]), (2, None, None)], "x int, y string, z array<int>")
     got = rows(validate.profile_table(frame))
-    assert got == [("x", 2, 0, "1", "2", 2), ("y", 2, 1, "b", "b", 1)]
+    assert got == [("x", 2, 0, "1", "2", 2), ("y", 2, 1, "b", "b", 1), ("z", 2, 1, None, None, None), ("z[]", 1, 0, "1", "1", None)]
     assert rows(validate.table_schema(frame))[2][:3] == (2, "z", "array<int>")
     assert validate.sample_rows(frame, 1).count() == 1
 
