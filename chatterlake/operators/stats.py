@@ -146,22 +146,14 @@ def sample_exact(df, n, key=None, seed=SAMPLE_SEED, direct_rows=DIRECT_SAMPLE_RO
 def _first(hashed, n, key, seed):
     """The `n` rows with the smallest hashes, ties by the whole row's hash.
 
-    A first pass over the keys finds the hash that cuts; whole rows are only hashed among those
-    that share it, and only where not all of these are taken.
+    A first pass over the keys alone finds the hash that cuts, so whole rows are only hashed up to it.
     """
     if key is None:
         return hashed.orderBy("_hash").limit(n).drop("_hash")
-    smallest = hashed.select("_hash").orderBy("_hash").limit(n + 1).groupBy("_hash").count()
-    seen = smallest.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.max(F.struct("_hash", "count")).alias("last")).first()
-    if seen["rows"] <= n:
-        return hashed.drop("_hash")
-    last, at = seen["last"]
-    below = hashed.filter(F.col("_hash") < last).drop("_hash")
-    if at == 1:
-        return below
-    tied = hashed.filter(F.col("_hash") == last).drop("_hash")
-    whole = tied.withColumn("_whole", sample_key(row_key(tied), seed)).orderBy("_whole").limit(at - 1).drop("_whole")
-    return below.unionByName(whole)
+    cut = hashed.select("_hash").orderBy("_hash").limit(n).agg(F.max("_hash").alias("cut")).first()["cut"]
+    whole = sample_key(row_key(hashed.drop("_hash")), seed)
+    up_to = hashed.filter(F.col("_hash") <= F.lit(cut))
+    return up_to.withColumn("_whole", whole).orderBy("_hash", "_whole").limit(n).drop("_hash", "_whole")
 
 
 def _copies(row, n):
