@@ -4,9 +4,10 @@ Counts of words and word pairs are quantised on a logarithmic scale, q = 1 + flo
 and an entry is put into the filter once for each level 1 … q. Probing level after level until
 one is missing gives the quantised count back; it is never too small. The filter is built in
 slices by the tasks that sum the counts, each with the same number of bits for every entry, so
-its error rate is the same at every size. It is never in one place: the texts to score are
-staged in chunks as word numbers, and a chunk's different words and pairs go to the slices
-they belong to, whose answers go back to the chunk.
+its error rate is the same at every size. Slices are broadcast in blocks of bounded bytes, one
+pass over the texts to score for each block: these are staged in chunks as word numbers,
+every pass probes the chunk's words and pairs of its slices and writes a byte for each, the last
+one adds up the scores. No word or pair is shuffled.
 
 A pair's probability is c(v,w) smoothed towards the word's own by as many pseudo-counts as
 histories of v's level have different successors on average (Witten–Bell by count level).
@@ -20,9 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ..sources.storage import write_table
+from ..sources.storage import delete_path, write_table
 from .common import LOWER, Hasher, arrow_schema, chunks, column_of, mix, record, row_bounds, rows_of, signed, small_batches, sums, task_rows, text_bytes, word_spans
 
 LOG_BASE = 1.5
@@ -35,8 +37,8 @@ COMBINED_KEYS = 1 << 20
 TEXT_BYTES = 1 << 19
 SCORED_BYTES = 1 << 21
 LEVELS = 64
-# A slice knows its keys by their upper 40 bits: among its million keys, one key in a million has another's.
-PRINT = np.uint64(0xFFFFFFFFFF000000)
+# Bytes of the filter that are broadcast at a time (more only where a single slice is larger).
+FILTER_BLOCK = 64 << 20
 
 END = mix(np.array([11], np.uint64))[0]
 START = mix(np.array([12], np.uint64))[0]
@@ -56,7 +58,7 @@ def count_of(levels):
 def _slots(keys, level, bits):
     """Bit numbers of an entry's level inside its slice, one array per probe."""
     for j in range(PROBES):
-        yield (mix(keys + np.uint64(level * 0x9E3779B9 + j * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)).astype(np.int64)
+        yield (mix(keys + np.uint64(level * 0x9E3779B9 + j * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)) % np.asarray(bits, np.uint64)).astype(np.int64)
 
 
 def _slice_of(keys, slices):
@@ -79,21 +81,22 @@ def slice_bits(levels):
 
 @dataclass
 class Filter:
-    """Slices of equal size after each other; `levels(keys)` probes them."""
+    """Slices after each other; `levels(keys)` probes them. A slice without bits holds no key."""
 
     slices: int
-    bits: int
+    bits: object             # size of every slice, or an array of their sizes
     data: np.ndarray
 
     def levels(self, keys):
-        out = np.zeros(len(keys), np.int64)
-        base = _slice_of(keys, self.slices) * self.bits
-        left = np.arange(len(keys))
+        sizes = np.broadcast_to(self.bits, self.slices).astype(np.int64)
+        out, where = np.zeros(len(keys), np.int64), _slice_of(keys, self.slices)
+        base, bits = (np.cumsum(sizes) - sizes)[where], sizes[where]
+        left = np.flatnonzero(bits)
         for level in range(1, LEVELS + 1):
             if not len(left):
                 break
             inside = np.ones(len(left), bool)
-            for slot in _slots(keys[left], level, self.bits):
+            for slot in _slots(keys[left], level, bits[left]):
                 at = base[left] + slot
                 inside &= ((self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
             left = left[inside]
@@ -179,6 +182,12 @@ class Model:
     slices: int
     filters: object          # table (slice, kind, bits); kind 0 has words, 1 has pairs
     pseudo: np.ndarray       # pseudo-counts by the level of the history
+    paths: tuple             # folders of its tables
+
+    def close(self):
+        """Remove the model's tables; it scores no more texts."""
+        for path in self.paths:
+            delete_path(self.words.sparkSession, path)
 
 
 def _sizes_of(texts):
@@ -200,7 +209,7 @@ def fit(train, text_col="text", frequent_words=FREQUENT_WORDS):
         keys, counts, _ = _merge(table)
         return pa.table({"h": pa.array(signed(keys)), "c": pa.array(counts, pa.int64())})
 
-    words, _ = write_table(counted.groupBy("slice").applyInArrow(word_rows, "h long, c long"), "lm-words")
+    words, words_path = write_table(counted.groupBy("slice").applyInArrow(word_rows, "h long, c long"), "lm-words")
     level = (F.floor(F.log("c") / F.log(F.lit(LOG_BASE)) + 1e-9) + 1).cast("int")
     by_level = words.groupBy(level.alias("level")).agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"), F.min("c").alias("least")).collect()
     total, kinds = sum(r["tokens"] for r in by_level), sum(r["kinds"] for r in by_level)
@@ -219,7 +228,7 @@ def fit(train, text_col="text", frequent_words=FREQUENT_WORDS):
         keys = table["h"].to_numpy().view(np.uint64)
         levels = level_of(table["c"].to_numpy())
         number = int(_slice_of(keys[:1], slices)[0])
-        return pa.table({"slice": pa.array([number], pa.int32()), "bits": pa.array([build_slice(keys & PRINT, levels, slice_bits(levels)).tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([number], pa.int32()), "bits": pa.array([build_slice(keys, levels, slice_bits(levels)).tobytes()], pa.binary())})
 
     # The mark before a text counts as a history, as often as there are texts.
     marked = words.union(spark.createDataFrame([(int(np.array([START]).view(np.int64)[0]), documents)], "h long, c long")) if documents else words
@@ -229,7 +238,7 @@ def fit(train, text_col="text", frequent_words=FREQUENT_WORDS):
             number = _slice_of(column_of(batch, "h").to_numpy(zero_copy_only=False).view(np.uint64), slices)
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *batch.columns], names=["slice", *batch.schema.names])
 
-    word_filter, _ = write_table(marked.mapInArrow(add_slice, "slice int, h long, c long").groupBy("slice").applyInArrow(word_slice, "slice int, bits binary"), "lm-filter")
+    word_filter, word_path = write_table(marked.mapInArrow(add_slice, "slice int, h long, c long").groupBy("slice").applyInArrow(word_slice, "slice int, bits binary"), "lm-filter")
 
     known = spark.sparkContext.broadcast((frequent[0], level_of(frequent[1]).astype(np.uint64)))
 
@@ -246,13 +255,13 @@ def fit(train, text_col="text", frequent_words=FREQUENT_WORDS):
     def pair_slice(table):
         keys, counts, before = _merge(table, "<u8")
         levels = level_of(counts)
-        bits = build_slice(keys & PRINT, levels, slice_bits(levels))
+        bits = build_slice(keys, levels, slice_bits(levels))
         histories, different = np.unique(before, return_counts=True)
         return pa.table({"slice": table["slice"].slice(0, 1).combine_chunks(), "bits": pa.array([bits.tobytes()], pa.binary()),
                          "h": pa.array([signed(histories)], pa.list_(pa.int64())), "n": pa.array([different], pa.list_(pa.int64()))})
 
     pairs = texts.mapInArrow(lambda it: _combined(it, "text", pair_keys, slices), _BLOBS)
-    pair_filter, _ = write_table(pairs.groupBy("slice").applyInArrow(pair_slice, "slice int, bits binary, h array<long>, n array<long>"), "lm-pairs")
+    pair_filter, pair_path = write_table(pairs.groupBy("slice").applyInArrow(pair_slice, "slice int, bits binary, h array<long>, n array<long>"), "lm-pairs")
     followed = pair_filter.select(F.explode(F.arrays_zip("h", "n")).alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
     different = np.zeros(LEVELS + 1)
     by_hash = followed.join(marked, "h").select(level.alias("level"), "n")
@@ -265,7 +274,7 @@ def fit(train, text_col="text", frequent_words=FREQUENT_WORDS):
         histories[r["level"]] += r["kinds"]
     pseudo = np.maximum(different / np.maximum(histories, 1), 0.5)
     filters = word_filter.select("slice", F.lit(0).alias("kind"), "bits").union(pair_filter.select("slice", F.lit(1).alias("kind"), "bits"))
-    return Model(words, total, kinds, frequent, slices, filters, pseudo)
+    return Model(words, total, kinds, frequent, slices, filters, pseudo, (words_path, word_path, pair_path))
 
 
 def _packed(values):
@@ -278,17 +287,6 @@ def _unpacked(raw):
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _prints(keys):
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
-
-def _keys(prints):
-    """Keys of which the lower bits are zero."""
-    keys = np.zeros((len(prints) // 5, 8), np.uint8)
-    keys[:, 3:] = np.frombuffer(prints, np.uint8).reshape(-1, 5)
-    return keys.view("<u8").ravel()
-
-
 def _by_slice(keys, slices):
     """Order of keys by their slices, and the place of each key in it."""
     order = np.argsort(_slice_of(keys, slices), kind="stable")
@@ -309,46 +307,75 @@ def _chunk(batch, row, slices):
     return words, keys[order], history[order], word[order], place[of], bounds
 
 
-def _edges(keys, slices):
-    """Where each slice's keys begin among keys ordered by slices."""
-    return np.searchsorted(_slice_of(keys, slices), np.arange(slices + 1))
+def _blocks(model):
+    """Ranges of slices whose filters have at most `FILTER_BLOCK` bytes together."""
+    sizes = model.filters.groupBy("slice").agg(F.sum(F.octet_length("bits")).alias("n")).orderBy("slice").collect()
+    starts, held = [0], 0
+    for r in sizes:
+        if held and held + r["n"] > FILTER_BLOCK:
+            starts.append(r["slice"])
+            held = 0
+        held += r["n"]
+    return list(zip(starts, [*starts[1:], model.slices]))
 
 
-def _levels(chunked, model, parts):
-    """The levels of all chunks' words and pairs: rows (chunk, slice, words, pairs) of a byte per key, in the chunk's order.
+def _load(model, first, stop):
+    """The filters of words and of pairs with the bits of a range of slices."""
+    table = model.filters.filter(F.col("slice").between(first, stop - 1)).toArrow().sort_by("slice")
+    filters = []
+    for kind in (0, 1):
+        own = table.filter(pc.equal(table["kind"], kind))
+        bits = [np.frombuffer(b.as_buffer(), np.uint8) for b in own["bits"]]
+        sizes = np.zeros(model.slices, np.int64)
+        sizes[own["slice"].to_numpy()] = [8 * len(b) for b in bits]
+        filters.append(Filter(model.slices, sizes, np.concatenate([np.zeros(0, np.uint8), *bits])))
+    return filters
 
-    A slice meets the keys of all chunks; `parts` shares these out where there is more to score than was learned.
+
+_CHUNK = "chunk long, words binary, codes binary, mark long, sizes binary, word_levels binary, pair_levels binary"
+
+
+def _pass(chunked, filters, first, stop, slices, finish=None):
+    """Probe one block: chunks with the levels of its slices' words and pairs behind those of earlier blocks.
+
+    With `finish`, rows (_row, score) in place of chunks, made by finish(history, word, of, bounds, word levels, pair levels).
     """
-    slices = model.slices
-    columns = "slice int, part int, chunk long, words binary, pairs binary"
-    schema = arrow_schema(columns)
+    schema = arrow_schema(_CHUNK if finish is None else "_row long, score double")
 
-    def deal(batches):
+    def probe(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                words, keys, *_ = _chunk(batch, row, slices)
-                chunk = column_of(batch, "chunk")[row].as_py()
-                cuts = [_edges(words, slices), _edges(keys, slices)]
-                used = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
-                own = [[_prints(values[cut[k] : cut[k + 1]]) for k in used] for values, cut in zip((words, keys), cuts)]
-                part = int(mix(np.array([chunk]).astype(np.uint64))[0] % np.uint64(parts))
-                yield record(schema, slice=used, part=np.full(len(used), part), chunk=np.full(len(used), chunk), words=own[0], pairs=own[1])
-
-    def probe(dealt, built):
-        out = {"chunk": dealt["chunk"], "slice": dealt["slice"]}
-        bits = dict(zip(built["kind"].to_pylist(), built["bits"].to_pylist()))
-        for kind, name in enumerate(("words", "pairs")):
-            keys = [_keys(x) for x in dealt[name].to_pylist()]
-            ends = np.cumsum([0, *map(len, keys)])
-            levels = np.zeros(ends[-1], np.uint8)
-            if kind in bits and len(levels):
-                levels = Filter(1, 8 * len(bits[kind]), np.frombuffer(bits[kind], np.uint8)).levels(np.concatenate(keys)).astype(np.uint8)
-            out[name] = pa.array([levels[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-        return pa.table(out)
-
-    dealt = chunked.mapInArrow(deal, columns)
-    built = model.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.groupBy("slice", "part").cogroup(built.groupBy("slice", "part")).applyInArrow(probe, "chunk long, slice int, words binary, pairs binary")
+                words, keys, history, word, of, bounds = _chunk(batch, row, slices)
+                levels = []
+                for values, built, name in zip((words, keys), filters.value, ("word_levels", "pair_levels")):
+                    a, b = np.searchsorted(_slice_of(values, slices), [first, stop])
+                    before = np.frombuffer(zlib.decompress(column_of(batch, name)[row].as_py()), np.uint8)
+                    levels.append(np.concatenate([before, built.levels(values[a:b]).astype(np.uint8)]))
+                if finish is None:
+                    same = {c: batch.slice(row, 1).column(c) for c in ("chunk", "words", "codes", "mark", "sizes")}
+                    yield record(schema, **same, word_levels=[zlib.compress(levels[0].tobytes(), 1)], pair_levels=[zlib.compress(levels[1].tobytes(), 1)])
+                else:
+                    scores = finish(history, word, of, bounds, *(x.astype(np.int64) for x in levels))
+                    yield record(schema, _row=column_of(batch, "chunk")[row].as_py() + np.arange(len(scores)), score=scores)
+
+    return chunked.mapInArrow(probe, _CHUNK if finish is None else "_row long, score double")
+
+
+def _probed(chunked, model, finish):
+    """All blocks after each other: a written table (_row, score) and its folder."""
+    spark = chunked.sparkSession
+    none = F.lit(zlib.compress(b""))
+    table, path = chunked.withColumns({"word_levels": none, "pair_levels": none}), None
+    blocks = _blocks(model)
+    for first, stop in blocks:
+        shared = spark.sparkContext.broadcast(_load(model, first, stop))
+        last = stop == model.slices
+        following, written = write_table(_pass(table, shared, first, stop, model.slices, finish if last else None), "lm-scores" if last else "lm-levels")
+        shared.destroy()
+        if path:
+            delete_path(spark, path)
+        table, path = following, written
+    return table, path
 
 
 def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
@@ -356,7 +383,8 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
 
     Scores are log10 probabilities of whole texts with their ends. A missing or empty text
     is its end alone; without training tokens every word has the same share. Repeated rows are
-    scored each. `keep` names further columns to carry along.
+    scored each. `keep` names further columns to carry along. The result is a written table;
+    what it was made from is removed.
     """
     spark = small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
@@ -365,7 +393,6 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
     schema = arrow_schema(columns)
     shared = spark.sparkContext.broadcast(model.frequent)
     whole, slices, pseudo = model.tokens + 0.5 * (model.kinds + 1), model.slices, model.pseudo
-    parts = _sizes_of(docs.select(F.col(text_col).alias("text")))[0] // (slices * TOKENS_PER_SLICE) + 1
 
     def run(batches):
         often, often_counts = shared.value
@@ -390,33 +417,30 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
                 codes=[_packed(number[codes]), *rest], mark=[int(number[-1]), *rest], sizes=[_packed(sizes), *rest])
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in carried), *out.columns], names=[*carried, *schema.names])
 
-    def finish(staged, answers):
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        if staged.num_rows:
-            _, _, history, word, of, bounds = _chunk(staged.combine_chunks().to_batches()[0], 0, slices)
-            answers = answers.sort_by("slice")
-            levels, pair_levels = (np.frombuffer(b"".join(answers[c].to_pylist()), np.uint8).astype(np.int64) for c in ("words", "pairs"))
-            counts = count_of(levels)
-            own = ((counts + 0.5) / whole)[word]
-            weight, extra = counts[history], pseudo[levels[history]]
-            seen = np.minimum(count_of(pair_levels), weight)
-            chance = np.where(weight > 0, (seen + extra * own) / (weight + extra), own)
-            scores = sums(np.log10(np.minimum(chance, 1.0))[of], bounds)
-            rows = staged["chunk"][0].as_py() + np.arange(len(scores))
-        return pa.table({"_row": pa.array(rows, pa.int64()), "score": pa.array(scores, pa.float64())})
+    def finish(history, word, of, bounds, levels, pair_levels):
+        counts = count_of(levels)
+        own = ((counts + 0.5) / whole)[word]
+        weight, extra = counts[history], pseudo[levels[history]]
+        seen = np.minimum(count_of(pair_levels), weight)
+        chance = np.where(weight > 0, (seen + extra * own) / (weight + extra), own)
+        return sums(np.log10(np.minimum(chance, 1.0))[of], bounds)
 
     head = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
-    scored, _ = write_table(docs.select(*carried, text_col).mapInArrow(run, f"{head}, {columns}"), "lm-scored")
+    scored, scored_path = write_table(docs.select(*carried, text_col).mapInArrow(run, f"{head}, {columns}"), "lm-scored")
     chunked = scored.filter(F.col("words").isNotNull()).select(F.col("_row").alias("chunk"), "words", "codes", "mark", "sizes")
-    answers = _levels(chunked, model, parts)
-    paired = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "_row long, score double")
+    paired, paired_path = _probed(chunked, model, finish)
     rare = scored.select("_row", F.explode("rare").alias("h")).join(model.words, "h", "left")
     rare = rare.groupBy("_row").agg(
         F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / whole)).alias("_rare_base"), F.count("c").alias("_rare_known"))
     none = F.lit(0)
-    return scored.select(*carried, "_row", "n_tokens", "known", "base").join(paired, "_row").join(rare, "_row", "left").select(
+    result = scored.select(*carried, "_row", "n_tokens", "known", "base").join(paired, "_row").join(rare, "_row", "left").select(
         *carried, "n_tokens", (F.col("known") + F.coalesce("_rare_known", none)).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("_rare_base", F.lit(0.0))).alias("base_score"), "score")
+    result, _ = write_table(result, "lm-result")
+    for path in (scored_path, paired_path):
+        delete_path(spark, path)
+    shared.unpersist()
+    return result
 
 
 def _lists(values, mask, bounds):

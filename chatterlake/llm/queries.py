@@ -41,7 +41,9 @@ def op6_packing(spark, folder):
 def op7_lm_scoring(spark, folder):
     docs = _documents(spark, folder).select("doc_id", "text", F.coalesce(bucket_of("doc_id", 5) == 1, F.lit(False)).alias("held_out"))
     model = lm.fit(docs.filter(~F.col("held_out")))
-    return lm.score_texts(docs, model, keep=("held_out",))
+    scored = lm.score_texts(docs, model, keep=("held_out",))
+    model.close()
+    return scored
 
 
 def op8_quality(spark, folder):

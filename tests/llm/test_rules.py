@@ -219,6 +219,7 @@ def test_lm_edges(spark):
     model = lm.fit(frame(spark))
     rows = lm.score_texts(frame(spark), model).collect()
     assert len(rows) == len(TEXTS) + 2 and [r.n_tokens for r in rows if r.doc_id in (0, 1, 2)] == [1, 1, 1]
+    assert lm.score_texts(frame(spark).limit(0), model).count() == 0
     empty = lm.fit(frame(spark).limit(0))
     assert {r.train_tokens for r in lm.score_texts(frame(spark), empty).collect()} == {0}
 
@@ -274,14 +275,15 @@ def plain_scores(texts):
     return out
 
 
-@pytest.mark.parametrize("tokens", [1 << 20, 1 << 13])
-def test_lm_scores_like_exact_counts(spark, monkeypatch, tokens):
-    """Few and many slices, chunks and parts give the scores of exact levels, up to rare false hits."""
+@pytest.mark.parametrize("tokens, block", [(1 << 20, lm.FILTER_BLOCK), (1 << 13, lm.FILTER_BLOCK), (1 << 13, 1 << 16)])
+def test_lm_scores_like_exact_counts(spark, monkeypatch, tokens, block):
+    """Few and many slices, chunks and passes give the scores of exact levels, up to rare false hits."""
     monkeypatch.setattr(lm, "TOKENS_PER_SLICE", tokens)
+    monkeypatch.setattr(lm, "FILTER_BLOCK", block)
     docs = documents(spark).select("doc_id", "text")
     texts = {r.doc_id: r.text for r in docs.collect()}
     model = lm.fit(docs)
-    assert (model.slices > 8) == (tokens < 1 << 20)
+    assert (model.slices > 8) == (tokens < 1 << 20) and (len(lm._blocks(model)) > 1) == (block == 1 << 16)
     want = dict(zip(texts, plain_scores(texts.values())))
     found = {r.doc_id: r.score for r in lm.score_texts(docs.union(docs.withColumn("doc_id", -F.col("doc_id") - 1)), model).collect()}
     assert len(found) == 2 * len(texts)
