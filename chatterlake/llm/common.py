@@ -5,6 +5,8 @@ here treat every non-ASCII byte as part of a word, so bytes give the same words
 characters do.
 """
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -71,6 +73,18 @@ def small_batches(spark):
     return spark
 
 
+@contextmanager
+def shuffles_removed(spark):
+    """Let Spark remove a query's shuffle files as soon as it ends; for what is written to a table and not run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_bytes(column):
     """The UTF-8 bytes of a string column as one array, and the offsets of its rows."""
     column = pc.fill_null(column, "") if column.null_count else column

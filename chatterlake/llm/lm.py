@@ -6,8 +6,8 @@ one is missing gives the quantised count back; it is never too small. The filter
 slices by the tasks that sum the counts, each with the same number of bits for every entry, so
 its error rate is the same at every size. Slices are broadcast in blocks of bounded bytes, one
 pass over the texts to score for each block: these are staged in chunks as word numbers,
-every pass probes the chunk's words and pairs of its slices and writes a byte for each, the last
-one adds up the scores. No word or pair is shuffled.
+every pass probes the chunk's words and pairs of its slices and writes a byte for each. These
+bytes meet their chunks once, for the sums. No word or pair is shuffled.
 
 A pair's probability is c(v,w) smoothed towards the word's own by as many pseudo-counts as
 histories of v's level have different successors on average (Witten–Bell by count level).
@@ -24,8 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ..sources.storage import delete_path, write_table
-from .common import LOWER, Hasher, arrow_schema, chunks, column_of, mix, record, row_bounds, rows_of, signed, small_batches, sums, task_rows, text_bytes, word_spans
+from ..sources.storage import delete_path, new_path, write_table
+from .common import LOWER, Hasher, arrow_schema, chunks, column_of, mix, record, row_bounds, signed, shuffles_removed, small_batches, sums, task_rows, text_bytes, word_spans
 
 LOG_BASE = 1.5
 PROBES = 3
@@ -35,7 +35,7 @@ TOKENS_PER_SLICE = 1 << 20
 COMBINED_KEYS = 1 << 20
 # Bytes of text counted at a time, and of a chunk that is scored.
 TEXT_BYTES = 1 << 19
-SCORED_BYTES = 1 << 21
+SCORED_BYTES = 1 << 20
 LEVELS = 64
 # Bytes of the filter that are broadcast at a time (more only where a single slice is larger).
 FILTER_BLOCK = 64 << 20
@@ -209,7 +209,8 @@ def fit(train, text_col="text", frequent_words=FREQUENT_WORDS):
         keys, counts, _ = _merge(table)
         return pa.table({"h": pa.array(signed(keys)), "c": pa.array(counts, pa.int64())})
 
-    words, words_path = write_table(counted.groupBy("slice").applyInArrow(word_rows, "h long, c long"), "lm-words")
+    with shuffles_removed(spark):
+        words, words_path = write_table(counted.groupBy("slice").applyInArrow(word_rows, "h long, c long"), "lm-words")
     level = (F.floor(F.log("c") / F.log(F.lit(LOG_BASE)) + 1e-9) + 1).cast("int")
     by_level = words.groupBy(level.alias("level")).agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"), F.min("c").alias("least")).collect()
     total, kinds = sum(r["tokens"] for r in by_level), sum(r["kinds"] for r in by_level)
@@ -261,7 +262,8 @@ def fit(train, text_col="text", frequent_words=FREQUENT_WORDS):
                          "h": pa.array([signed(histories)], pa.list_(pa.int64())), "n": pa.array([different], pa.list_(pa.int64()))})
 
     pairs = texts.mapInArrow(lambda it: _combined(it, "text", pair_keys, slices), _BLOBS)
-    pair_filter, pair_path = write_table(pairs.groupBy("slice").applyInArrow(pair_slice, "slice int, bits binary, h array<long>, n array<long>"), "lm-pairs")
+    with shuffles_removed(spark):
+        pair_filter, pair_path = write_table(pairs.groupBy("slice").applyInArrow(pair_slice, "slice int, bits binary, h array<long>, n array<long>"), "lm-pairs")
     followed = pair_filter.select(F.explode(F.arrays_zip("h", "n")).alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
     different = np.zeros(LEVELS + 1)
     by_hash = followed.join(marked, "h").select(level.alias("level"), "n")
@@ -287,24 +289,14 @@ def _unpacked(raw):
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _by_slice(keys, slices):
-    """Order of keys by their slices, and the place of each key in it."""
-    order = np.argsort(_slice_of(keys, slices), kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    return order, place
-
-
-def _chunk(batch, row, slices):
-    """A staged chunk: its words, its different pairs as (key, history, word) and each token's pair, all by slices, and the texts' bounds."""
+def _chunk(batch, row):
+    """A staged chunk: its words, its different pairs as (key, history, word), each token's pair, and the texts' bounds."""
     words = np.frombuffer(column_of(batch, "words")[row].as_py(), "<u8")
     codes, sizes = (_unpacked(column_of(batch, c)[row].as_py()) for c in ("codes", "sizes"))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     of, pairs = pd.factorize(_histories(codes, bounds, column_of(batch, "mark")[row].as_py()) * len(words) + codes)
     history, word = np.divmod(pairs, len(words))
-    keys = _pair(words[history], words[word])
-    order, place = _by_slice(keys, slices)
-    return words, keys[order], history[order], word[order], place[of], bounds
+    return words, _pair(words[history], words[word]), history, word, of, bounds
 
 
 def _blocks(model):
@@ -332,50 +324,43 @@ def _load(model, first, stop):
     return filters
 
 
-_CHUNK = "chunk long, words binary, codes binary, mark long, sizes binary, word_levels binary, pair_levels binary"
-
+_ANSWERS = "chunk long, first int, words binary, pairs binary"
 
-def _pass(chunked, filters, first, stop, slices, finish=None):
-    """Probe one block: chunks with the levels of its slices' words and pairs behind those of earlier blocks.
 
-    With `finish`, rows (_row, score) in place of chunks, made by finish(history, word, of, bounds, word levels, pair levels).
-    """
-    schema = arrow_schema(_CHUNK if finish is None else "_row long, score double")
+def _pass(chunked, filters, first, stop, slices):
+    """Probe one block: a byte for each of a chunk's words and pairs that belong to its slices, in the chunk's order."""
+    schema = arrow_schema(_ANSWERS)
 
     def probe(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                words, keys, history, word, of, bounds = _chunk(batch, row, slices)
-                levels = []
-                for values, built, name in zip((words, keys), filters.value, ("word_levels", "pair_levels")):
-                    a, b = np.searchsorted(_slice_of(values, slices), [first, stop])
-                    before = np.frombuffer(zlib.decompress(column_of(batch, name)[row].as_py()), np.uint8)
-                    levels.append(np.concatenate([before, built.levels(values[a:b]).astype(np.uint8)]))
-                if finish is None:
-                    same = {c: batch.slice(row, 1).column(c) for c in ("chunk", "words", "codes", "mark", "sizes")}
-                    yield record(schema, **same, word_levels=[zlib.compress(levels[0].tobytes(), 1)], pair_levels=[zlib.compress(levels[1].tobytes(), 1)])
-                else:
-                    scores = finish(history, word, of, bounds, *(x.astype(np.int64) for x in levels))
-                    yield record(schema, _row=column_of(batch, "chunk")[row].as_py() + np.arange(len(scores)), score=scores)
-
-    return chunked.mapInArrow(probe, _CHUNK if finish is None else "_row long, score double")
-
-
-def _probed(chunked, model, finish):
-    """All blocks after each other: a written table (_row, score) and its folder."""
+                found = []
+                for keys, built in zip(_chunk(batch, row), filters.value):
+                    where = _slice_of(keys, slices)
+                    own = keys[(where >= first) & (where < stop)]
+                    found.append(zlib.compress(built.levels(own).astype(np.uint8).tobytes(), 1))
+                yield record(schema, chunk=[column_of(batch, "chunk")[row].as_py()], first=[first], words=found[:1], pairs=found[1:])
+
+    return chunked.mapInArrow(probe, _ANSWERS)
+
+
+def _answered(keys, answers, blocks, slices):
+    """The levels of a chunk's keys from the answers of all blocks, which are in the blocks' order."""
+    block = np.searchsorted([first for first, _ in blocks], _slice_of(keys, slices), "right")
+    levels = np.empty(len(keys), np.int64)
+    levels[np.argsort(block, kind="stable")] = np.frombuffer(b"".join(zlib.decompress(x) for x in answers.to_pylist()), np.uint8)
+    return levels
+
+
+def _probed(chunked, model, blocks):
+    """The answers of all blocks, one pass after the other: a written table and its folder."""
     spark = chunked.sparkSession
-    none = F.lit(zlib.compress(b""))
-    table, path = chunked.withColumns({"word_levels": none, "pair_levels": none}), None
-    blocks = _blocks(model)
+    path = new_path(spark, "lm-levels")
     for first, stop in blocks:
         shared = spark.sparkContext.broadcast(_load(model, first, stop))
-        last = stop == model.slices
-        following, written = write_table(_pass(table, shared, first, stop, model.slices, finish if last else None), "lm-scores" if last else "lm-levels")
+        _pass(chunked, shared, first, stop, model.slices).write.mode("append").parquet(path)
         shared.destroy()
-        if path:
-            delete_path(spark, path)
-        table, path = following, written
-    return table, path
+    return spark.read.schema(_ANSWERS).parquet(path), path
 
 
 def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
@@ -392,6 +377,7 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
     columns = "_row long, n_tokens long, known long, base double, rare array<long>, words binary, codes binary, mark long, sizes binary"
     schema = arrow_schema(columns)
     shared = spark.sparkContext.broadcast(model.frequent)
+    blocks = _blocks(model)
     whole, slices, pseudo = model.tokens + 0.5 * (model.kinds + 1), model.slices, model.pseudo
 
     def run(batches):
@@ -406,29 +392,37 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
             base = np.zeros(len(kinds))
             if len(often):
                 base[exact] = np.log10((often_counts[at[exact]] + 0.5) / whole)
-            words = np.append(kinds, START)
-            order, number = _by_slice(words, slices)
             sizes = np.diff(bounds)
             # The first row of a chunk carries its words.
             rest = [None] * (batch.num_rows - 1)
             out = record(
                 schema, _row=place(batch.num_rows), n_tokens=sizes, known=sums(exact[codes].astype(np.int64), bounds),
-                base=sums(base[codes], bounds), rare=_lists(signed(hashes), ~exact[codes], bounds), words=[words[order].tobytes(), *rest],
-                codes=[_packed(number[codes]), *rest], mark=[int(number[-1]), *rest], sizes=[_packed(sizes), *rest])
+                base=sums(base[codes], bounds), rare=_lists(signed(hashes), ~exact[codes], bounds), words=[np.append(kinds, START).tobytes(), *rest],
+                codes=[_packed(codes), *rest], mark=[len(kinds), *rest], sizes=[_packed(sizes), *rest])
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in carried), *out.columns], names=[*carried, *schema.names])
 
-    def finish(history, word, of, bounds, levels, pair_levels):
-        counts = count_of(levels)
-        own = ((counts + 0.5) / whole)[word]
-        weight, extra = counts[history], pseudo[levels[history]]
-        seen = np.minimum(count_of(pair_levels), weight)
-        chance = np.where(weight > 0, (seen + extra * own) / (weight + extra), own)
-        return sums(np.log10(np.minimum(chance, 1.0))[of], bounds)
+    def finish(staged, answers):
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        if staged.num_rows:
+            words, keys, history, word, of, bounds = _chunk(staged.combine_chunks().to_batches()[0], 0)
+            answers = answers.sort_by("first")
+            levels, pair_levels = _answered(words, answers["words"], blocks, slices), _answered(keys, answers["pairs"], blocks, slices)
+            counts = count_of(levels)
+            own = ((counts + 0.5) / whole)[word]
+            weight, extra = counts[history], pseudo[levels[history]]
+            seen = np.minimum(count_of(pair_levels), weight)
+            chance = np.where(weight > 0, (seen + extra * own) / (weight + extra), own)
+            scores = sums(np.log10(np.minimum(chance, 1.0))[of], bounds)
+            rows = staged["chunk"][0].as_py() + np.arange(len(scores))
+        return pa.table({"_row": pa.array(rows, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     head = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
     scored, scored_path = write_table(docs.select(*carried, text_col).mapInArrow(run, f"{head}, {columns}"), "lm-scored")
     chunked = scored.filter(F.col("words").isNotNull()).select(F.col("_row").alias("chunk"), "words", "codes", "mark", "sizes")
-    paired, paired_path = _probed(chunked, model, finish)
+    answers, answers_path = _probed(chunked, model, blocks)
+    with shuffles_removed(spark):
+        paired, paired_path = write_table(chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "_row long, score double"), "lm-scores")
+    delete_path(spark, answers_path)
     rare = scored.select("_row", F.explode("rare").alias("h")).join(model.words, "h", "left")
     rare = rare.groupBy("_row").agg(
         F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / whole)).alias("_rare_base"), F.count("c").alias("_rare_known"))
@@ -436,7 +430,8 @@ def score_texts(docs, model, id_col="doc_id", text_col="text", keep=()):
     result = scored.select(*carried, "_row", "n_tokens", "known", "base").join(paired, "_row").join(rare, "_row", "left").select(
         *carried, "n_tokens", (F.col("known") + F.coalesce("_rare_known", none)).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("_rare_base", F.lit(0.0))).alias("base_score"), "score")
-    result, _ = write_table(result, "lm-result")
+    with shuffles_removed(spark):
+        result, _ = write_table(result, "lm-result")
     for path in (scored_path, paired_path):
         delete_path(spark, path)
     shared.unpersist()
