@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, chunks, column_of, record, small_batches, sums, text_bytes
 
 ORDER = 4
-# Labelled rows per language that a model is fitted on, and nodes a tree may have.
+# Labelled rows per language that a model is fitted on.
 ROWS_PER_LANGUAGE = 1500
-MAX_NODES = 400_000
 CACHED_KEYS = 1_000_000
 UNKNOWN = "und"
 
@@ -76,8 +75,7 @@ def fit(labelled, text_col="text", lang_col="lang", key_col="doc_id", rows_per_l
     """Fit on about `rows_per_language` rows of each language, chosen by a hash of the key.
 
     Rows without text or language are left out. Counting is done in the tasks and summed by
-    Spark; the collected trees are bounded by the sample and by `MAX_NODES` per order,
-    beyond which nodes seen once go.
+    Spark; the collected trees keep every node of the sample, which bounds them.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"), F.xxhash64(key_col).alias("h"))
@@ -118,8 +116,6 @@ def _trees(counted, languages):
     for order in range(ORDER + 1):
         part = key & np.uint64((1 << (8 * (order + 1))) - 1)
         table = pd.DataFrame({"key": part, "lang": lang, "n": n}).groupby(["key", "lang"], as_index=False)["n"].sum()
-        if len(table) > MAX_NODES * len(languages) and order:
-            table = table[table["n"] > 1]
         grams, at = np.unique(table["key"].to_numpy(), return_inverse=True)
         contexts, up = np.unique(grams >> np.uint64(8), return_inverse=True)
         counts = np.zeros((len(grams), len(languages)))
