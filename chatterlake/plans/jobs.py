@@ -44,10 +44,10 @@ from ..sources.csv import find_csv, output_path, read_comments, read_csv, write_
 from ..sources.json import read_json_comments
 from ..sources.keywords import keyword_list, read_keywords
 from ..sources.parquet import verify_parquet, write_parquet
-from ..sources.storage import list_files, metadata_path, path_exists, relative_path, spread, staged, total_size, write_table
-from .trees import convert_files
+from ..sources.storage import list_files, metadata_path, path_exists, reader_path, relative_path, spread, staged, total_size, write_table
+from .trees import convert_files, same_files
 
-# Pairs of two trees are independent Spark jobs; this many are submitted at a time.
+# Differing pairs of two trees are independent Spark jobs; this many are submitted at a time.
 CONCURRENT_FILES = 8
 
 
@@ -322,20 +322,28 @@ def compare_csv_parquet(spark, csv_path, parquet_path, mode="compat", samples=0)
 def compare_folders(spark, csv_dir, parquet_dir, output=None, mode="compat", samples=0):
     """Compare two folder trees pair by pair, matched by relative path without extension.
 
-    A Parquet table may be a file or a folder with that extension. Each pair is a Spark job that
-    gives one row; several run at a time. A file without a partner is reported with NULL
-    counts, one that cannot be read with its error in `message`; neither stops the others.
-    With `samples`, `differing` lists rows that the other side lacks. Writes JSON when
-    `output` is given.
+    A Parquet table may be a file or a folder with that extension. Pairs alike in header and types
+    are compared together by fingerprints (`trees`); only those that differ are compared by their
+    rows, several at a time. A file without a partner is reported with NULL counts, one that
+    cannot be read with its error in `message`; neither stops the others. With `samples`,
+    `differing` lists rows that the other side lacks. Writes JSON when `output` is given.
     """
     csv_files = _tables(spark, csv_dir, ".csv")
     parquet_files = _tables(spark, parquet_dir, ".parquet", folders=True)
+    both = {csv_files[stem]: parquet_files[stem] for stem in csv_files.keys() & parquet_files.keys()}
+    same, failed = same_files(spark, both, _root_of(parquet_files), mode=mode) if both else ({}, {})
 
     def compare(stem):
         if stem not in csv_files or stem not in parquet_files:
             return (stem, *[None] * 6, False, None, "no partner")
+        path, table = csv_files[stem], parquet_files[stem]
+        if path in failed:
+            return (stem, *[None] * 6, False, None, failed[path])
+        if same.get(path):
+            rows, left_only, right_only = same[path]
+            return (stem, rows, rows, 0, 0, left_only, right_only, not left_only and not right_only, [] if samples else None, None)
         try:
-            report = compare_csv_parquet(spark, csv_files[stem], parquet_files[stem], mode, samples).first()
+            report = compare_csv_parquet(spark, reader_path(path), reader_path(table), mode, samples).first()
             return (stem, *report[:7], report["differing"] if samples else None, None)
         except Exception as error:
             return (stem, *[None] * 6, False, None, str(error).split("\n")[0])
@@ -353,21 +361,27 @@ def compare_folders(spark, csv_dir, parquet_dir, output=None, mode="compat", sam
 
 
 def _tables(spark, folder, extension, folders=False):
-    """Tables below a folder: relative path without its last extension -> path.
+    """Tables below a folder: relative path without its last extension -> path as the metadata column spells it.
 
     With `folders`, a folder with the extension is one table, whatever files it holds.
     """
     root, found = folder.rstrip("/"), {}
     for row in list_files(spark, folder, extension).select("path").collect():
-        relative = relative_path(spark, row["path"], root)
+        path, relative = row["path"], relative_path(spark, row["path"], root)
         if folders:
             parts = relative.split("/")
             at = next(i for i, part in enumerate(parts) if part.lower().endswith(extension))
-            relative = "/".join(parts[: at + 1])
-        found[relative[: -len(extension)]] = f"{root}/{relative}"
+            path, relative = path[: len(path) - len("".join("/" + p for p in parts[at + 1 :]))], "/".join(parts[: at + 1])
+        found[relative[: -len(extension)]] = metadata_path(spark, path)
     return found
 
 
+def _root_of(tables):
+    """The folder that the tables of a tree are below, spelled as they are."""
+    stem, path = next(iter(tables.items()))
+    return "/".join(path.split("/")[: -1 - stem.count("/")])
+
+
 def examine_parquet(spark, path, samples=10):
     """Schema, column profile and some rows of a Parquet table."""
     table = spark.read.parquet(path)

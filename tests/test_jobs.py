@@ -6,6 +6,7 @@ from conftest import column, rows
 from pyspark.sql import functions as F
 
 from chatterlake.operators import classify
+from chatterlake.operators.validate import fingerprints
 from chatterlake.plans import jobs
 from chatterlake.sources import csv
 from chatterlake.streaming.comments import prepare_stream, write_stream
@@ -178,6 +179,67 @@ def test_trees_are_converted_in_few_jobs(spark, tmp_path):
     assert sorted(rows(even)) == [("t6", 6.5), ("u", 2.0)]
 
 
+def test_equal_trees_are_compared_in_few_jobs(spark, tmp_path):
+    """Only pairs that differ cost jobs of their own."""
+    def jobs_of(files, name):
+        root, target = tmp_path / name, tmp_path / f"{name}-out"
+        (root / "a b").mkdir(parents=True)
+        for k in range(files):
+            (root / "a b" / f"f{k} [{k}] 100%.csv").write_text(f"x,like_count,none\nt{k},{k},\nu,2,\n" if k % 2 else f'x,like_count,none\n"l{k}\nm",{k},1\n')
+        jobs.convert_tree(spark, str(root), str(target))
+        spark.sparkContext.setJobGroup(name, name)
+        got = jobs.compare_folders(spark, str(root), str(target), samples=2).collect()
+        assert len(got) == files
+        for r in got:
+            n = 1 + int(r.file.split(" ")[1][3:]) % 2
+            assert r[1:] == (n, n, 0, 0, "", "", True, [], None), r
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    few, many = jobs_of(4, "same-few"), jobs_of(24, "same-many")
+    assert many <= few + 12  # a footer for each table with a column that has no value
+
+
+def test_differing_trees(spark, tmp_path):
+    """Pairs that the fingerprints do not settle give what comparing them one by one gives."""
+    root, target = tmp_path / "left", tmp_path / "right"
+    root.mkdir()
+    lines = {
+        "same": "x,y\na,1\nb,2\n", "copies": "x,y\na,1\na,1\nb,2\n", "nulls": "x,y\n,1\nb,2\n", "more": "x,y\na,1\n",
+        "fewer": "x,y\na,1\n", "other": "x,y\na,1\n", "empty": "x,y\n", "broken": "x,y\na,1\n", "plain": "x,y\na,1\n",
+    }
+    for name, text in lines.items():
+        (root / f"{name}.csv").write_text(text)
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(target / f"{name}.parquet"))
+
+    put("same", [("b", 2), ("a", 1)], "x string, y bigint")
+    put("copies", [("a", 1), ("b", 2), ("b", 2)], "x string, y bigint")
+    put("nulls", [("1", None), ("b", 2)], "x string, y bigint")
+    put("more", [("a", 1, "z")], "x string, y bigint, z string")
+    put("fewer", [("a",)], "x string")
+    put("other", [("a", "1")], "x string, y string")
+    put("empty", [], "x string, y bigint")
+    put("plain", [("a", 1)], "x string, y bigint")
+    (target / "broken.parquet").write_text("no table")
+    got = {r.file: tuple(r)[1:8] for r in jobs.compare_folders(spark, str(root), str(target)).collect()}
+    assert got.pop("broken") == (*[None] * 6, False)
+    assert got == {
+        "same": (2, 2, 0, 0, "", "", True), "copies": (3, 3, 1, 1, "", "", False), "nulls": (2, 2, 1, 1, "", "", False),
+        "more": (1, 1, 0, 0, "", "z", False), "fewer": (1, 1, 0, 0, "y", "", False), "other": (1, 1, 0, 0, "", "", True),
+        "empty": (0, 0, 0, 0, "", "", True), "plain": (1, 1, 0, 0, "", "", True),
+    }
+
+
+def test_fingerprints(spark):
+    """They follow what grouping takes as equal: 0.0 and -0.0, but not a NULL in another column."""
+    table = spark.createDataFrame(
+        [("a", 0.0, None, 1), ("b", -0.0, None, 1), ("c", 0.0, 1, None), ("d", 0.0, None, 1), ("d", 0.0, None, 1)], "k string, x double, y int, z int")
+    got = {r["_key"]: tuple(r)[1:] for r in fingerprints(table, "k", ["x", "y", "z"]).collect()}
+    assert got["a"] == got["b"] != got["c"] and got["a"] != got["d"] and got["d"][0] == 2
+    with pytest.raises(ValueError):
+        fingerprints(spark.createDataFrame([("a", [1])], "k string, x array<int>"), "k", ["x"])
+
+
 def test_relative_paths(spark, tmp_path):
     inner = tmp_path / "data" / "a" / "x.csv"
     inner.mkdir(parents=True)
