@@ -86,6 +86,23 @@ def char_grams(text, n=3):
     return F.concat(*[F.regexp_extract_all(F.substr(lowered, F.lit(i + 1)), cut, F.lit(0)) for i in range(n)])
 
 
+def chunks(text, size, overlap=0):
+    """The lower-cased text as an array of chunks, one alone for a text of at most `size` characters.
+
+    Chunks have `size` characters and the `overlap` characters that follow, so that runs of
+    `overlap + 1` characters each stand in exactly one; without an overlap a chunk goes on to the end
+    of the word it stops at or before, so that each word does. Fixed counts keep the patterns
+    free of recursion, whatever characters there are.
+    """
+    text = as_column(text)
+    if overlap:
+        pattern, group = f"(?s)(?=(.{{{size + overlap}}}|.+))(?:.{{{size}}}|.+)", 1
+    else:
+        pattern, group = f"(?s)(?:.{{{size}}}|.+){WORD}*+", 0
+    cut = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group))
+    return F.when(F.char_length(text) > size, cut).otherwise(F.array(F.lower(text)))
+
+
 def percent(part, whole, digits=1):
     """`part` as a percentage of `whole`; NULL when `whole` is zero."""
     return F.round(100.0 * as_column(part) / F.nullif(as_column(whole), F.lit(0)), digits)

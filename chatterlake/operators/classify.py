@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed_values import MODEL_BATCH, NEUTRAL_LABEL, NEUTRAL_SCORE, UNKNOWN_LANGUAGE
-from ..functions.text import char_grams, fill_blank, is_language_text, words
+from ..functions.text import char_grams, chunks, fill_blank, is_language_text, words
 from ..sources.storage import delete_path, write_table
 
 # A model is broadcast only while its estimated size stays below this many bytes.
 BROADCAST_LIMIT = 256 * 1024 * 1024
 _ROW_OVERHEAD = 96
+# Features are listed for so many characters at a time, however long a text is.
+CHUNK = 100_000
 
 
 @dataclass
@@ -47,7 +49,16 @@ def _features(kind, text_col):
     return char_grams(text_col, 3) if kind == "char_grams" else words(text_col, 1)
 
 
-def fit(df, text_col, label_col, features="char_grams"):
+def _overlap(kind):
+    return 2 if kind == "char_grams" else 0
+
+
+def _in_chunks(df, kind, text, chunk):
+    """Texts in chunks `_chunk` that together have the features of the whole, beside the columns of `df`."""
+    return df.select("*", F.explode(chunks(text, chunk, _overlap(kind))).alias("_chunk"))
+
+
+def fit(df, text_col, label_col, features="char_grams", chunk=CHUNK):
     """Fit a model on labelled texts.
 
     Documents per class come from the label column alone. Features are counted in a
@@ -63,7 +74,8 @@ def fit(df, text_col, label_col, features="char_grams"):
     total = sum(row["count"] for row in documents)
 
     counted = (
-        df.select(label, F.explode(_features(features, text_col)).alias("feature"))
+        _in_chunks(df.select(label, F.col(text_col).alias("_text")), features, "_text", chunk)
+        .select("_label", F.explode(_features(features, "_chunk")).alias("feature"))
         .groupBy("feature")
         .agg(*[F.count_if(F.col("_label") == c).alias(f"n_{i}") for i, c in enumerate(classes)])
     )
@@ -83,7 +95,7 @@ def fit(df, text_col, label_col, features="char_grams"):
     )
 
 
-def _feature_sums(df, key_col, text, model, broadcast_limit):
+def _feature_sums(df, key_col, text, model, broadcast_limit, chunk):
     """One row per text: number of features `_k` and summed log weights `_s0`, `_s1`, …
 
     The join key is a 64-bit hash of the feature, which Spark looks up much faster than
@@ -95,9 +107,14 @@ def _feature_sums(df, key_col, text, model, broadcast_limit):
         F.col("feature").alias("_known"),
         *[F.log1p(f"n_{i}").alias(f"_w{i}") for i in n],
     )
-    listed = df.select(F.col(key_col).alias("_key"), _features(model.features, text).alias("_features"))
+    whole = df.select(F.col(key_col).alias("_key"), text.alias("_text"))
+    # Only a text of several chunks is gone through twice, for its number of features.
+    pieces = chunks("_text", chunk, _overlap(model.features))
+    many = F.aggregate(pieces, F.lit(0), lambda found, c: found + F.size(_features(model.features, c)))
+    counted = whole.select("_key", "_text", F.when(F.char_length("_text") > chunk, many).alias("_many"))
+    listed = _in_chunks(counted, model.features, "_text", chunk).select("_key", "_many", _features(model.features, "_chunk").alias("_features"))
     # Counted before the explode, so that the list itself is not carried along with each of its items.
-    sized = listed.select("_key", F.coalesce(F.size("_features"), F.lit(0)).alias("_k"), "_features")
+    sized = listed.select("_key", F.coalesce("_many", F.size("_features"), F.lit(0)).alias("_k"), "_features")
     exploded = sized.select("_key", "_k", F.explode_outer("_features").alias("_feature"))
     known = F.col("_feature") == F.col("_known")
     if model.estimated_bytes <= broadcast_limit:
@@ -119,14 +136,14 @@ def _feature_sums(df, key_col, text, model, broadcast_limit):
 
 
 def score(df, key_col, text_col, model, label_col="label", score_col="score",
-          broadcast_limit=BROADCAST_LIMIT, without_features=None):
+          broadcast_limit=BROADCAST_LIMIT, without_features=None, chunk=CHUNK):
     """Best class and its probability per text: (`key_col`, `label_col`, `score_col`).
 
-    `key_col` must be unique. All features of a text are exploded in one task and
-    summed there, so the shuffle carries one row of numbers per text and no text.
+    `key_col` must be unique. All features of a text are exploded in one task, a chunk at
+    a time, and summed there, so the shuffle carries one row of numbers per text and no text.
     `without_features` is the (label, score) of texts that have no feature at all.
     """
-    sums = _feature_sums(df, key_col, F.col(text_col), model, broadcast_limit)
+    sums = _feature_sums(df, key_col, F.col(text_col), model, broadcast_limit, chunk)
     log_scores = F.array(
         *[
             F.lit(model.log_priors[i]) - F.col("_k") * F.lit(model.log_denominators[i]) + F.col(f"_s{i}")

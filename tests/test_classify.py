@@ -49,6 +49,37 @@ def test_language_scores(spark, model, limit):
             assert got[key][0] == label and abs(got[key][1] - score) < 1e-9
 
 
+@pytest.mark.parametrize("limit", [classify.BROADCAST_LIMIT, 0])
+@pytest.mark.parametrize("kind", ["char_grams", "words"])
+def test_chunks_change_nothing(spark, kind, limit):
+    """Whatever the size of chunks, models and scores are those of whole texts."""
+    texts = [t for _, t in TRAIN] + ["the \U0001F600cat\U0001F600 \U0001F600", "thethethethethe the", " a  b ", "", None, "LE Chat\nΣΑΣ Σ İx", "\U00010400\U00010401ab"]
+    train = spark.createDataFrame(TRAIN, "lang string, text string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    def run(chunk):
+        model = classify.fit(train, "text", "lang", kind, chunk=chunk)
+        table = sorted(rows(model.table))
+        sums = classify._feature_sums(frame, "id", F.col("text"), model, limit, chunk)
+        got = sorted((r[0], r[1], *[round(v, 9) for v in r[2:]]) for r in rows(sums))
+        model.remove()
+        return table, got
+
+    whole = run(classify.CHUNK)
+    if kind == "char_grams":
+        lengths = [len((t or "").lower()) for t in texts]
+        assert [r[1] for r in whole[1]] == [max(n - 2, 0) for n in lengths]
+    for chunk in (1, 2, 3, 7):
+        assert run(chunk) == whole
+
+
+def test_one_very_long_text(spark, model):
+    """Millions of characters of mixed width are scored in lists of bounded length."""
+    frame = spark.createDataFrame([(1, "the thing")], "id int, text string").select(
+        "id", F.repeat(F.lit("the \U0001F600 thing"), 400_000).alias("text"))
+    sums = classify._feature_sums(frame, "id", F.col("text"), model, classify.BROADCAST_LIMIT, classify.CHUNK)
+    assert [r[1] for r in rows(sums)] == [400_000 * 11 - 2]
+
+
 def test_model_join_is_broadcast_only_within_its_limit(spark, model, capsys):
     frame = spark.createDataFrame(TEXTS, "id int, text string")
     classify.score_languages(frame, "id", "text", model).explain()
