@@ -9,21 +9,57 @@ tried only where a word stands that can open one. One pass, no shuffle.
 
 import re
 
-from .common import LOWER, arrow_schema, column_of, record
+from .common import LOWER, arrow_schema, column_of, record, small_batches
 
 # Phrases that count as license wording by themselves.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# License and notice templates with their labels.
+# License texts, headers and notices with their labels.
 TEMPLATES = {
+    "agpl-header": "free software you can redistribute it and or modify it under the terms of the gnu affero general public license "
+                   "<<optional>>version <<words version 1 2>><</optional>> as published by the free software foundation",
     "apache": "licensed under the apache license <<optional>>version <<words version 1 3>><</optional>>",
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+                     "you may obtain a copy of the license at <<words address 1 10>> unless required by applicable law or agreed to in writing "
+                     "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+                     "either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "as-is": "software is provided as is",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-nc": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> cc by nc <<words version 1 2>>",
-    "cc-by-sa": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> cc by sa <<words version 1 2>>",
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+                    "<<words bullet 0 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+                    "<<words bullet 0 1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+                    "in the documentation and or other materials provided with the distribution",
+    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+                    "<<words bullet 0 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+                    "<<words bullet 0 1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+                    "in the documentation and or other materials provided with the distribution "
+                    "<<words bullet 0 1>> neither the name of <<words holder 1 12>> may be used to endorse or promote products derived from this software "
+                    "without specific prior written permission",
+    "bsd-warranty": "software is provided by <<words holder 1 12>> as is and any express or implied warranties including but not limited to "
+                    "the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "cc-by-nc": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> cc by nc <<words version 0 2>>",
+    "cc-by-sa": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> cc by sa <<words version 0 2>>",
     "copyright": "copyright <<optional>>c<</optional>> <<words holder 1 8>> all rights reserved",
     "gnu-gpl": "licensed under the <<optional>>terms of the<</optional>> gnu general public license "
-               "<<optional>>as published by the free software foundation<</optional>> <<optional>>version<</optional>> <<words version 1 1>>",
+               "<<optional>>as published by the free software foundation<</optional>> <<optional>>version <<words version 1 1>><</optional>>",
+    "gpl-header": "free software you can redistribute it and or modify it under the terms of the gnu general public license "
+                  "<<optional>>version <<words version 1 2>><</optional>> as published by the free software foundation",
+    "isc": "permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted "
+           "provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-header": "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
+                   "<<optional>>version <<words version 1 2>><</optional>> as published by the free software foundation",
+    "lgpl-2-header": "free software you can redistribute it and or modify it under the terms of the gnu library general public license "
+                     "<<optional>>version <<words version 1 2>><</optional>> as published by the free software foundation",
     "mit": "<<optional>>released<</optional>> under the <<optional>>terms of the<</optional>> mit license",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+                "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+                "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+                "the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> "
+                "shall be included in all copies or substantial portions of the software",
+    "mit-warranty": "software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+                    "fitness for a particular purpose and noninfringement",
+    "mpl-header": "source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file "
+                  "you can obtain one at <<words protocol 0 1>> <<optional>>www<</optional>> mozilla org mpl 2 0",
     "spdx": "spdx license identifier <<words expression 1 3>>",
 }
 
@@ -132,6 +168,7 @@ def license_scan(docs, id_col="doc_id", text_col="text", templates=None, phrases
     empty text has no words, no labels (empty text) and score 0. Repeated rows are scanned
     each; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     columns = _COLUMNS + ", spans array<string>"
     schema = arrow_schema(columns)

@@ -62,6 +62,49 @@ def test_licenses(spark):
     assert got[len(TEXTS)].spans == ["apache:0-5"] and got[len(TEXTS) + 5].labels == "copyright,reserved" and got[len(TEXTS) + 6].labels == "reserved"
 
 
+BODIES = {
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+        the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+        notice {} shall be included in all copies or substantial portions of the Software.""",
+    "as-is,mit-warranty": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "gpl,gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License {} as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "gpl,lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "bsd,bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. * Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+        notice and this permission notice appear in all copies.""",
+    "mpl-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
+        obtain one at https://mozilla.org/MPL/2.0/.""",
+    "apache,apache-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+        copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
+    "cc-by,cc-by-nc": "licensed under CC BY-NC",
+    "gnu-gpl,gpl": "Licensed under the GNU General Public License",
+}
+
+
+def test_license_texts(spark):
+    """Whole texts and headers are accepted with and without what may vary, and not with a mandatory word changed."""
+    texts, wanted = [], []
+    for labels, body in BODIES.items():
+        for part in ("", "(including the next paragraph)" if "mit" in labels else "version 3"):
+            texts.append("Preamble 2020. " + body.format(part) + " More text.")
+            wanted.append(labels)
+    broken = [body.format("").replace("copy", "c0py").replace("Free Software Foundation", "Foundation").replace("WARRANTY", "WARRANT").replace("Redistributions", "Reductions")
+              for labels, body in BODIES.items() if labels not in ("cc-by,cc-by-nc", "gnu-gpl,gpl")]
+    got = {r.doc_id: r for r in licenses.license_scan(frame(spark, texts + broken)).collect()}
+    assert [got[i].labels for i in range(len(texts))] == wanted
+    assert [got[len(texts) + i].labels for i in range(len(broken))] == ["", "as-is", "gpl", "gpl", "bsd", "", "", "apache"]
+    for i, text in enumerate(texts + broken):
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == plain_license(text)
+
+
 def test_automaton():
     a = licenses.Automaton("a <<optional>>b <<optional>>c<</optional>><</optional>> <<words x 0 2>> d")
     for text, good in (("a d", True), ("a b d", True), ("a b c d", True), ("a c d", True), ("a x y d", True), ("a b x y z d", False), ("a b c x y d", True), ("a", False)):
