@@ -5,7 +5,8 @@ holds its smallest shingle hashes, as many as its size class needs for the thres
 document with the share `containment` of an item's shingles lacks fewer of them than
 the sketch has, so every such document meets the sketch. Documents that do are
 verified by exact shingle containment. Sketches and item shingles are broadcast in blocks
-of bounded size; each block is one pass over the documents without a shuffle.
+of bounded size; each block is one pass over the documents without a shuffle. A few blocks are
+held at a time; where there are more, what they found is written before the next ones are built.
 """
 
 from functools import reduce
@@ -15,12 +16,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from ..sources.storage import delete_path, write_table
 from .common import ALNUM, Hasher, arrow_schema, chunks, column_of, gram_hashes, record, row_bounds, rows_of, small_batches, text_bytes, word_spans
 
 WORDS = 5
 CONTAINMENT = 0.8
 # Bytes of item text that one broadcast block may hold.
 BLOCK_BYTES = 8 << 20
+# Blocks that are broadcast at a time.
+BLOCKS_AT_ONCE = 4
 
 
 def item_shingles(text, words=WORDS):
@@ -85,16 +89,28 @@ class Index:
 
 
 def _indexes(spark, items, item_col, item_text_col, words, containment, block_bytes):
-    """Broadcast indexes of the items, each of about `block_bytes` of text, one after the other."""
+    """(broadcast indexes of some blocks, whether these are all), block after block.
+
+    A block has about `block_bytes` of item text. Unless they are all, the caller ends the pass over
+    them before it asks for the next ones; then they are destroyed.
+    """
     small_batches(spark)
     wanted = items.select(F.col(item_col).alias("key"), F.col(item_text_col).alias("text")).filter("text is not null")
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = int(total // block_bytes) + 1
-    for number in range(blocks):
+
+    def build(number):
         own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == number)
         table = own.toArrow()
         texts = pc.utf8_lower(table["text"]).to_pylist()
-        yield spark.sparkContext.broadcast(Index(list(zip(range(len(texts)), texts)), table["key"].combine_chunks(), words, containment))
+        return spark.sparkContext.broadcast(Index(list(zip(range(len(texts)), texts)), table["key"].combine_chunks(), words, containment))
+
+    for first in range(0, blocks, BLOCKS_AT_ONCE):
+        held = [build(number) for number in range(first, min(first + BLOCKS_AT_ONCE, blocks))]
+        yield held, blocks <= BLOCKS_AT_ONCE
+        if blocks > BLOCKS_AT_ONCE:
+            for index in held:
+                index.destroy()
 
 
 def _lowered(batch, text_col):
@@ -107,7 +123,7 @@ def find_contained(docs, items, id_col="doc_id", text_col="text", item_col="item
 
     Columns: the ids, `n_item` and `n_shared` shingles, `containment`. Items without words match
     nothing, missing texts are empty, repeated documents or items give a row each. Items of
-    any number are searched in blocks of about `block_bytes` of text.
+    any number are searched in blocks of about `block_bytes` of text, `BLOCKS_AT_ONCE` in a pass.
     """
     item_kind, kind = dict(items.dtypes)[item_col], dict(docs.dtypes)[id_col]
     columns = f"`{id_col}` {kind}, `{item_col}` {item_kind}, n_item long, n_shared long, containment double"
@@ -126,20 +142,30 @@ def find_contained(docs, items, id_col="doc_id", text_col="text", item_col="item
 
         return docs.select(id_col, text_col).mapInArrow(run, columns)
 
-    found = [search(index) for index in _indexes(docs.sparkSession, items, item_col, item_text_col, words, containment, block_bytes)]
+    found = []
+    for held, all_blocks in _indexes(docs.sparkSession, items, item_col, item_text_col, words, containment, block_bytes):
+        pairs = reduce(lambda a, b: a.union(b), [search(index) for index in held])
+        found.append(pairs if all_blocks else write_table(pairs, "contained")[0])
     return reduce(lambda a, b: a.union(b), found)
 
 
 def without_contained(docs, items, text_col="text", item_col="item_id", item_text_col="text",
                       words=WORDS, containment=CONTAINMENT, block_bytes=BLOCK_BYTES):
     """The rows of `docs`, with all their columns, that hold none of the test items."""
-    for index in _indexes(docs.sparkSession, items, item_col, item_text_col, words, containment, block_bytes):
-
-        def run(batches, index=index):
-            for batch in chunks(batches, text_col):
-                good = np.ones(batch.num_rows, bool)
-                good[[row for row, _, _ in index.value.search(*_lowered(batch, text_col))]] = False
-                yield batch.filter(pa.array(good))
-
-        docs = docs.mapInArrow(run, docs.schema)
+    spark, before = docs.sparkSession, None
+    for held, all_blocks in _indexes(spark, items, item_col, item_text_col, words, containment, block_bytes):
+        for index in held:
+
+            def run(batches, index=index):
+                for batch in chunks(batches, text_col):
+                    good = np.ones(batch.num_rows, bool)
+                    good[[row for row, _, _ in index.value.search(*_lowered(batch, text_col))]] = False
+                    yield batch.filter(pa.array(good))
+
+            docs = docs.mapInArrow(run, docs.schema)
+        if not all_blocks:
+            docs, path = write_table(docs, "clean")
+            if before:
+                delete_path(spark, before)
+            before = path
     return docs
