@@ -18,19 +18,22 @@ def components(edges, a, b):
     Alternates the large-star and small-star steps: every node points its larger, then its
     smaller neighbours at its smallest one, until nothing changes. Each round is written to the
     shared folder, so lineage stays short and a lost executor costs little. A node with very
-    many neighbours is only ever met in aggregates and joins, which Spark splits.
+    many neighbours is only ever met in aggregates, which fold it per task first, and in joins of
+    written tables that no aggregate shares a stage with, which adaptive execution can split.
     """
     spark = edges.sparkSession
     current, path = write_table(_smaller(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
     mark = _mark(current)
     for _ in range(MAX_ROUNDS):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        best = large.groupBy("u").agg(F.min("v").alias("m"))
+        least, least_path = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large, large_path = write_table(
+            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), "large")
+        best, best_path = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "best")
         small = large.join(best, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(best.select("u", F.col("m").alias("v")))
         after, after_path = write_table(_smaller(small), "edges")
-        delete_path(spark, path)
+        for used in (path, least_path, large_path, best_path):
+            delete_path(spark, used)
         current, path, before, mark = after, after_path, mark, _mark(after)
         if mark == before:
             break

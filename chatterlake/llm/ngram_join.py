@@ -272,6 +272,7 @@ def ngram_components(docs, id_col="doc_id", text_col="text", words=WORDS, percen
         delete_path(spark, path)
 
     labelled = sets.join(joined, "sig", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "sig")))
-    lowest = labelled.filter("n > 0").groupBy("component").agg(F.min("id").alias("lowest"))
+    # Written first, so that the join of a component with most rows can be split.
+    lowest, _ = write_table(labelled.filter("n > 0").groupBy("component").agg(F.min("id").alias("lowest")), "lowest")
     return labelled.join(lowest, "component", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"))
