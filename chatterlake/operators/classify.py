@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed_values import MODEL_BATCH, NEUTRAL_LABEL, NEUTRAL_SCORE, UNKNOWN_LANGUAGE
-from ..functions.text import char_grams, chunks, fill_blank, is_language_text, words
+from ..functions.text import chunks, fill_blank, is_language_text, words
 from ..sources.storage import delete_path, write_table
 
 # A model is broadcast only while its estimated size stays below this many bytes.
@@ -22,6 +22,12 @@ BROADCAST_LIMIT = 256 * 1024 * 1024
 _ROW_OVERHEAD = 96
 # Features are listed for so many characters at a time, however long a text is.
 CHUNK = 100_000
+# Characters whose features a task counts by text, where the model is not broadcast.
+LETTERS_PER_TASK = 1_000_000
+# Characters whose features a task of that join has.
+LETTERS_PER_JOIN_TASK = 4_000_000
+# An encoding with four bytes for every character.
+CODE_POINTS = "UTF-32"
 
 
 @dataclass
@@ -45,17 +51,44 @@ class Model:
         delete_path(self.table.sparkSession, self.path)
 
 
-def _features(kind, text_col):
-    return char_grams(text_col, 3) if kind == "char_grams" else words(text_col, 1)
-
-
 def _overlap(kind):
     return 2 if kind == "char_grams" else 0
 
 
+def _coded(kind, feature):
+    """A feature as the joins and counts compare it: a 3-gram as its code points of four bytes each."""
+    return F.encode(feature, CODE_POINTS) if kind == "char_grams" else feature
+
+
+def _content(kind, chunk):
+    """What the features of a chunk are taken from: all its code points, or the list of its words."""
+    return _coded(kind, chunk) if kind == "char_grams" else words(chunk, 1)
+
+
+def _size(kind, content):
+    """Number of features in `_content`."""
+    if kind == "char_grams":
+        return F.greatest((F.octet_length(content) / 4).cast("int") - 2, F.lit(0))
+    return F.size(content)
+
+
+def _exploded(df, kind, *columns, explode=F.explode):
+    """`columns` with one `_feature`, as coded, of the column `_content` a row.
+
+    A 3-gram is cut out by its place, which is the same work for every place of the code points; no list
+    of all 3-grams is made.
+    """
+    if kind == "char_grams":
+        places = F.when(F.octet_length("_content") >= 12, F.sequence(F.lit(1), F.octet_length("_content") - 11, F.lit(4)))
+        found = df.select(*columns, "_content", explode(places).alias("_at"))
+        return found.select(*columns, F.substring(F.col("_content"), F.col("_at"), F.lit(12)).alias("_feature"))
+    return df.select(*columns, explode("_content").alias("_feature"))
+
+
 def _in_chunks(df, kind, text, chunk):
-    """Texts in chunks `_chunk` that together have the features of the whole, beside the columns of `df`."""
-    return df.select("*", F.explode(chunks(text, chunk, _overlap(kind))).alias("_chunk"))
+    """Texts in chunks whose `_content` together has the features of the whole, beside the columns of `df`."""
+    found = df.select("*", F.explode(chunks(text, chunk, _overlap(kind))).alias("_chunk"))
+    return found.withColumn("_content", _content(kind, F.col("_chunk"))).drop("_chunk")
 
 
 def fit(df, text_col, label_col, features="char_grams", chunk=CHUNK):
@@ -73,13 +106,14 @@ def fit(df, text_col, label_col, features="char_grams", chunk=CHUNK):
     classes = [row["_label"] for row in documents]
     total = sum(row["count"] for row in documents)
 
+    listed = _in_chunks(df.select(label, F.col(text_col).alias("_text")), features, "_text", chunk)
     counted = (
-        _in_chunks(df.select(label, F.col(text_col).alias("_text")), features, "_text", chunk)
-        .select("_label", F.explode(_features(features, "_chunk")).alias("feature"))
-        .groupBy("feature")
+        _exploded(listed, features, "_label")
+        .groupBy("_feature")
         .agg(*[F.count_if(F.col("_label") == c).alias(f"n_{i}") for i, c in enumerate(classes)])
     )
-    table, path = write_table(counted, "model")
+    feature = F.decode("_feature", CODE_POINTS) if features == "char_grams" else F.col("_feature")
+    table, path = write_table(counted.select(feature.alias("feature"), *[f"n_{i}" for i in range(len(classes))]), "model")
     sums = table.agg(
         F.count("*").alias("rows"),
         *[F.coalesce(F.sum(f"n_{i}"), F.lit(0)).alias(f"n_{i}") for i in range(len(classes))],
@@ -102,20 +136,24 @@ def _feature_sums(df, key_col, text, model, broadcast_limit, chunk):
     a string; the feature itself is compared afterwards, so a collision adds nothing.
     """
     n = range(len(model.classes))
-    weights = model.table.select(
-        F.xxhash64("feature").alias("_hash"),
-        F.col("feature").alias("_known"),
-        *[F.log1p(f"n_{i}").alias(f"_w{i}") for i in n],
-    )
+    kind = model.features
+    weights = model.table.select(_coded(kind, F.col("feature")).alias("_known"), *[F.log1p(f"n_{i}").alias(f"_w{i}") for i in n])
+    weights = weights.select(F.xxhash64("_known").alias("_hash"), "*")
     whole = df.select(F.col(key_col).alias("_key"), text.alias("_text"))
+    if model.estimated_bytes > broadcast_limit:
+        # Features of a text are counted where it is listed; what a task holds then follows the
+        # characters it has, not the size of the input.
+        letters = whole.agg(F.coalesce(F.sum(F.char_length("_text")), F.lit(0))).first()[0]
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-letters // LETTERS_PER_TASK))
+        whole = whole.repartition(parts, "_key")
     # Only a text of several chunks is gone through twice, for its number of features.
-    pieces = chunks("_text", chunk, _overlap(model.features))
-    many = F.aggregate(pieces, F.lit(0), lambda found, c: found + F.size(_features(model.features, c)))
+    pieces = chunks("_text", chunk, _overlap(kind))
+    many = F.aggregate(pieces, F.lit(0), lambda found, c: found + _size(kind, _content(kind, c)))
     counted = whole.select("_key", "_text", F.when(F.char_length("_text") > chunk, many).alias("_many"))
-    listed = _in_chunks(counted, model.features, "_text", chunk).select("_key", "_many", _features(model.features, "_chunk").alias("_features"))
+    listed = _in_chunks(counted, kind, "_text", chunk)
     # Counted before the explode, so that the list itself is not carried along with each of its items.
-    sized = listed.select("_key", F.coalesce("_many", F.size("_features"), F.lit(0)).alias("_k"), "_features")
-    exploded = sized.select("_key", "_k", F.explode_outer("_features").alias("_feature"))
+    sized = listed.select("_key", F.coalesce("_many", _size(kind, F.col("_content")), F.lit(0)).alias("_k"), "_content")
+    exploded = _exploded(sized, kind, "_key", "_k", explode=F.explode_outer)
     known = F.col("_feature") == F.col("_known")
     if model.estimated_bytes <= broadcast_limit:
         hashed = exploded.withColumn("_hash", F.xxhash64("_feature"))
@@ -124,9 +162,14 @@ def _feature_sums(df, key_col, text, model, broadcast_limit, chunk):
     else:
         # Too large to broadcast: repeated features of a text are counted first, so the
         # shuffle carries each once. A feature common to most texts is a hot join key;
-        # adaptive execution splits it, as the model side has a single row for it.
+        # adaptive execution splits it where the session's number of tasks is enough, as the
+        # model side has a single row for it; it has no more rows than there are texts.
         counted = exploded.groupBy("_key", "_k", "_feature").agg(F.count("*").alias("_times"))
         hashed = counted.withColumn("_hash", F.xxhash64("_feature"))
+        # More tasks than the session gives a shuffle where these would hold too much of a large input.
+        join_parts = -(-letters // LETTERS_PER_JOIN_TASK)
+        if join_parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            hashed, weights = hashed.repartition(join_parts, "_hash"), weights.repartition(join_parts, "_hash")
         joined = hashed.join(weights.hint("merge"), "_hash", "left")
         weighted = [F.when(known, F.col("_times") * F.col(f"_w{i}")) for i in n]
     return joined.groupBy("_key").agg(

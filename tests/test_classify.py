@@ -143,3 +143,24 @@ def test_hook(spark):
     assert scored[1][0] == 2**60 + 1
     with pytest.raises(Exception, match="broken batch"):
         classify.score_with(frame, "text", load, batch_size=3).collect()
+
+
+def test_tasks_of_a_shuffled_model_follow_the_characters(spark, model, monkeypatch, capsys):
+    """What a task counts by text is bounded, so a larger input has more tasks; counting by text moves nothing else."""
+    frame = spark.createDataFrame([(i, "the thing " * 5) for i in range(40)], "id int, text string")
+    monkeypatch.setattr(classify, "LETTERS_PER_TASK", 10)
+    monkeypatch.setattr(classify, "LETTERS_PER_JOIN_TASK", 4)
+    scored = classify.score_languages(frame, "id", "text", model, 0)
+    scored.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and ", 200), REPARTITION_BY_NUM" in plan
+    assert plan.count("Exchange hashpartitioning(_key") == 2 and plan.count(", 500), REPARTITION_BY_NUM") == 2
+    assert {r[1:] for r in rows(scored)} == {r[1:] for r in rows(classify.score_languages(frame, "id", "text", model))} and len(rows(scored)) == 40
+
+
+@pytest.mark.parametrize("limit", [classify.BROADCAST_LIMIT, 0])
+def test_no_list_of_all_grams(spark, model, limit, capsys):
+    frame = spark.createDataFrame(TEXTS, "id int, text string")
+    classify.score_languages(frame, "id", "text", model, limit).explain()
+    plan = capsys.readouterr().out
+    assert "concat(regexp_extract_all" not in plan and "sequence(" in plan
