@@ -5,9 +5,11 @@ A multinomial naive Bayes model is a table with one row per feature (a character
 fitting and scoring are explode, join and hash aggregation inside the JVM.
 """
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,11 @@ CHUNK = 100_000
 LETTERS_PER_TASK = 1_000_000
 # Characters whose features a task of that join has.
 LETTERS_PER_JOIN_TASK = 4_000_000
-# An encoding with four bytes for every character.
+# An encoding with four bytes for every character, and the bits that a character needs.
 CODE_POINTS = "UTF-32"
+POINT_BITS = 21
+# Bytes of code points that a task counts 3-grams of at a time.
+COUNTED_BYTES = 1 << 22
 
 
 @dataclass
@@ -91,12 +96,56 @@ def _in_chunks(df, kind, text, chunk):
     return found.withColumn("_content", _content(kind, F.col("_chunk"))).drop("_chunk")
 
 
+@contextmanager
+def _batch_bytes(spark, limit):
+    """Batches of about `limit` bytes for what is written inside the block."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _gram_counts(listed, classes):
+    """`_feature`, `_class` and `_n` for the 3-grams of `_content`, counted a batch at a time.
+
+    A missing label has the number after the last class, so its features are rows without a count.
+    """
+    number, mask = {c: i for i, c in enumerate(classes)}, (1 << POINT_BITS) - 1
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = np.array([number.get(c, len(classes)) for c in batch.column("_label").to_pylist()], np.int64)
+            order = np.argsort(labels, kind="stable")
+            labels, content = labels[order], batch.column("_content").cast(pa.binary()).take(pa.array(order))
+            offsets = np.frombuffer(content.buffers()[1], np.int32)[: len(content) + 1].astype(np.int64) // 4
+            points = np.frombuffer(content.buffers()[2], ">u4", offsets[-1]).astype(np.int64)
+            rows = np.repeat(np.arange(len(labels)), np.diff(offsets))
+            inside = rows[:-2] == rows[2:]
+            grams = (points[:-2] << 2 * POINT_BITS | points[1:-1] << POINT_BITS | points[2:])[inside]
+            present, first = np.unique(labels, return_index=True)
+            edges = np.append(np.searchsorted(rows[:-2][inside], first), len(grams))
+            for label, start, end in zip(present.tolist(), edges[:-1], edges[1:]):
+                found, n = np.unique(grams[start:end], return_counts=True)
+                coded = np.stack([found >> 2 * POINT_BITS, found >> POINT_BITS & mask, found & mask], 1).astype(">u4")
+                ends = np.arange(0, 12 * len(found) + 1, 12, dtype=np.int32)
+                features = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(coded.tobytes())])
+                yield pa.RecordBatch.from_arrays([features, pa.array(np.full(len(found), label)), pa.array(n)], names=["_feature", "_class", "_n"])
+
+    whole = listed.filter(F.octet_length("_content") >= 12).select("_label", "_content")
+    return whole.mapInArrow(run, "_feature binary, _class long, _n long")
+
+
 def fit(df, text_col, label_col, features="char_grams", chunk=CHUNK):
     """Fit a model on labelled texts.
 
     Documents per class come from the label column alone. Features are counted in a
-    single shuffle on the feature, after counting per task, with one count column per
-    class. The table is written to the working folder, since its totals and every
+    single shuffle on the feature, after counting per task (3-grams by batch, with no row
+    for each place), with one count column per class. The table is written to the working folder, since its totals and every
     scoring read it again. Only per-class numbers reach the driver.
     """
     label = F.col(label_col).cast("string").alias("_label")
@@ -107,13 +156,15 @@ def fit(df, text_col, label_col, features="char_grams", chunk=CHUNK):
     total = sum(row["count"] for row in documents)
 
     listed = _in_chunks(df.select(label, F.col(text_col).alias("_text")), features, "_text", chunk)
-    counted = (
-        _exploded(listed, features, "_label")
-        .groupBy("_feature")
-        .agg(*[F.count_if(F.col("_label") == c).alias(f"n_{i}") for i, c in enumerate(classes)])
-    )
-    feature = F.decode("_feature", CODE_POINTS) if features == "char_grams" else F.col("_feature")
-    table, path = write_table(counted.select(feature.alias("feature"), *[f"n_{i}" for i in range(len(classes))]), "model")
+    if features == "char_grams":
+        found, feature = _gram_counts(listed, classes), F.decode("_feature", CODE_POINTS)
+        counts = [F.coalesce(F.sum(F.when(F.col("_class") == i, F.col("_n"))), F.lit(0)) for i in range(len(classes))]
+    else:
+        found, feature = _exploded(listed, features, "_label"), F.col("_feature")
+        counts = [F.count_if(F.col("_label") == c) for c in classes]
+    counted = found.groupBy("_feature").agg(*[n.alias(f"n_{i}") for i, n in enumerate(counts)])
+    with _batch_bytes(df.sparkSession, COUNTED_BYTES):
+        table, path = write_table(counted.select(feature.alias("feature"), *[f"n_{i}" for i in range(len(classes))]), "model")
     sums = table.agg(
         F.count("*").alias("rows"),
         *[F.coalesce(F.sum(f"n_{i}"), F.lit(0)).alias(f"n_{i}") for i in range(len(classes))],

@@ -164,3 +164,25 @@ def test_no_list_of_all_grams(spark, model, limit, capsys):
     classify.score_languages(frame, "id", "text", model, limit).explain()
     plan = capsys.readouterr().out
     assert "concat(regexp_extract_all" not in plan and "sequence(" in plan
+
+
+def test_grams_are_counted_before_they_become_rows(spark):
+    """Fitting makes a row per 3-gram, class and batch, not one per place; the counts are those of a plain count."""
+    texts = [("en", "aaaaaaaaaa" * 50), ("fr", "x\x00y\x00z \U0001F600\U0001F600\U0001F600"), (None, "new"), ("en", None), ("en", "ab"), ("fr", "aaaa")]
+    frame = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    listed = classify._in_chunks(frame.select(F.col("lang").alias("_label"), F.col("text").alias("_text")), "char_grams", "_text", 100)
+    want = {}
+    for lang, text in texts:
+        for i in range(len(text or "") - 2):
+            row = want.setdefault(text[i:i + 3], {"en": 0, "fr": 0})
+            if lang:
+                row[lang] += 1
+    made = rows(classify._gram_counts(listed, ["en", "fr"]))
+    assert sum(r[2] for r in made) == sum(max(len(t or "") - 2, 0) for _, t in texts)
+    assert len(made) == len({(r[0], r[1]) for r in made}) and len([r for r in made if r[1] == 0]) == 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    model = classify.fit(frame, "text", "lang")
+    assert {r[0]: {"en": r[1], "fr": r[2]} for r in rows(model.table)} == want and model.rows == len(want)
+    assert model.table.dtypes[1:] == [("n_0", "bigint"), ("n_1", "bigint")]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    model.remove()
