@@ -8,7 +8,7 @@ brought next to each other.
    is its anchor, the same for equal strings. Starts with one anchor form an interval. Starts
    whose anchor's window stands nowhere else cannot repeat. Where the whole text of an
    interval, up to its last string's end, stands elsewhere, all its starts repeat, and one such
-   place stays as partner for others. What is left is a small part of the text.
+   place stays as partner where another interval of that anchor has need of it. What is left is a small part of the text.
 2. Sort sampled triples. In what is left, positions in a difference cover modulo `period` are
    sampled: any two equal strings have a sampled position at the same distance below
    `period`. A sampled position has a letter, the `period` bytes from it on; the triples of the
@@ -32,25 +32,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources.storage import write_table
-from .common import Hasher, arrow_schema, chunks, column_of, mix, record, signed, small_batches, text_bytes
+from ..sources.storage import delete_path, write_table
+from .common import Hasher, arrow_schema, chunks, column_of, mix, record, shuffles_removed, signed, small_batches, text_bytes
 
 LENGTH = 400
 PERIOD = 91
+# Passages of just over 50 words have this many bytes, unless their words are very short.
+PASSAGE_LENGTH = 200
+PASSAGE_PERIOD = 31
 # A perfect difference set; each distance modulo 91 is a difference of two.
 COVER = [0, 1, 3, 9, 27, 49, 56, 61, 77, 81]
 # Covers by their period; a string has four periods less one byte at least.
 COVERS = {PERIOD: COVER, 31: [1, 5, 11, 24, 25, 27]}
 STARTS_PER_SLICE = 1 << 20
+# Bytes of an anchor: the fewer, the fewer anchors a text has, and the more repeat by chance.
+WINDOW = 64
 
 
 def anchors(data, offsets, length):
     """Intervals of starts with one anchor: (text, first start, end, anchor hash, whole hash).
 
     Starts count from their text's beginning. The anchor is the leftmost least hash of the
-    windows of length // 2 bytes that begin up to length - length // 2 bytes after the start.
+    windows of `WINDOW` bytes (half a shorter string) that begin up to the string's length less a window after the start.
     """
-    window = length // 2
+    window = min(WINDOW, length // 2)
     reach = length - window + 1
     size = len(data) - length + 1
     if size <= 0:
@@ -104,15 +109,21 @@ def _unpack(raw):
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
-def staged(df, name):
-    """`df` as a table in the shared folder."""
-    return write_table(df, name)[0]
+def staged(df, name, paths=None):
+    """`df` as a table in the shared folder; its path is added to `paths`."""
+    with shuffles_removed(df.sparkSession):
+        table, path = write_table(df, name)
+    if paths is not None:
+        paths.append(path)
+    return table
 
 
-def _screen(texts, length):
+def _screen(texts, length, paths):
     """(key, a, b, certain, stays): intervals of starts whose anchor window repeats.
 
-    `certain`: all starts of the interval repeat; `stays`: it is the place that stays for others.
+    `certain`: all starts of the interval repeat; `stays`: it is the place that stays for others,
+    which only intervals with the same anchor that are not certain have need of. The tables
+    at `paths` are needed until the result is written.
     """
     schema = arrow_schema("place int, a long, b long, h long, whole long")
 
@@ -123,15 +134,20 @@ def _screen(texts, length):
                 rows = record(schema, place=text.astype(np.int32), a=a, b=b, h=signed(h), whole=signed(whole))
                 yield pa.RecordBatch.from_arrays([column_of(batch, "key").take(pa.array(text)), *rows.columns[1:]], names=["key", "a", "b", "h", "whole"])
 
-    found = texts.mapInArrow(run, "key long, a long, b long, h long, whole long")
+    # Written, so that texts are read and hashed once; gone as soon as the repeated ones are found.
+    found = staged(texts.mapInArrow(run, "key long, a long, b long, h long, whole long"), "intervals", first := [])
     # Counts are summed per task before they are dealt out and written, so that rows meet them in
     # joins of plain exchanges, which adaptive execution splits where one anchor holds a
     # large part of all rows.
-    windows = staged(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "windows")
-    repeated = staged(found.join(windows, "h"), "anchors")
-    wholes = staged(repeated.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "a")).alias("stay")), "wholes")
-    marked = repeated.join(wholes, ["h", "whole"])
-    return marked.select("key", "a", "b", (F.col("n") > 1).alias("certain"), (F.struct("key", "a") == F.col("stay")).alias("stays"))
+    windows = staged(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "windows", paths)
+    repeated = staged(found.join(windows, "h"), "anchors", paths)
+    delete_path(texts.sparkSession, *first)
+    wholes = staged(repeated.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "a")).alias("stay")), "wholes", paths)
+    # A single interval is the one that may look for partners; without any, none has to stay.
+    open_anchors = staged(wholes.groupBy("h").agg(F.min("n").alias("least")).filter("least = 1").select("h", F.lit(True).alias("open")), "open", paths)
+    marked = repeated.join(wholes.join(open_anchors, "h", "left"), ["h", "whole"])
+    certain = F.col("n") > 1
+    return marked.select("key", "a", "b", certain.alias("certain"), (F.col("open").isNotNull() & (F.struct("key", "a") == F.col("stay"))).alias("stays"))
 
 
 def _sampled(parts, period):
@@ -201,11 +217,13 @@ def _deeper(named, covered):
 def repeated_runs(texts, length=LENGTH, period=PERIOD):
     """Covered byte runs per text: (key, starts, ends), a row for each text that has some.
 
-    Also returns the staged texts of all rows with a repeated anchor.
+    Also returns the staged texts with a repeated anchor, with what else `texts.one` tells of them.
     """
-    marks = _screen(texts.all, length).groupBy("key").agg(F.collect_set(F.struct("a", "b", "certain", "stays")).alias("m"))
+    marks = _screen(texts.all, length, screen := []).groupBy("key").agg(F.collect_set(F.struct("a", "b", "certain", "stays")).alias("m"))
     marks = marks.select("key", *[F.col(f"m.{c}").alias(c) for c in ("a", "b", "certain", "stays")])
     touched = staged(texts.one(marks), "touched")
+    for path in screen:
+        delete_path(touched.sparkSession, path)
 
     part_schema = arrow_schema("start long, a array<long>, b array<long>")
 
@@ -344,11 +362,11 @@ def repeated_runs(texts, length=LENGTH, period=PERIOD):
     found = listed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(resolve, "key long, a long, e long")
     sure = touched.select("key", F.explode(F.arrays_zip("a", "b", "certain")).alias("x")).filter("x.certain").select("key", F.col("x.a").alias("a"), (F.col("x.b") + (length - 1)).alias("e"))
     runs = found.union(sure).groupBy("key").agg(F.collect_list("a").alias("starts"), F.collect_list("e").alias("ends"))
-    return runs, touched.select("key", "text")
+    return runs, touched.drop("a", "b", "certain", "stays")
 
 
 class _Texts:
-    """Different texts of a table: `all` rows as (key, text), `one(marks)` a row per marked key with its text."""
+    """Different texts of a table: `all` rows as (key, text), `one(marks)` a row per marked key with its text and number of rows."""
 
     def __init__(self, docs, id_col, text_col):
         plain = dict(docs.dtypes)[id_col].split("<")[0] not in ("struct", "array", "map", "variant")
@@ -356,11 +374,56 @@ class _Texts:
         own = F.col(id_col) if plain else F.xxhash64(F.to_json(F.struct(F.col(id_col))))
         self._rows = docs.select(own.alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
         self.all = self._rows.select("key", "text")
-        self.stands = self._rows.select("id", "key").groupBy("key").agg(F.min("id").alias("stand"))
+        self.stands = self._rows.select("id", "key").groupBy("key").agg(F.min("id").alias("stand"), F.count("*").alias("copies"))
 
     def one(self, marks):
         wanted = marks.join(self.stands, "key").withColumnRenamed("key", "own")
-        return self._rows.join(wanted, (F.col("key") == F.col("own")) & F.col("id").eqNullSafe(F.col("stand"))).select("key", "text", "a", "b", "certain", "stays").dropDuplicates(["key"])
+        return self._rows.join(wanted, (F.col("key") == F.col("own")) & F.col("id").eqNullSafe(F.col("stand"))).select("key", "text", "copies", "a", "b", "certain", "stays").dropDuplicates(["key"])
+
+
+class _Pieces:
+    """Passages of `length` bytes and more as texts of their own, told apart by text and start.
+
+    A text of several rows has its passages in `all` twice, which is enough to make them repeats.
+    """
+
+    def __init__(self, passages, length):
+        schema = arrow_schema("start long")
+
+        def pieces(batches):
+            for batch in chunks(batches, "text"):
+                data, offsets = text_bytes(column_of(batch, "text"))
+                rows, starts, parts = [], [], []
+                for i in range(batch.num_rows):
+                    for a, e in zip(column_of(batch, "starts")[i].as_py(), column_of(batch, "ends")[i].as_py()):
+                        if e - a >= length:
+                            rows.append(i)
+                            starts.append(a)
+                            parts.append(data[offsets[i] + a : offsets[i] + e].tobytes())
+                if rows:
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [column_of(batch, "key").take(at), column_of(batch, "copies").take(at), record(schema, start=starts).column(0), pa.array(parts, pa.binary())],
+                        names=["own", "copies", "start", "text"])
+
+        found = passages.mapInArrow(pieces, "own long, copies long, start long, text binary")
+        self._rows = staged(found.withColumn("key", F.xxhash64("own", "start")), "pieces")
+        twice = F.explode(F.array_repeat("key", F.least("copies", F.lit(2)).cast("int")))
+        self.all = self._rows.select(twice.alias("key"), "text")
+
+    def one(self, marks):
+        return self._rows.join(marks, "key").select("key", "text", "a", "b", "certain", "stays")
+
+    def in_texts(self, runs):
+        """Runs of pieces as runs of the texts they are from."""
+        here = [F.flatten(F.collect_list(F.transform(c, lambda x: x + F.col("start")))).alias(c) for c in ("starts", "ends")]
+        return runs.join(self._rows.select("key", "own", "start"), "key").groupBy(F.col("own").alias("key")).agg(*here)
+
+
+def _without(raw, starts, ends):
+    """The bytes outside of the given maximal runs."""
+    edges = [0, *np.column_stack([starts, ends]).ravel().tolist(), None]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
 def remove_repeats(docs, id_col="doc_id", text_col="text", length=LENGTH, period=PERIOD):
@@ -372,7 +435,6 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", length=LENGTH, period
     are removed whole. `length` is at least four periods less one; `period` is one of `COVERS`. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     runs, touched = repeated_runs(_Texts(docs, id_col, text_col), length, period)
     schema = arrow_schema("n_removed long, n_spans long, kept_sha256 string, kept string")
 
@@ -382,8 +444,7 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", length=LENGTH, period
             out = {name: [] for name in schema.names}
             for i in range(batch.num_rows):
                 starts, ends = merged(np.asarray(column_of(batch, "starts")[i].values), np.asarray(column_of(batch, "ends")[i].values))
-                raw, edges = data[offsets[i] : offsets[i + 1]].tobytes(), [0, *np.column_stack([starts, ends]).ravel().tolist(), None]
-                left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                left = _without(data[offsets[i] : offsets[i + 1]].tobytes(), starts, ends)
                 out["n_removed"].append(int((ends - starts).sum()))
                 out["n_spans"].append(len(starts))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
@@ -392,8 +453,61 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", length=LENGTH, period
             yield pa.RecordBatch.from_arrays([column_of(batch, "key"), *rest.columns], names=["key", *schema.names])
 
     results = touched.join(runs, "key").mapInArrow(cut, "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = rows.select(F.col("id").alias(id_col), "key", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_sha"), "text")
+    return _results(docs, id_col, text_col, results, ["n_removed", "n_spans"], ["kept"])
+
+
+def _results(docs, id_col, text_col, results, counts, texts):
+    """`results` by text for every row; rows without any have counts of 0 and their own text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_sha"), F.col(text_col).alias("_text"))
     return own.join(results, "key", "left").select(
-        id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "_sha").alias("kept_sha256"), F.coalesce("kept", "text").alias("kept"))
+        F.col("_id").alias(id_col), "n_bytes", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("kept_sha256", "_sha").alias("kept_sha256"), *[F.coalesce(c, "_text").alias(c) for c in texts])
+
+
+def remove_repeats_and_passages(docs, id_col="doc_id", text_col="text", length=LENGTH, period=PERIOD, passage_length=PASSAGE_LENGTH, passage_period=PASSAGE_PERIOD):
+    """The columns of `remove_repeats`, and the same by a shorter length: `n_passages`, `n_passage_bytes` and `kept_outside_passages`.
+
+    A passage is a maximal run of bytes covered by strings of `passage_length` bytes that also start
+    elsewhere; `kept_outside_passages` is the text that remains without them. A string of `length` bytes
+    that repeats lies inside a passage, as all its parts repeat, so those are looked for in
+    passages only.
+    """
+    small_batches(docs.sparkSession)
+    columns = "key long, text string, copies long, starts array<long>, ends array<long>"
+    schema = arrow_schema(columns)
+
+    def maximal(batches):
+        for batch in batches:
+            ranges = [merged(np.asarray(a.values), np.asarray(e.values)) for a, e in zip(column_of(batch, "starts"), column_of(batch, "ends"))]
+            yield record(schema, starts=[a for a, _ in ranges], ends=[e for _, e in ranges], **{c: column_of(batch, c) for c in ("key", "text", "copies")})
+
+    runs, touched = repeated_runs(_Texts(docs, id_col, text_col), passage_length, passage_period)
+    passages = staged(touched.join(runs, "key").select("key", "text", "copies", "starts", "ends").mapInArrow(maximal, columns), "passages")
+    pieces = _Pieces(passages, length)
+    longer = pieces.in_texts(repeated_runs(pieces, length, period)[0]).select("key", F.col("starts").alias("a"), F.col("ends").alias("e"))
+    none = F.array().cast("array<long>")
+    marked = passages.join(longer, "key", "left").select("key", "text", "starts", "ends", F.coalesce("a", none).alias("a"), F.coalesce("e", none).alias("e"))
+    found = "n_removed long, n_spans long, n_passages long, n_passage_bytes long, kept_sha256 string, kept string, kept_outside_passages string"
+    out_schema = arrow_schema(found)
+
+    def cut(batches):
+        for batch in chunks(batches, "text"):
+            data, offsets = text_bytes(column_of(batch, "text"))
+            out = {name: [] for name in out_schema.names}
+            for i in range(batch.num_rows):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                a, e = merged(np.asarray(column_of(batch, "a")[i].values), np.asarray(column_of(batch, "e")[i].values))
+                starts, ends = np.asarray(column_of(batch, "starts")[i].values), np.asarray(column_of(batch, "ends")[i].values)
+                left = _without(raw, a, e)
+                out["n_removed"].append(int((e - a).sum()))
+                out["n_spans"].append(len(a))
+                out["n_passages"].append(len(starts))
+                out["n_passage_bytes"].append(int((ends - starts).sum()))
+                out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+                out["kept"].append(left.decode(errors="ignore"))
+                out["kept_outside_passages"].append(_without(raw, starts, ends).decode(errors="ignore"))
+            rest = record(out_schema, **out)
+            yield pa.RecordBatch.from_arrays([column_of(batch, "key"), *rest.columns], names=["key", *out_schema.names])
+
+    results = marked.mapInArrow(cut, f"key long, {found}")
+    return _results(docs, id_col, text_col, results, ["n_removed", "n_spans", "n_passages", "n_passage_bytes"], ["kept", "kept_outside_passages"])
